@@ -1,16 +1,42 @@
+"""The registry of queries: each is a function of (spark, sf_dir), most with the SQL that DuckDB runs on the same tables."""
+
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from wayfind.operators.sql_lane import guard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_query(name: str, statement: str, oracle: str | None = None) -> None:
+    """Register a statement that goes through the guard; the oracle is the same text unless the dialects differ."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = [t for t in TABLES if t in statement]
+        for t in used:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(guard(spark, statement, used))
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value by nation."""
-    orders, customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name").agg(F.sum("o_totalprice").alias("total")).orderBy(F.desc("total"), "n_name").limit(10)
+    QUERIES[name] = run
+    ORACLE_SQL[name] = oracle or statement
