@@ -139,7 +139,7 @@ def normalize_query(text: Column, nfkc: bool = True) -> Column:
         F.array_join(F.transform(tokens, lambda t: F.concat(t, F.lit(":*"))), " | ").alias("tsquery"),
         F.transform(changed, lambda w: F.concat(w, F.lit(" -> "), strip_tails(w))).alias("stripped"),
         F.transform(known, lambda w: F.concat(strip_tails(w), F.lit(" -> "), F.try_element_at(table, strip_tails(w)))).alias("synonyms"),
-        F.filter(tokens, lambda t: t.rlike(f"^{HANGUL}+$") & ~F.array_contains(raw, t)).alias("joined"),
+        F.array_except(F.filter(tokens, lambda t: t.rlike(f"^{HANGUL}+$")), raw).alias("joined"),
     )
 
 

@@ -16,15 +16,15 @@ NUMBER = r"(\d[\d,]*(?:\.\d+)?\s*(?:%|건|명|개|원|초|분|시간|일|ms|GB|M
 SENTENCE_END = r"(?<=[.!?])\s+|\n+|(?<=(?:다|요|음|임))\s*[.。]\s*"
 MENTIONED_PERSON = r"([가-힣]{2,4})(?=\s*(?:씨|님|과장|대리|부장|팀장))"
 
-_ends = F.lit(" \t\r\n")
+_ENDS = " \t\r\n"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.btrim(s, _ends)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.btrim(s, F.lit(_ENDS))), lambda s: s != "")
 
 
 def _all(text: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.btrim(s, _ends))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.btrim(s, F.lit(_ENDS)))
 
 
 def atoms(sentence: Column) -> Column:

@@ -108,12 +108,20 @@ def sql_query(spark: SparkSession, sql: str, views: Iterable[str] | None = None,
 
     The cap is in the plan, so rows beyond it never reach the driver; the count runs only when it was passed.
     """
-    tag = f"sql-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    tag, over, late = f"sql-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+    context = spark.sparkContext
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            late.set()
+            while not over.wait(0.2):  # again: a plan may start further jobs
+                context.cancelJobsWithTag(tag)
+
     try:
         df = spark.sql(guard(spark, sql, views))
-        spark.addTag(tag)
-        timer.start()
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        threading.Thread(target=watch, daemon=True).start()
         rows = df.limit(cap + 1).collect()
         truncated = len(rows) > cap
         total = df.count() if truncated else len(rows)
@@ -121,11 +129,13 @@ def sql_query(spark: SparkSession, sql: str, views: Iterable[str] | None = None,
     except Refused as e:
         return SqlResult(False, error=f"refused: {e}")
     except Exception as e:  # whatever the engine says, the caller gets a result
+        if late.is_set():
+            return SqlResult(False, error=f"cancelled after {seconds:g} s")
         first = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
         return SqlResult(False, error=first[:500])
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        over.set()
+        context.removeJobTag(tag)
 
 
 def extract_sql(raw: Column) -> Column:
