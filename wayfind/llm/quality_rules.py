@@ -18,7 +18,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Signal: its expression, and the least distance from the median at which it can reject.
 SIGNALS = {
     "symbols": ("n_symbols / n_words", 0.15),
-    "repeats": ("n_repeat_words / n_words", 0.2),
+    "repeats": ("n_repeat_words / n_words", 0.3),
     "dup_lines": ("n_dup_lines / n_words", 0.05),
     "word_length": ("word_chars / n_words", 3.0),
 }
