@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from wayfind.plans import documents, graphs, questions, relational, vectors  # noqa: F401
+from wayfind.plans import documents, graphs, questions, records, relational, vectors  # noqa: F401
 from wayfind.plans.registry import ORACLE_SQL, QUERIES
 from wayfind.plans.relational import flagship
 
