@@ -89,6 +89,14 @@ def test_op1_many_lines(spark):
     assert order(map(tuple, line_dedup.line_dedup_report(df).collect())) == order(lines_expected(data))
 
 
+def test_op1_counts_documents_not_lines(spark):
+    data = [(i, f"{LONG}\n{LONG}\n{i} {LONG}") for i in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert all(r["n_dropped"] == 0 for r in line_dedup.line_dedup_report(df).collect())
+    df = df.union(spark.createDataFrame([(9, LONG)], df.schema))
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup_report(df).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 9: 0}
+
+
 def test_op1_sql(spark, small, docs):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")

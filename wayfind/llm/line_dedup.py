@@ -34,8 +34,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share the largest id all keep their lines. A null id counts as the smallest. Null and empty texts have one empty
     line, which is never eligible unless min_chars is 0. Empty tables give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.monotonically_increasing_id().alias("r"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    rows = rows.select("d", "t", "r", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    # r numbers the rows, so it must be there before they are exploded into lines.
+    rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.monotonically_increasing_id().alias("r"), _lines(F.col(text_col)).alias("lines"))
+    lines = rows.select("d", "t", "r", F.posexplode("lines").alias("pos", "line"))
+    rows = lines.select("d", "t", "r", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashes = materialise(rows.select("d", "t", "r", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     order = ["h1", "h2", "d", "r"]
     sorted_runs = hashes.repartitionByRange(*order).sortWithinPartitions(*order, "pos")

@@ -104,3 +104,37 @@ def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30
             fits &= F.col(f"s_{k}") >= q[1] - room
     kept = ~F.col("base_failed") & F.coalesce(fits, F.lit(False))
     return out.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"))
+
+
+def _oracle_sql() -> str:
+    """The same rules in SQL. Quantiles are exact there, and GK sketches are while a group has fewer rows than the accuracy."""
+    ratio = {k: e.replace("n_words", "CAST(n_words AS DOUBLE)") for k, (e, _) in SIGNALS.items()}
+    quartiles = ", ".join(f"quantile_disc(s_{k}, 0.25) AS a_{k}, quantile_disc(s_{k}, 0.5) AS b_{k}, quantile_disc(s_{k}, 0.75) AS c_{k}" for k in SIGNALS)
+    fits = []
+    for k, (_, least) in SIGNALS.items():
+        a, b, c = (f"coalesce(g.{x}_{k}, l.{x}_{k}, t.{x}_{k})" for x in "abc")
+        room = f"greatest(3.0 * ({c} - {a}), {least})"
+        fits.append(f"s_{k} <= {b} + greatest({room}, {c} - {b} + {room})")
+        if k == "word_length":
+            fits.append(f"s_{k} >= {b} - {room}")
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+win AS (SELECT doc_id, pos, string_agg(word, ' ') OVER k AS win, count(*) OVER k AS n FROM w WINDOW k AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+twice AS (SELECT doc_id, pos, n = 8 AND count(*) OVER (PARTITION BY doc_id, win, n) > 1 AS twice FROM win),
+cover AS (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS inside FROM twice),
+rep AS (SELECT doc_id, count(*) FILTER (inside) AS n FROM cover GROUP BY 1),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY 1),
+f AS (SELECT d.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {', '.join(f'CASE WHEN n_words > 0 THEN {e} END AS s_{k}' for k, e in ratio.items())} FROM f),
+t AS (SELECT {quartiles} FROM s WHERE NOT base_failed),
+l AS (SELECT lang, {quartiles} FROM s WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 50),
+g AS (SELECT lang, source, {quartiles} FROM s WHERE NOT base_failed GROUP BY lang, source HAVING count(*) >= 50)
+SELECT s.doc_id AS doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND coalesce({' AND '.join(fits)}, false) AS kept
+FROM s CROSS JOIN t LEFT JOIN l ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN g ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source"""
+
+
+ORACLE_SQL = _oracle_sql()

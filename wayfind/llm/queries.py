@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_sharding, op7_quality_classifier, op8_url_filter, op9_language_id, op10_license_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op2_quality_rules": quality_rules.ORACLE_SQL}
