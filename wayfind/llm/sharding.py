@@ -98,7 +98,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows") -> Data
     for column in ("lang", "source"):
         names = name_cells(narrow, column)
         cells = cells.join(names, same(cells[column], names[f"v_{column}"])).drop(f"v_{column}")
-    power = F.least(F.lit((1 << CELL_BITS) - 1), F.floor(F.log2("size"))).cast("int")
+    power = F.least(F.lit((1 << CELL_BITS) - 1), F.length(F.bin("size")) - 1)
     cells = cells.select("doc_id", "size", "text_crc32", "one", hilbert(F.col("c_lang"), F.col("c_source"), power).alias("curve_index"))
     order = [F.col("curve_index"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
     if law == "rows":
