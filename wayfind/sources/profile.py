@@ -22,7 +22,7 @@ PROFILES = {
     for p in (
         Profile("smoke", ("orders", "documents"), "orders(id, user_id, status, amount, created_at)\ndocuments(id, title, body, embedding)", 1024),
         Profile("bench", ("categories", "customers", "products", "orders", "order_items", "support_tickets", "documents"), "categories(id, name)\ncustomers(id, name, segment, region, created_at)\nproducts(id, name, category_id, price, supplier, active)\norders(id, customer_id, status, total, created_at)\norder_items(id, order_id, product_id, qty, unit_price)\nsupport_tickets(id, customer_id, order_id, reason, status, created_at)", 1024, ("admin_secrets",)),
-        Profile("companyx", ("departments", "employees", "clients", "products", "contracts", "projects", "sales", "support_tickets", "document_chunks"), "departments, employees, clients, products, contracts, projects, sales, support_tickets, document_chunks"),
+        Profile("company", ("departments", "employees", "clients", "products", "contracts", "projects", "sales", "support_tickets", "document_chunks"), "departments, employees, clients, products, contracts, projects, sales, support_tickets, document_chunks"),
         Profile("star", ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"), "region, nation, customer, supplier, part, orders, lineitem, events, documents, embeddings", 64),
     )
 }
