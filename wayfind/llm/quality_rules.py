@@ -73,7 +73,7 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("__counts", text_udf(make, f"struct<{', '.join(f'{c}: long' for c in COUNTS)}>")(F.col(text_col)))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, spread: float = 3.0, min_group: int = 50, accuracy: int = 10_000) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, spread: float = 3.0, min_group: int = 50, accuracy: int = 2000) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept for each row of docs.
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in repeated windows. Others are kept
