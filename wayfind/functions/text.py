@@ -73,7 +73,8 @@ def strip_tails(word: Column) -> Column:
     long_hangul = f"^{HANGUL}{{3,}}$"
     once = F.when(word.rlike(long_hangul), F.regexp_replace(word, f"({VERB_ENDINGS})$", "")).otherwise(word)
     twice = F.when(once.rlike(long_hangul), F.regexp_replace(once, f"({LONG_PARTICLES})$", "")).otherwise(once)
-    return F.when(F.length(twice) >= 2, twice).otherwise(word)
+    # Inside lambdas nothing is shared between branches, so other words leave after one test.
+    return F.when(word.rlike(long_hangul), F.when(F.length(twice) >= 2, twice).otherwise(word)).otherwise(word)
 
 
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -117,7 +118,7 @@ def normalize_folded(folded: Column) -> Column:
         return F.concat(F.array(w), F.filter(F.array(F.try_element_at(table, w)), lambda s: s.isNotNull()), pieces)
 
     single = F.flatten(F.transform(F.filter(bare, lambda w: F.length(w) >= 2), forms))
-    alnum = F.transform(F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), F.lit(1)), strip_tails)
+    alnum = F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), F.lit(1))
     hangul = F.transform(F.regexp_extract_all(folded, F.lit(f"({HANGUL}+)"), F.lit(1)), strip_tails)
     return F.array_distinct(F.concat(single, adjacent(alnum, 24), adjacent(hangul, 8)))
 
