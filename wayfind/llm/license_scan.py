@@ -136,7 +136,9 @@ def license_scanner(docs: DataFrame, sample_rows: int = 200) -> Callable[[Column
 
     "None" is learned from the paragraphs of at most sample_rows documents, those of the least text hash.
     """
-    own = docs.select("text").where(F.length("text").between(1, 20_000)).dropDuplicates(["text"]).orderBy(F.xxhash64("text")).limit(sample_rows).collect()
+    short = docs.select("text", F.xxhash64("text").alias("h")).where(F.length("text").between(1, 20_000))
+    least = [r["h"] for r in short.groupBy("h").agg(F.count("*")).select("h").orderBy("h").limit(sample_rows).collect()]  # numbers only
+    own = short.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if least else []
     marks = re.compile(r"(?i)licen[sc]|copyright|spdx|rights reserved|creative commons|public domain|\bCC\b")
     none = [("none", p[:2000]) for r in own for p in r["text"].split("\n") if p.strip() and not marks.search(p)][:2000]
     rows = [*notices(), *none]
