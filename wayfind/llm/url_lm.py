@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,12 +108,14 @@ def url_model(judged: DataFrame) -> Callable[[Column], Column] | None:
     tenth calibrate (through counts of rounded differences), the others are counted."""
     spark = judged.sparkSession
     tenth = F.pmod(F.xxhash64("url"), F.lit(10)) == 0
-    counted = count_places(judged.where(~tenth)).collect()  # at most 2 * 2 * 6 * 2^16 small rows, whatever the corpus
+    counted = count_places(judged.where(~tenth)).toArrow()  # at most 2 * 2 * 6 * 2^16 rows of numbers, whatever the corpus
     tables = {v: [np.zeros((ORDER + 1) * SPAN, np.float32) for _ in range(3)] for v in ("allow", "block")}
-    for verdict, tab, place, n, owner in counted:
-        tables[verdict][tab][place] = n
-        if tab == 0:
-            tables[verdict][2][owner] += 1
+    for verdict, (grams, contexts, kinds) in tables.items():
+        own = counted.filter(pc.equal(counted["verdict"], verdict))
+        tab, place, n, owner = (own[c].to_numpy() for c in ("tab", "place", "n", "owner"))
+        grams[place[tab == 0]] = n[tab == 0]
+        contexts[place[tab == 1]] = n[tab == 1]
+        np.add.at(kinds, owner[tab == 0], 1)
     if not all(t[0].any() for t in tables.values()):
         return None
     shared = spark.sparkContext.broadcast(tables)
