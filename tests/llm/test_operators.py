@@ -429,6 +429,37 @@ def test_op8_model():
         assert abs(model.mean_log(url_lm.places(u)) - np.mean(logs)) < 1e-3
 
 
+def test_op8_counts_are_exact(spark):
+    """More distinct grams than 2^16 an order: scores equal those of plain dictionaries, with rows as weights."""
+    urls = [(f"http://h{hashlib.md5(b'%d' % k).hexdigest()}.org/{k}", ("allow", "block", None)[k % 3], 1 + k % 2) for k in range(4000)]
+    found = {r["gram"]: r["score"] for r in url_lm.gram_scores(spark.createDataFrame(urls, "url string, verdict string, n long")).collect()}
+    assert len(found) > url_lm.SPAN
+    grams, contexts, follow = Counter(), Counter(), defaultdict(set)
+    for url, verdict, n in urls:
+        data = b"\x01" * 5 + url.encode() + b"\x02"
+        for at in range(5, len(data)) if verdict else ():
+            for k in range(6):
+                c, x = data[at - k : at], data[at]
+                grams[verdict, c, x] += n
+                contexts[verdict, c] += n
+                follow[verdict, c].add(x)
+    for url, _, _ in urls[:100]:
+        data = b"\x01" * 5 + url.encode() + b"\x02"
+        for at, gram in enumerate(url_lm.packed_grams(url).tolist(), 5):
+            p = dict.fromkeys(("block", "allow"), 1 / 256)
+            for v in p:
+                for k in range(6):
+                    c = data[at - k : at]
+                    kinds = max(1, len(follow[v, c]))
+                    p[v] = (grams[v, c, data[at]] + kinds * p[v]) / (contexts[v, c] + kinds)
+            assert abs(found[gram] / url_lm.SCALE - np.log(p["block"] / p["allow"])) < 1e-6
+
+
+def test_logistic_fit_weights():
+    m, y, n = np.array([-1.0, 0.5, 0.2, 2.0]), np.array([-1, -1, 1, 1]), np.array([30, 5, 7, 40])
+    assert np.allclose(quality_nbsvm.logistic_fit(m, y, weight=n.astype(float)), quality_nbsvm.logistic_fit(np.repeat(m, n), np.repeat(y, n)))
+
+
 def test_op9(spark, odd):
     sf = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

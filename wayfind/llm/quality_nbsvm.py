@@ -71,16 +71,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, b
 
 
-def logistic_fit(margins: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """a, c of 1 / (1 + exp(-(a m + c))) by Newton's method, with Platt's targets."""
-    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+def logistic_fit(margins: np.ndarray, y: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """a, c of 1 / (1 + exp(-(a m + c))) by Newton's method, with Platt's targets. weight: how often each margin occurs."""
+    weight = np.ones(len(y)) if weight is None else weight
+    n1, n0 = weight[y > 0].sum(), weight[y <= 0].sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     design = np.stack((margins, np.ones(len(margins))), 1)
     beta = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hessian, design.T @ (target - p) - 1e-4 * beta)
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-4 * np.eye(2)
+        step = np.linalg.solve(hessian, design.T @ (weight * (target - p)) - 1e-4 * beta)
         beta += step
         if np.abs(step).max() < 1e-6:
             break

@@ -1,26 +1,24 @@
 """URL filter: ratio of two smoothed variable-order character models.
 
 Rules judge what they fit; what they judged teaches two models, of accepted and of rejected URLs, over all rows. Counts of
-contexts of up to five characters are hashed into tables of a fixed size, so a model's size is the same for any corpus;
-each order is interpolated with the next shorter one, with a weight by how often its context was seen (Witten-Bell). The
-verdict on other URLs is the length-normalised log-likelihood difference, put through a logistic fit on a held-out tenth.
+bytes after contexts of up to five bytes are exact and stand in written tables, which grow with the corpus; each order is
+interpolated with the next shorter one, with a weight by how often its context was seen (Witten-Bell). The verdict on other
+URLs is the length-normalised log-likelihood difference, put through a logistic fit on a held-out tenth. `places` and
+`Model` score with hashed tables of a fixed size, for a few URLs in memory; judge_urls does not use them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm._common import text_udf
+from wayfind.llm._common import materialise, text_udf
 from wayfind.llm.quality_nbsvm import logistic_fit
 
 ORDER, BITS = 5, 16
 SPAN = 1 << BITS
+VERDICTS, SCALE = ("allow", "block"), 1_000_000_000
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -82,67 +80,73 @@ class Model:
         return float(np.log(p).mean())
 
 
-def count_places(judged: DataFrame) -> DataFrame:
-    """judged: url, verdict. Returns verdict, table (0 grams, 1 contexts), place, n: all rows, summed on the map side first."""
+def packed_grams(url: str) -> np.ndarray:
+    """For each byte after the start mark: the ORDER bytes before it and the byte, packed into one number."""
+    data = np.frombuffer(b"\x01" * ORDER + url.encode() + b"\x02", np.uint8).astype(np.int64)
+    n = len(data) - ORDER
+    out = np.zeros(n, np.int64)
+    for k in range(ORDER + 1):
+        out = out << 8 | data[k : k + n]
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {v: np.zeros((2, (ORDER + 1) * SPAN), np.int64) for v in ("allow", "block")}
-        pairs: dict = {v: np.zeros(((ORDER + 1) * SPAN), np.int64) for v in tables}
-        for rows in batches:
-            for url, verdict in zip(rows["url"], rows["verdict"], strict=True):
-                gram, context = places(url)
-                np.add.at(tables[verdict][0], gram.ravel(), 1)
-                np.add.at(tables[verdict][1], context.ravel(), 1)
-                pairs[verdict][gram.ravel()] = context.ravel()
-        for verdict, both in tables.items():
-            for table in (0, 1):
-                place = np.flatnonzero(both[table])
-                owner = pairs[verdict][place] if table == 0 else place
-                yield pd.DataFrame({"verdict": verdict, "tab": table, "place": place, "owner": owner, "n": both[table][place]})
 
-    return judged.mapInPandas(run, "verdict string, tab int, place long, owner long, n long").groupBy("verdict", "tab", "place").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
+def exploded(urls: DataFrame) -> DataFrame:
+    """urls, a row for each byte, with the packed gram in place of the URL."""
+    grams = text_udf(lambda: lambda texts: [packed_grams(t or "") for t in texts], "array<long>")
+    return urls.withColumn("gram", F.explode(grams(F.col("url")))).drop("url")
 
 
-def url_model(judged: DataFrame) -> Callable[[Column], Column] | None:
-    """URL to the probability that it is to be rejected; None if one side has no rows. Rows whose URL hashes to the held-out
-    tenth calibrate (through counts of rounded differences), the others are counted."""
-    spark = judged.sparkSession
+def gram_scores(urls: DataFrame) -> DataFrame:
+    """gram, score: log-probability after rejected URLs less that after accepted ones, in units of 1 / SCALE, for each gram of urls.
+
+    urls: url (distinct), verdict (null: not counted), n (rows). Counts are exact. Grams of a lower order are the ends of
+    longer ones, so each table is made from the one above; a key of one order meets at most 256 of the next.
+    """
+    counts = {v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(f"n_{v}") for v in VERDICTS}
+    table = materialise(exploded(urls).groupBy(F.col("gram").alias("key")).agg(*counts.values()), f"url-counts-{ORDER}")
+    tables = [table]
+    for k in range(ORDER, 0, -1):
+        table = table.groupBy(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).agg(*[F.sum(f"n_{v}").alias(f"n_{v}") for v in VERDICTS])
+        table = materialise(table, f"url-counts-{k - 1}")
+        tables.insert(0, table)
+    shorter = None
+    for k, table in enumerate(tables):
+        of_context = Window.partitionBy(F.shiftright("key", 8))
+        for v in VERDICTS:
+            n = F.col(f"n_{v}")
+            table = table.withColumns({f"seen_{v}": F.sum(n).over(of_context), f"kinds_{v}": F.greatest(F.sum((n > 0).cast("long")).over(of_context), F.lit(1))})
+        if shorter is None:
+            table = table.withColumns({f"q_{v}": F.lit(1 / 256) for v in VERDICTS})
+        else:
+            table = table.withColumn("end", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(shorter.select(F.col("key").alias("end"), *[F.col(f"p_{v}").alias(f"q_{v}") for v in VERDICTS]), "end")
+        p = [((F.col(f"n_{v}") + F.col(f"kinds_{v}") * F.col(f"q_{v}")) / (F.col(f"seen_{v}") + F.col(f"kinds_{v}"))).alias(f"p_{v}") for v in VERDICTS]
+        shorter = materialise(table.select("key", *p), f"url-model-{k}")
+    score = F.round((F.log("p_block") - F.log("p_allow")) * SCALE).cast("long")  # whole numbers, so sums don't depend on order
+    return materialise(shorter.select(F.col("key").alias("gram"), score.alias("score")), "url-scores")
+
+
+def url_probabilities(urls: DataFrame) -> DataFrame | None:
+    """url, p_block: the probability that it is to be rejected; None if one side has no rows.
+
+    urls: url (distinct), verdict (null where no rule fits), n (rows). URLs that hash to the held-out tenth calibrate (through
+    the numbers of rows of rounded differences), the others are counted.
+    """
     tenth = F.pmod(F.xxhash64("url"), F.lit(10)) == 0
-    counted = count_places(judged.where(~tenth)).toArrow()  # at most 2 * 2 * 6 * 2^16 rows of numbers, whatever the corpus
-    tables = {v: [np.zeros((ORDER + 1) * SPAN, np.float32) for _ in range(3)] for v in ("allow", "block")}
-    for verdict, (grams, contexts, kinds) in tables.items():
-        own = counted.filter(pc.equal(counted["verdict"], verdict))
-        tab, place, n, owner = (own[c].to_numpy() for c in ("tab", "place", "n", "owner"))
-        grams[place[tab == 0]] = n[tab == 0]
-        contexts[place[tab == 1]] = n[tab == 1]
-        np.add.at(kinds, owner[tab == 0], 1)
-    if not all(t[0].any() for t in tables.values()):
+    urls = materialise(urls.withColumns({"held": tenth, "id": F.monotonically_increasing_id()}), "urls")
+    if urls.where(~F.col("held")).agg(F.count_distinct("verdict")).first()[0] < len(VERDICTS):
         return None
-    shared = spark.sparkContext.broadcast(tables)
-
-    def difference() -> Callable[[list], list]:
-        models = {v: Model(*t) for v, t in shared.value.items()}
-
-        def f(urls: list) -> list:
-            return [models["block"].mean_log(at) - models["allow"].mean_log(at) for at in (places(u or "") for u in urls)]
-
-        return f
-
-    margins = judged.where(tenth).select("verdict", F.round(text_udf(difference, "double")("url"), 2).alias("m"))
-    seen = margins.groupBy("verdict", "m").agg(F.count("*").alias("n")).collect()  # differences of log means lie within +-10
-    if {r["verdict"] for r in seen} == {"allow", "block"}:
-        m, weight = np.array([r["m"] for r in seen]), np.array([r["n"] for r in seen])
+    scores = gram_scores(urls.select("url", F.when(~F.col("held"), F.col("verdict")).alias("verdict"), "n"))
+    means = exploded(urls.select("id", "url")).join(scores, "gram").groupBy("id").agg((F.sum("score") / F.count("*") / SCALE).alias("m"))
+    margins = materialise(urls.join(means, "id").drop("id"), "url-margins")
+    known = margins.where(F.col("held") & F.col("verdict").isNotNull())
+    seen = known.groupBy("verdict", F.round("m", 2).alias("m")).agg(F.sum("n").alias("n")).collect()  # differences of log means lie within +-10
+    if {r["verdict"] for r in seen} == set(VERDICTS):
         y = np.array([1 if r["verdict"] == "block" else -1 for r in seen])
-        times = np.maximum(1, np.round(weight * min(1, 10_000 / weight.sum()))).astype(int)
-        a, c = logistic_fit(np.repeat(m, times), np.repeat(y, times))
+        a, c = logistic_fit(np.array([r["m"] for r in seen]), y, weight=np.array([r["n"] for r in seen], float))
     else:
         a, c = 1.0, 0.0
-
-    def make():
-        inner = difference()
-        return lambda urls: [float(1 / (1 + np.exp(-np.clip(a * m + c, -30, 30)))) for m in inner(urls)]
-
-    return text_udf(make, "double")
+    x = F.least(F.greatest(F.col("m") * a + c, F.lit(-30.0)), F.lit(30.0))
+    return margins.select("url", (1 / (1 + F.exp(-x))).alias("p_block"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
@@ -155,7 +159,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5) -
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
-    model = url_model(rows.where(F.col("hit").isNotNull()).select("url", F.col("hit.verdict").alias("verdict")))
-    out = rows.withColumn("p_block", model(F.col("url")) if model else F.lit(None).cast("double"))
+    judged = url_probabilities(rows.groupBy("url").agg(F.first("hit.verdict").alias("verdict"), F.count("*").alias("n")))
+    out = rows.join(judged, "url") if judged else rows.withColumn("p_block", F.lit(None).cast("double"))
     verdict = F.coalesce("hit.verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "p_block")
