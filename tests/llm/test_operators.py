@@ -300,6 +300,20 @@ def test_op5_slots(spark):
     assert [r["doc_id"] for r in decontam.find_leaks(ask, twice).collect()] == [0]
 
 
+def test_op5_names_begin_sentences(spark):
+    item = "Tom has 12 apples. Ann gives him 7 more. Tom eats 3 of them. Paris is far away. How many apples are left?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("12", "31").replace("7", "8").replace("3 of", "5 of")
+    texts = [
+        other.replace("Tom", "Bob").replace("Ann", "Eve").replace("Paris", "Oslo"),
+        "Before. " + other.replace("Tom", "Mary Lou").replace("Ann", "EVE").replace("Paris", "New York") + " After.",
+        other.replace("Tom", "BOB", 1).replace("Tom", "Jim").replace("Ann", "Eve").replace("Paris", "Oslo"),  # one slot, two values
+        "Rivers run far away. Who gives more? Many eat apples. Anna has 3 pears. She is left alone.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.find_leaks(docs, bench).collect()) == [0, 1]
+
+
 def test_op5_blocks(spark, small, docs, monkeypatch):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     whole = order(map(tuple, decontam.find_leaks(docs, bench).collect()))

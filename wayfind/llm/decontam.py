@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words of documents and benchmark items are reduced to templates: numbers, units after numbers and names become typed
-placeholders. Windows of template words are hashed and looked up in the benchmark's windows, in blocks of the benchmark
+placeholders. Names are read in three ways: as words, as capitals inside a sentence, and with first words of sentences,
+words in all capitals and runs of names as one. Windows of template words are hashed and looked up in the benchmark's windows, in blocks of the benchmark
 of a fixed number of words, so the index that travels to the executors is bounded however large the benchmark is. Hits
 on one alignment of document and item are then checked: a slot value of the item must stand for one value in the
 document, and different ones for different ones, so a re-parameterised question is caught and a chance mixture is not.
@@ -24,13 +25,32 @@ from wayfind.llm._text import WordCache, numbers, rolling
 # Units that follow a number.
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kmh usd eur gbp dollars euros percent % $ € °c °f kb mb gb tb w kw v hz"
 
+# Words that begin sentences without being names (English, German, French, Spanish).
+COMMON = """a about after all also although an and any are as at because before both but by can consider could did do does during each
+either every few find first for from give given had has have he her here his how however i if in is it its last let many more most my
+new no not now of on once one or our out over she should show since so some such suppose than that the their them then there these
+they this those three to today tomorrow two under until up use was we were what when where which while who whom whose why will with
+would yesterday yet you your
+aber alle als am an auch auf aus bei beim das dass dem den der des die dies diese dieser dieses du durch ein eine einem einen einer er
+es für gib hat heute ich ihr ihre im in ist jede jeder jedes kann man mein mit nach nicht nun nur ob oder seine sie sind so um und uns
+von vor wann war warum was weil welche welcher welches wenn wer wie wir wird wo zu zum zur zwei
+au aux avec ce ces cet cette chaque combien comme comment dans de depuis des donc du elle elles en est et il ils je la le les leur
+leurs lorsque mais ne nous on ou où par pendant plus pour pourquoi puis quand que quel quelle quelles quels qui sa sans se ses si
+soit son sous sur tous tout toute un une vous
+al ante aquel aquella así aunque cada como con cuando cuál cuáles cuánto cuánta cuántos cuántas cómo de del desde después donde dos
+dónde el ella ellas ellos en entre era es esa ese eso esta estas este esto estos está fue ha hay la las lo los luego más mi mientras
+muchos no nos nosotros para pero por porque qué que quien quién se según ser si sin sobre son su sus también tiene toda todas todo
+todos tras tu un una y ya yo"""
+
 NUMBER, UNIT, NAME = 1, 2, 3
 ENDS, CAPITAL = 1, 2  # flags in the two low bits of a packed word
+UPPER, USUAL = 1 << 63, 1 << 62  # and in the two high bits: all capitals, a common word
+FLAGS = UPPER | USUAL
 
 
 def packer() -> Callable[[bytes], int]:
-    """Word to 62 bits of identity and the flags. Identities 1 and 2 are the number and unit placeholders."""
-    units = {u.encode() for u in UNITS.split()}
+    """Word to 60 bits of identity and the flags. Identities 1 and 2 are the number and unit placeholders."""
+    units, common = {u.encode() for u in UNITS.split()}, {w.encode() for w in COMMON.split()}
     edge = b".,;:!?\"'()[]{}<>*#$%&|`~_-"
     number = re.compile(rb"[+-]?[$]?\d[\d.,:/]*[%]?$")
     measured = re.compile(rb"[+-]?\d[\d.,:/]*([a-zA-Z%]+)$")
@@ -44,28 +64,45 @@ def packer() -> Callable[[bytes], int]:
             return NUMBER << 2 | ends
         low = bare.lower() or word
         if low in units:
-            return xxhash.xxh64_intdigest(b"unit " + low, 7) >> 3 << 3 | ends  # a placeholder only after a number
+            return xxhash.xxh64_intdigest(b"unit " + low, 7) % USUAL >> 3 << 3 | ends  # a placeholder only after a number
         text = bare.decode("utf-8", "replace")
-        capital = CAPITAL if len(text) > 1 and text[0].isupper() and not text.isupper() else 0
-        return (xxhash.xxh64_intdigest(text.lower().encode(), 7) | 8) >> 2 << 2 | ends | capital
+        capital = 0
+        if len(text) > 1 and text[0].isupper():
+            capital = UPPER if text.isupper() else CAPITAL
+        low = text.lower().encode()
+        return (xxhash.xxh64_intdigest(low, 7) % USUAL | 8) >> 2 << 2 | ends | capital | (USUAL if low in common else 0)
 
     return f
 
 
 def templates(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two readings of the words: with the names as words, and with names (capital inside a sentence) as placeholders."""
-    ids = packed >> np.uint64(2)
+    ids = (packed & np.uint64(USUAL - 1)) >> np.uint64(2)
     unit = np.zeros(len(ids), bool)
     unit[1:] = (packed[1:] & np.uint64(4 | CAPITAL) == 0) & (ids[:-1] == NUMBER) & (ids[1:] > NAME)
     plain = np.where(unit, np.uint64(UNIT), ids)
-    inside = np.ones(len(ids), bool)
-    if len(ids):
-        inside[0] = False
-        inside[1:] = packed[:-1] & np.uint64(ENDS) == 0
-    named = np.where((packed & np.uint64(CAPITAL) > 0) & inside, np.uint64(NAME), plain)
+    named = np.where((packed & np.uint64(CAPITAL) > 0) & inside(packed), np.uint64(NAME), plain)
     return plain, named
 
 
+def inside(packed: np.ndarray) -> np.ndarray:
+    """Whether a word is not the first of a sentence."""
+    out = np.zeros(len(packed), bool)
+    out[1:] = packed[:-1] & np.uint64(ENDS) == 0
+    return out
+
+
+def short_names(packed: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A third reading: also names in all capitals and capitalised first words of sentences, common words aside, are names,
+    and a run of them in a sentence is one placeholder. With it: where each of its words begins, and the number of words."""
+    within = inside(packed)
+    name = (packed & np.uint64(CAPITAL | UPPER) > 0) & (within | (packed & np.uint64(USUAL) == 0)) & (plain > NAME)
+    first = np.ones(len(packed), bool)
+    first[1:] = ~(name[1:] & name[:-1] & within[1:])
+    begins = np.flatnonzero(first)
+    return np.where(name, np.uint64(NAME), plain)[begins], np.append(begins, len(packed))
+
+
 class Index:
     """Template windows of a block of benchmark items."""
 
@@ -85,13 +122,14 @@ class Index:
                 continue
             n = len(self.items)
             kinds[key] = ([item_id],)
-            self.items.append((kinds[key][0], words, plain, named))
-            w = min(width, len(words))
-            for reading in (plain, named):
+            short = short_names(packed, plain)
+            self.items.append((kinds[key][0], words, plain, named, *short))
+            for kind, reading in (0, plain), (0, named), (1, short[0]):
+                w = min(width, len(reading))
                 literal = np.convolve(reading > NAME, np.ones(w, int), "valid")
                 for pos, h in enumerate(rolling(reading, w).tolist()):
                     if literal[pos] >= min(3, w):
-                        at[w, h].append((n, pos))
+                        at[w, h].append((n, pos, kind))
         self.at = {k: sorted(set(v)) for k, v in at.items()}
         self.widths = sorted({w for w, _ in self.at})
         self.known = {w: np.array(sorted(h for v, h in self.at if v == w), np.uint64) for w in self.widths}
@@ -103,25 +141,33 @@ class Index:
     def matches(self, words: list[bytes], packed: np.ndarray, coverage: float) -> list[tuple[list, float, int]]:
         """(item ids, share of the item's words covered, first word in the document) for each item class found."""
         readings = templates(packed)
-        hits = defaultdict(set)
+        short = short_names(packed, readings[0])
+        hits, short_hits = defaultdict(set), defaultdict(set)
         for w in self.widths:
-            for reading in readings:
+            for kind, reading in (0, readings[0]), (0, readings[1]), (1, short[0]):
                 hashes = rolling(reading, w)
                 for pos in np.flatnonzero(self.maybe[w][(hashes & np.uint64(0xFFFFF)).astype(np.int64)]).tolist():
-                    for n, at in self.at.get((w, int(hashes[pos])), ()):
-                        hits[n, pos - at].update(range(at, at + w))
+                    for n, at, own in self.at.get((w, int(hashes[pos])), ()):
+                        if own == kind:
+                            (short_hits if kind else hits)[n, pos - at].update(range(at, at + w))
         best: dict = defaultdict(lambda: (set(), 1 << 60))
         for (n, shift), covered in sorted(hits.items()):
             covered = consistent(self.items[n], words, readings, shift, covered)
             if covered:
                 have, first = best[n]
                 best[n] = (have | covered, min(first, shift + min(covered)))
+        for (n, shift), covered in sorted(short_hits.items()):
+            covered = consistent_short(self.items[n], words, short, shift, covered)
+            if covered:
+                own, there = self.items[n][5], short[1]
+                have, first = best[n]
+                best[n] = (have.union(*[range(own[k], own[k + 1]) for k in covered]), min(first, int(there[shift + min(covered)])))
         return [(self.items[n][0], len(c) / len(self.items[n][1]), first) for n, (c, first) in sorted(best.items()) if len(c) >= coverage * len(self.items[n][1])]
 
 
 def consistent(item: tuple, words: list[bytes], readings: tuple, shift: int, covered: set[int]) -> set[int]:
     """The covered positions if the slots map one to one from item to document, else none."""
-    _, own, plain, named = item
+    _, own, plain, named, _, _ = item
     there: dict = {}
     back: dict = {}
     for k in covered:
@@ -133,6 +179,21 @@ def consistent(item: tuple, words: list[bytes], readings: tuple, shift: int, cov
     return covered
 
 
+def consistent_short(item: tuple, words: list[bytes], short: tuple, shift: int, covered: set[int]) -> set[int]:
+    """The same for the reading of short_names, where a slot's value is all words of the run."""
+    _, own, _, _, reading, begins = item
+    there: dict = {}
+    back: dict = {}
+    for k in covered:
+        if reading[k] <= NAME:
+            kind = int(reading[k])
+            a = kind, b" ".join(own[begins[k] : begins[k + 1]]).strip(b".,;:!?").lower()
+            b = kind, b" ".join(words[short[1][k + shift] : short[1][k + shift + 1]]).strip(b".,;:!?").lower()
+            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                return set()
+    return covered
+
+
 def benchmark_blocks(benchmark: DataFrame, block_words: int = 400_000) -> list[list[tuple[object, str]]]:
     """The items in blocks of about block_words words. One block at a time is on the driver when there are several."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
