@@ -113,7 +113,7 @@ def counts_expected(text):
         if line.strip(" \t\n\x0b\x0c\r"):
             dup += line in seen
             seen.add(line)
-    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(text.split("\n")) if text else 0
 
 
 def test_op2_counts(rows):
@@ -145,6 +145,34 @@ def test_op2_follows_the_group(spark):
     assert all(out[k] for k in range(200)) and not out[999]
 
 
+def test_op2_thresholds_come_from_the_groups(spark):
+    """On the driver's own tables: fences differ between groups of a language, and decide."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_rules.quality_counts(docs).select("doc_id", "lang", "source", "__counts.*")
+    rows = rows.where("n_words >= 20").withColumns({f"s_{k}": F.expr(e) for k, (e, _, _) in quality_rules.SIGNALS.items()})
+    found = quality_rules.thresholds(rows, 3.0, 20, 0.002).collect()
+    for k in ("word_length", "repeats", "dup_lines"):
+        assert len({r[f"hi_{k}"] for r in found if r["lang"] == "en"}) > 5
+    out = quality_rules.quality_rules(docs)
+    assert out.where("not base_failed and not kept").count() > 5
+
+
+def test_op2_sketch(spark):
+    """Fences are within the accuracy of those of exact quantiles, and do not depend on how rows are partitioned."""
+    random = np.random.default_rng(3)
+    values = np.concatenate((np.zeros(300), random.gamma(2.0, 3.0, 700)))
+    data = [("en", "s", float(v), 0.0, 0.0, float(v)) for v in values]
+    rows = spark.createDataFrame(data, "lang string, source string, s_symbols double, s_repeats double, s_dup_lines double, s_word_length double")
+    seen = set()
+    for parts in (1, 7):
+        r = quality_rules.thresholds(rows.repartition(parts), 3.0, 20, 0.002).first()
+        seen.add((r["hi_symbols"], r["lo_word_length"], r["hi_repeats"]))
+    (hi, lo, none), *others = seen
+    q = {p: np.quantile(values, p, method="inverted_cdf") for p in (0.1, 0.5, 0.9)}
+    assert not others and none == 0
+    assert abs(hi - (q[0.9] + 3 * (q[0.9] - q[0.5]))) < 0.002 * 4 * (q[0.9] + q[0.5]) and abs(lo - (q[0.1] - 3 * (q[0.5] - q[0.1]))) < 0.002 * 4 * q[0.5]
+
+
 def pack_expected(items, capacity, per_source):
     """Best fit by looking at every bin."""
     bins = []
