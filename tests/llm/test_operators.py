@@ -97,6 +97,32 @@ def test_op1_counts_documents_not_lines(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup_report(df).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 9: 0}
 
 
+def test_op1_sorts_and_streams(spark):
+    """The plan has one range exchange and a sort that the optimiser leaves, and occurrences come in order of position."""
+    data = [(d, 7, d, p, 1, 1) for d in range(3) for p in (9, 2, 5)] + [(0, 7, 0, 4, 2, 2)]
+    hashes = spark.createDataFrame(data, "d long, t long, r long, pos int, h1 long, h2 long")
+    runs = line_dedup.line_runs(hashes)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Sort [h1" in plan and plan.count("Exchange") == 1
+    assert sorted((r["h1"], r["d"], r["places"]) for r in runs.collect()) == [(1, 0, [2, 5, 9]), (1, 1, [2, 5, 9]), (1, 2, [2, 5, 9]), (2, 0, [4])]
+
+
+def test_op1_first_only(spark):
+    """Without the contract's rule that the keeper keeps all: only the first occurrence stays, by position."""
+    data = [(i, f"a\n{LONG}\nb\n{LONG}\nc") for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, first_only=True).collect()}
+    assert out == {**dict.fromkeys(range(4), "a\nb\nc"), 4: f"a\n{LONG}\nb\nc"}
+
+
+def test_op1_sql_on_repeated_rows(odd):
+    """The SQL and the operator mean the same by a document: a row."""
+    rows = odd.where("doc_id is not null").toPandas()[["doc_id", "text"]]
+    con = duckdb.connect()
+    con.register("documents", rows)
+    assert order(con.sql(ORACLE_SQL["op1_line_dedup"]).fetchall()) == order(map(tuple, line_dedup.line_dedup_report(odd.where("doc_id is not null")).collect()))
+
+
 def test_op1_sql(spark, small, docs):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")

@@ -1,9 +1,10 @@
 """Line dedup with DataFrame functions only.
 
 Eligible lines become 128-bit hashes with their document and position. The hashes are range-partitioned with a
-secondary sort by document, so that one very common line is spread over many partitions; each sorted run streams its
-first occurrence per document, and only one row per key and partition is merged. The decisions come back as sparse
-64-line bitmaps per document; text is read again only to apply them.
+secondary sort by document and position, so that one very common line is spread over many partitions; each sorted run is
+streamed into one row per line and document, with the positions of its occurrences in order, the first one first. These
+rows are counted, one row per key and partition, and those of common lines become sparse 64-line bitmaps per document;
+text is read again only to apply them.
 """
 
 from __future__ import annotations
@@ -27,11 +28,21 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_runs(hashes: DataFrame) -> DataFrame:
+    """hashes: h1, h2, d, t, r, pos. One row per line and row of the table (r): h1, h2, d, t, places (array<int>, in order).
+
+    The sorted run is streamed: collect_list keeps its order, so places[0] is the first occurrence. No exchange follows.
+    """
+    order = ["h1", "h2", "d", "r"]
+    runs = hashes.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
+    return runs.groupBy(*order).agg(F.first("t").alias("t"), F.collect_list("pos").alias("places")).drop("r")
+
+
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, first_only: bool = False) -> DataFrame:
     """One row per document that loses lines: d (its id), t (hash of its text), n_dropped, drops array<struct<w int, bits long>>.
 
     Bit b of word w is set if line 64 * w + b goes. A row is a document: repeated rows count one by one, and rows that
-    share the largest id all keep their lines. A null id counts as the smallest. Null and empty texts have one empty
+    share the largest id all keep their lines, or with first_only only the first occurrence in each. A null id counts as the smallest. Null and empty texts have one empty
     line, which is never eligible unless min_chars is 0. Empty tables give no rows.
     """
     # r numbers the rows, so it must be there before they are exploded into lines.
@@ -39,12 +50,16 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = rows.select("d", "t", "r", F.posexplode("lines").alias("pos", "line"))
     rows = lines.select("d", "t", "r", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashes = materialise(rows.select("d", "t", "r", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
-    order = ["h1", "h2", "d", "r"]
-    sorted_runs = hashes.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
-    firsts = sorted_runs.groupBy(*order).agg(F.min("pos").alias("pos"))
-    common = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
+    runs = materialise(line_runs(hashes), "line-runs")
+    common = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
     common = materialise(common.select("h1", "h2", "keeper"), "common-lines")
-    dropped = hashes.join(common, ["h1", "h2"]).where(~same(F.col("d"), F.col("keeper")))
+    held = runs.join(common, ["h1", "h2"])
+    goes = ~same(F.col("d"), F.col("keeper"))
+    if first_only:
+        places = F.when(goes, F.col("places")).otherwise(F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))))
+    else:
+        held, places = held.where(goes), F.col("places")
+    dropped = held.select("d", "t", F.explode(places).alias("pos"))
     words = dropped.groupBy("d", "t", F.expr("pos div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
     return words.groupBy("d", "t").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.collect_list(F.struct("w", "bits")).alias("drops"))
 
@@ -62,9 +77,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     return joined.withColumns({text_col: kept, "__n_dropped": F.coalesce("__n", F.lit(0)).cast("long")}).drop("__d", "__t", "__n", "__words", "__dense")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, first_only: bool = False) -> DataFrame:
     """docs with repeated lines gone from all documents but the one of the largest id; other columns as they were."""
-    return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col).select(*docs.columns)
+    return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_chars, min_docs, first_only), id_col, text_col).select(*docs.columns)
 
 
 def line_dedup_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -76,21 +91,21 @@ def line_dedup_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
 
 ORACLE_SQL = r"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
 k AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, pos, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
 c AS (
   SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+  GROUP BY key HAVING count(DISTINCT r) >= 5)
 SELECT k.doc_id AS doc_id, count(*)::BIGINT AS n_lines,
-       count(*) FILTER (c.key IS NOT NULL AND k.doc_id <> c.keeper)::BIGINT AS n_dropped,
+       count(*) FILTER (c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos)
-              FILTER (c.key IS NULL OR k.doc_id = c.keeper), '')) AS kept_sha256
+              FILTER (c.key IS NULL OR k.doc_id IS NOT DISTINCT FROM c.keeper), '')) AS kept_sha256
 FROM k LEFT JOIN c ON k.key = c.key
-GROUP BY k.doc_id
+GROUP BY k.r, k.doc_id
 """
