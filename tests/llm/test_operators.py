@@ -257,6 +257,26 @@ def test_op3(docs, rows, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_op3_does_not_depend_on_partitions(docs, odd):
+    for df, size in ((docs, 32), (odd, 4)):
+        one, two = (order(map(tuple, packing.pack_documents(df.repartition(n), group_rows=size).collect())) for n in (1, 6))
+        assert one == two and len(one) >= df.count()
+
+
+def test_op3_large_ids(spark):
+    ids = [(1 << 62) + 1, (1 << 62) + 2, None]
+    docs = spark.createDataFrame([(i, "a b", "s") for i in ids], "doc_id long, text string, source string")
+    assert order(r["doc_id"] for r in packing.pack_documents(docs).collect()) == order(ids)
+
+
+def test_op3_opens_bins_again(spark):
+    """Small groups come near to one large one, as what they leave loose is packed together."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    bins = lambda **k: packing.pack_documents(docs, **k).select("bin_id").distinct().count()
+    whole = bins()
+    assert bins(group_rows=128) <= whole * 1.01 < bins(group_rows=128, full=0.0)
+
+
 def fp_expected(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
