@@ -1,8 +1,9 @@
 """Shards along a Hilbert curve over metadata, so that a shard (and a file) spans a small box in every dimension.
 
 Language, source and size are quantised to 5 bits each. Names get their place among the distinct names in order, weighted
-by rows, so neighbouring names share cells; sizes get their power of two. Rows are range-partitioned by curve index and
-id, which splits a cell that holds a third of all rows, and global ranks come from one count a partition.
+by rows, so neighbouring names share cells; sizes get their power of two. Rows are range-partitioned by curve index
+and, within a cell, by checksum, size and id, which splits a cell that holds a third of all rows; global ranks come from
+one count a partition.
 """
 
 from __future__ import annotations
@@ -89,7 +90,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows") -> Data
     law "rows": shard sizes differ by one row at most. law "bytes": a row goes to the shard where its first byte lies, so
     shards differ by less than the largest row. size is the UTF-8 length plus 1 (null: 1), text_crc32 that of a null
     text 0. slot counts from 0 in each shard along the curve; grown_shard is null under both laws. Null names come first
-    in their dimension, null ids first in a cell; repeated rows take neighbouring slots. Empty tables give no rows.
+    in their dimension. Equal texts of one language and source lie in one cell and take neighbouring slots there, by
+    checksum, then size, then id (null first); a law comes before a group, so a group may go on in the next shard. Empty
+    tables give no rows.
     """
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -100,7 +103,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows") -> Data
         cells = cells.join(names, same(cells[column], names[f"v_{column}"])).drop(f"v_{column}")
     power = F.least(F.lit((1 << CELL_BITS) - 1), F.length(F.bin("size")) - 1)
     cells = cells.select("doc_id", "size", "text_crc32", "one", hilbert(F.col("c_lang"), F.col("c_source"), power).alias("curve_index"))
-    order = [F.col("curve_index"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    order = [F.col("curve_index"), F.col("text_crc32"), F.col("size"), F.col("doc_id").asc_nulls_first()]
     if law == "rows":
         ranked, total = running(cells, order, "one", "rank")
         shard = F.expr(f"rank * {shards} div {max(total, 1)}")
