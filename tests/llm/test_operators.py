@@ -423,6 +423,35 @@ def test_op6(docs, rows, odd, law):
     assert sharding.hilbert_shards(odd.limit(0), law=law).count() == 0
 
 
+def test_op6_against_a_second_construction(rows, docs):
+    """Cells by counting rows by hand (the curve itself has a test of its own), one sort, and ranks give the shards."""
+
+    def cells(column):
+        names = sorted({r[column] for r in rows}, key=lambda x: (x is not None, x or ""))
+        before, out = 0, {}
+        for name in names:
+            out[name] = min(31, before * 32 // len(rows))
+            before += sum(r[column] == name for r in rows)
+        return out
+
+    lang, source = cells(2), cells(3)
+    size = {r[0]: len((r[1] or "").encode()) + 1 for r in rows}
+    points = np.array([(lang[r[2]], source[r[3]], min(31, size[r[0]].bit_length() - 1)) for r in rows])
+    index = {r[0]: int(i) for r, i in zip(rows, sharding.hilbert_index(list(points.T)), strict=True)}
+    ranked = sorted(rows, key=lambda r: (index[r[0]], zlib.crc32((r[1] or "").encode()), size[r[0]], r[0]))
+    shard = {r[0]: k * 16 // len(rows) for k, r in enumerate(ranked)}
+    firsts = {s: min(k for k, r in enumerate(ranked) if shard[r[0]] == s) for s in set(shard.values())}
+    want = {r[0]: (index[r[0]], shard[r[0]], k - firsts[shard[r[0]]]) for k, r in enumerate(ranked)}
+    assert {r["doc_id"]: (r["curve_index"], r["shard"], r["slot"]) for r in sharding.hilbert_shards(docs).collect()} == want
+
+
+def test_op6_equal_texts_are_neighbours(spark):
+    data = [(k, f"text {k % 7}", "en", "s") for k in range(70)]
+    found = sharding.hilbert_shards(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), shards=2).collect()
+    along = [r["text_crc32"] for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))]
+    assert sum(a != b for a, b in zip(along, along[1:], strict=False)) == 6
+
+
 def held(i, folds, fold):
     return zlib.crc32(str(i if i is not None else "").encode()) % folds == fold
 
@@ -443,6 +472,27 @@ def test_op7(spark, odd):
     assert quality_nbsvm.quality_scores(odd.limit(0), marks).count() == 0
 
 
+def test_op7_against_plain_code(spark, docs, small):
+    """The sample, the fit and the scores without Spark."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = [i for i in labels if i in texts and not held(i, 5, 0)]
+    by = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    ids = sorted(ids, key=lambda i: by[i])
+    ratio, w, b, a, c = quality_nbsvm.fit([quality_nbsvm.indicators(texts[i]) for i in ids], [labels[i] for i in ids])
+    for r in quality_nbsvm.quality_scores(docs, spark.read.parquet(f"{small}/labels.parquet")).collect():
+        x = quality_nbsvm.indicators(texts[r["doc_id"]])
+        margin = (ratio * w)[x].sum() / np.sqrt((ratio[x] ** 2).sum()) + b
+        assert abs(r["score"] - 1 / (1 + np.exp(-(a * margin + c)))) < 1e-3
+
+
+def test_op7_bounds_the_sample(spark):
+    docs = spark.createDataFrame([(k, f"word{k} good text" if k % 2 else f"#{k} || bad") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality_nbsvm.quality_model(spark, docs, labels, most_features=100)
+    assert docs.select(model(F.col("text")).alias("p")).where("p between 0 and 1").count() == 60
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     random = np.random.default_rng(0)
     x = random.normal(size=(60, 5))

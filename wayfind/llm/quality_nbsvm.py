@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm._common import text_udf
+from wayfind.llm._common import materialise, text_udf
 
 BITS = 18
 SIZE = (1 << BITS) + 8
@@ -120,17 +120,23 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")) % folds == fold
 
 
-def quality_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 4000) -> Callable[[Column], Column]:
-    """A text to its probability of label 1. Learns from at most `most` labelled rows outside the held-out fifth, those of
-    the least hash of doc_id: a bounded sample, whole texts."""
+def quality_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 4000, most_features: int = 40_000_000) -> Callable[[Column], Column]:
+    """A text to its probability of label 1. Learns from labelled rows outside the held-out fifth, in the order of the hash
+    of doc_id: a bounded sample of whole texts, at most `most` rows with `most_features` features among them (160 MB)."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = spark.createDataFrame(chosen.collect() or [], chosen.schema)  # at most `most` small rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    features = text_udf(lambda: lambda batch: [indicators(t).tolist() for t in batch], "array<int>")
-    got = texts.select("quality", F.col("doc_id"), features(F.col("text")).alias("x")).orderBy(F.xxhash64("doc_id"), F.xxhash64("x")).limit(most).collect()
-    ratio, w, b, a, c = fit([np.asarray(r["x"], np.int64) for r in got], [r["quality"] for r in got])
+    packed = text_udf(lambda: lambda batch: [indicators(t).astype("<i4").tobytes() for t in batch], "binary")
+    rows = texts.select("quality", "doc_id", packed(F.col("text")).alias("x"))
+    rows = rows.withColumns({"h": F.xxhash64("doc_id"), "hx": F.xxhash64("x"), "size": F.expr("octet_length(x) div 4"), "at": F.monotonically_increasing_id()})
+    rows = materialise(rows, "quality-sample")
+    first = rows.select("h", "hx", "at", "size").orderBy("h", "hx", "at").limit(most)  # numbers only; features move once they are chosen
+    upto = first.withColumn("upto", F.sum("size").over(Window.orderBy("h", "hx", "at"))).where(F.col("upto") <= most_features)
+    taken = upto.agg(F.max(F.struct("h", "hx", "at")).alias("last")).first()["last"]
+    got = rows.where(F.struct("h", "hx", "at") <= F.struct(*[F.lit(x).cast("long") for x in taken])).orderBy("h", "hx", "at").select("quality", "x").collect() if taken else []
+    ratio, w, b, a, c = fit([np.frombuffer(r["x"], "<i4").astype(np.int64) for r in got], [r["quality"] for r in got])
     shared = spark.sparkContext.broadcast(((ratio * w).astype(np.float32), (ratio * ratio).astype(np.float32), b, a, c))
 
     def make():
