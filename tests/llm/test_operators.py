@@ -630,7 +630,77 @@ def test_op10(spark, odd):
     assert license_scan.scan_licenses(odd).where("families = ''").count() == len(ODD)
     assert license_scan.scan_licenses(odd.limit(0)).count() == 0
     near = spark.createDataFrame([(1, "Intro\nCopyright 2001 J. Doe. Licensed under the BSD 3-Clause License for all users"), (2, "The license of the engine was long in the making")], "doc_id long, text string")
-    assert {r["doc_id"]: r["families"] for r in license_scan.scan_licenses(near).collect()} == {1: "BSD", 2: ""}
+    assert {r["doc_id"]: r["families"] for r in license_scan.scan_licenses(near).collect()} == {1: "BSD-3-Clause", 2: ""}
+
+
+NOTICES = [
+    ("This page describes rivers and lakes. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("GNU General Public License, version 2.", "GPL-2.0"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.", "LGPL-2.1"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", "AGPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0"),
+    ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND"),
+    ("Licensed under CC BY 3.0.", "CC-BY"),
+    ("Permission is hereby granted, free of\ncharge, to any person obtaining a copy of this\nsoftware and associated documentation files (the Software)", "MIT"),
+    ("Intro line\n\nThis program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.\n\nThe end", "GPL-3.0"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:", "BSD"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Licensed under the ISC License", "ISC"),
+]
+
+
+def test_op10_versions_and_wrapped_notices(spark):
+    filler = [(1000 + k, f"plain line {k} about rivers\nand more text about the {k} lakes") for k in range(50)]
+    docs = spark.createDataFrame([*[(k, t) for k, (t, _) in enumerate(NOTICES)], (900, "Licensed under the Eclipse Public License, version 2.0"), (901, "Licensed under the GNU General Public License, version 1"), *filler], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    assert {k: found[k]["families"] for k in range(len(NOTICES))} == {k: f for k, (_, f) in enumerate(NOTICES)}
+    assert all(found[k]["n_paragraphs"] == 1 for k in range(len(NOTICES)))
+    assert [(found[k]["families"], found[k]["n_unknown"]) for k in (900, 901)] == [("", 1), ("", 1)]
+    assert not any(found[k]["families"] or found[k]["n_unknown"] for k, _ in filler)
+
+
+def follows(wanted, words, at, misses, found=0):
+    """The definition, by trying the next word that fits at the least distance or leaving a word out."""
+    if not wanted:
+        return found
+    w, rest = wanted[0], wanted[1:]
+    for k in range(1 if not found else license_scan.GAP + 1):
+        if at + k >= len(words):
+            break
+        if words[at + k] == w or w == "#" and license_scan.NUMBER.fullmatch(words[at + k]):
+            return 0 if set(words[at : at + k]) & license_scan.QUALIFIERS else follows(rest, words, at + k + 1, misses, found + 1)
+    return 0 if not misses or license_scan.needs(w) else follows(rest, words, at, misses - 1, found)
+
+
+def test_op10_confirmation_against_brute_force():
+    random = np.random.default_rng(5)
+    hits = 0
+    for family, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            for _ in range(12):
+                words = license_scan.words_of(text.replace("#", "4.0"))
+                for _ in range(random.integers(0, 4)):
+                    at = int(random.integers(0, len(words) + 1))
+                    words[at : at + int(random.integers(0, 2))] = [str(random.choice(["x", "the", "nc", "2", "3", "lesser", "version"]))] * int(random.integers(0, 3))
+                words = ["under", "the", *words, "end"]
+                want = 0.0
+                for t in texts:
+                    wanted = license_scan.words_of(t)
+                    most = int(len(wanted) * 0.1 + 1e-9)
+                    want = max([want, *[follows(wanted, words, at, most) / len(wanted) for at in range(len(words))]])
+                got = license_scan.template_match(family, words)
+                assert got == (want if want >= 0.9 else 0.0)
+                hits += got > 0
+    assert hits > 100
+
+
+def test_op10_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"line {k} {'long ' * 50}\nsecond {k}") for k in range(40)], "doc_id long, text string")
+    assert len(license_scan.sample_paragraphs(docs, 10, 5, 10_000)) == 5
+    assert len(license_scan.sample_paragraphs(docs, 10, 100, 10_000)) == 20
+    assert sum(map(len, license_scan.sample_paragraphs(docs, 10, 100, 600))) <= 600
+    assert license_scan.sample_paragraphs(docs.limit(0), 10, 5, 100) == []
 
 
 def test_word_cache():
