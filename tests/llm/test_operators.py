@@ -371,7 +371,12 @@ def test_op5_slots(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "He bought 5 apples at noon and then sold 5 apples again to the shop")], "item_id long, text string")
     ask = spark.createDataFrame([(0, "He bought 8 apples at noon and then sold 8 apples again to the shop"), (1, "He bought 8 apples at noon and then sold 3 apples again to the shop")], "doc_id long, text string")
-    assert [r["doc_id"] for r in decontam.find_leaks(ask, twice).collect()] == [0]
+    assert sorted(r["doc_id"] for r in decontam.find_leaks(ask, twice).collect()) == [0, 1]  # only the window with both slots is vetoed
+    near = spark.createDataFrame([(1, "He bought 5 apples and 5 pears at noon")], "item_id long, text string")
+    ask = spark.createDataFrame([(0, "He bought 7 apples and 7 pears at noon"), (1, "He bought 7 apples and 8 pears at noon")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.find_leaks(ask, near).collect()] == [0]
+    two = spark.createDataFrame([(1, "He bought 3 apples and 4 pears at noon")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.find_leaks(ask, two).collect()) == [0, 1]  # different values may become equal
 
 
 def test_op5_names_begin_sentences(spark):
@@ -381,20 +386,91 @@ def test_op5_names_begin_sentences(spark):
     texts = [
         other.replace("Tom", "Bob").replace("Ann", "Eve").replace("Paris", "Oslo"),
         "Before. " + other.replace("Tom", "Mary Lou").replace("Ann", "EVE").replace("Paris", "New York") + " After.",
-        other.replace("Tom", "BOB", 1).replace("Tom", "Jim").replace("Ann", "Eve").replace("Paris", "Oslo"),  # one slot, two values
+        other.replace("Tom", "BOB", 1).replace("Tom", "Jim").replace("Ann", "Eve").replace("Paris", "Oslo"),  # one slot, two values, in windows apart
         "Rivers run far away. Who gives more? Many eat apples. Anna has 3 pears. She is left alone.",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in decontam.find_leaks(docs, bench).collect()) == [0, 1]
-
-
-def test_op5_blocks(spark, small, docs, monkeypatch):
+    assert sorted(r["doc_id"] for r in decontam.find_leaks(docs, bench).collect()) == [0, 1, 2]
+
+
+def leaks_expected(docs, items, width=8, coverage=0.5):
+    """Every window of every document against every window of every item, as tuples of template words with the slots spelled out."""
+    pack = decontam.packer()
+
+    def windows(text):
+        words = (text or "").encode().split()
+        packed = np.array([pack(w) for w in words], np.uint64)
+        if len(words) < 3:
+            return words, []
+        plain, named = decontam.templates(packed)
+        short, begins = decontam.short_names(packed, plain)
+        out = []
+        for kind, reading, at in ((0, plain, range(len(words) + 1)), (0, named, range(len(words) + 1)), (1, short, begins)):
+            value = [b" ".join(words[at[k] : at[k + 1]]).strip(b".,;:!?").lower() if reading[k] <= decontam.NAME else None for k in range(len(reading))]
+            out.append((kind, [int(x) for x in reading], value, [int(x) for x in at]))
+        return words, out
+
+    known = defaultdict(list)
+    sizes = {}
+    for i, text in items:
+        words, readings = windows(text)
+        if len(words) < 3 or sum(x > decontam.NAME for x in readings[0][1]) < 3:
+            continue
+        sizes[i] = len(words)
+        for kind, reading, value, at in readings:
+            w = min(width, len(reading))
+            for k in range(len(reading) - w + 1):
+                if sum(x > decontam.NAME for x in reading[k : k + w]) >= min(3, w):
+                    known[kind, w, tuple(reading[k : k + w])].append((i, at[k], at[k + w], value[k : k + w]))
+    out = []
+    for d, text in docs:
+        hits = defaultdict(set)
+        where = {}
+        for kind, reading, value, at in windows(text)[1]:
+            for w in range(1, width + 1):
+                for k in range(len(reading) - w + 1):
+                    for i, first, last, own in known.get((kind, w, tuple(reading[k : k + w])), ()):
+                        if all(value[k + a] == value[k + b] for a in range(w) for b in range(a) if own[a] is not None and own[a] == own[b] and reading[k + a] == reading[k + b]):
+                            hits[i] |= set(range(first, last))
+                            where[i] = min(where.get(i, 1 << 60), at[k])
+        out += [(d, i, len(c) / sizes[i], where[i]) for i, c in hits.items() if len(c) >= coverage * sizes[i]]
+    return order(out)
+
+
+def templated(random, names=("Tom", "Ann", "Bob", "EVE", "Mary Lou", "New York", "Oslo")):
+    """Word problems with numbers and names exchanged, cut and mixed."""
+    stems = ["{n} has {a} apples and {b} pears. {m} gives {n} {a} more.", "How many km does {n} travel in {a} hours at {b} km before {m} arrives?", "{n} sold {a} kg of rice and {m} sold {b} kg. Who sold more?"]
+    text = " ".join(str(random.choice(stems)).format(n=random.choice(names), m=random.choice(names), a=random.integers(1, 6), b=random.integers(1, 6)) for _ in range(random.integers(1, 4)))
+    words = text.split()
+    return " ".join(words[: random.integers(2, len(words) + 1)])
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_op5_against_brute_force(spark, crowd):
+    random = np.random.default_rng(7)
+    items = [(k, templated(random)) for k in range(25)] + [(100, None), (101, "a b"), (102, "one two three four"), (103, "one two three four")]
+    docs = [(k, f"{'Before this. ' * (k % 2)}{templated(random)} and so on. {templated(random)}") for k in range(60)] + [(60, None), (61, ""), (62, "then one two three four"), (62, "then one two three four")]
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), crowd=crowd, filter_bits=10)
+    want = leaks_expected(docs, items)
+    assert order(map(tuple, found.collect())) == want and len(want) > 100
+
+
+def test_op5_on_tables(spark, small, docs, rows):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
-    whole = order(map(tuple, decontam.find_leaks(docs, bench).collect()))
-    blocks = decontam.benchmark_blocks
-    monkeypatch.setattr(decontam, "benchmark_blocks", lambda b: blocks(b, 200))
-    assert len(decontam.benchmark_blocks(bench)) > 1
-    assert order(map(tuple, decontam.find_leaks(docs, bench).collect())) == whole
+    want = leaks_expected([(r[0], r[1]) for r in rows], [(r["item_id"], r["text"]) for r in bench.collect()])
+    assert order(map(tuple, decontam.find_leaks(docs, bench).collect())) == want
+
+
+def test_op5_odd_rows(spark, odd):
+    """Repeated rows, clashing columns and ids that are not numbers."""
+    bench = spark.createDataFrame([("x", LONG, "k"), (None, LONG, "k"), ("y", None, "k")], "item_id string, text string, doc_id string")
+    named = odd.withColumn("item_id", F.lit("i")).withColumn("cls", F.lit(1)).withColumn("r", F.lit(2)).withColumn("t", F.lit(3))
+    found = order((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(named, bench).collect())
+    holds = [r[0] for r in ODD if r[1] and LONG in r[1].replace("\n", " ")]
+    assert found == order((d, i) for d in holds for i in ("x", None))
+    left = decontam.drop_leaks(named, bench)
+    assert left.columns == named.columns and left.count() == len(ODD) - len(holds)
+    assert decontam.find_leaks(named.limit(0), bench).count() == 0 and decontam.drop_leaks(named, bench.limit(0)).count() == len(ODD)
 
 
 def test_hilbert_curve():

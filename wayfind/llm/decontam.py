@@ -2,24 +2,24 @@
 
 Words of documents and benchmark items are reduced to templates: numbers, units after numbers and names become typed
 placeholders. Names are read in three ways: as words, as capitals inside a sentence, and with first words of sentences,
-words in all capitals and runs of names as one. Windows of template words are hashed and looked up in the benchmark's windows, in blocks of the benchmark
-of a fixed number of words, so the index that travels to the executors is bounded however large the benchmark is. Hits
-on one alignment of document and item are then checked: a slot value of the item must stand for one value in the
-document, and different ones for different ones, so a re-parameterised question is caught and a chance mixture is not.
+words in all capitals and runs of names as one. Windows of template words are hashed. The windows of the benchmark are a
+table; those of the documents pass a bit filter of a fixed size made from it, and what passes meets that table in a hash
+join, in one pass over the documents. A window counts if its slots are consistent: where the item has one value in two
+slots, the document has one value there too. So a re-parameterised question is caught and a chance mixture is not.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm._common import text_udf
+from wayfind.llm._common import materialise, same, text_udf
 from wayfind.llm._text import WordCache, numbers, rolling
 
 # Units that follow a number.
@@ -103,146 +103,171 @@ def short_names(packed: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(name, np.uint64(NAME), plain)[begins], np.append(begins, len(packed))
 
 
-class Index:
-    """Template windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[object, str]], width: int):
-        pack = packer()
-        self.items, at = [], defaultdict(list)
-        kinds: dict = {}
-        for item_id, text in items:
-            words = (text or "").encode().split()
-            packed = np.fromiter(map(pack, words), np.uint64, len(words))
-            plain, named = templates(packed)
-            if len(words) < 3 or (plain > NAME).sum() < 3:
-                continue  # nothing to hold on to
-            key = tuple(packed.tolist()), tuple(words)
-            if key in kinds:  # copies of an item are one class
-                kinds[key][0].append(item_id)
+EDGE = b".,;:!?"
+WIDEST = 8  # words of a window, at most: a pair of slots has its bit in an int
+
+
+class Readings:
+    """The windows of one text: three readings with their slots."""
+
+    def __init__(self, words: list[bytes], packed: np.ndarray):
+        self.words = words
+        self.plain, named = templates(packed)
+        short, begins = short_names(packed, self.plain)
+        places = np.arange(len(words) + 1)
+        self.all = [(0, self.plain, places), (0, named, places), (1, short, begins)]
+
+    def keys(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each reading: its number, the starts of its windows, and their keys. A window that two readings share comes once."""
+        for number, (kind, reading, _) in enumerate(self.all):
+            hashes = rolling(reading, width)
+            starts = np.arange(len(hashes))
+            if number == 1 and len(hashes):
+                other = np.concatenate(([0], np.cumsum(reading != self.plain)))
+                starts = np.flatnonzero(other[width:] > other[:-width])
+            keys = (hashes[starts] ^ np.uint64(kind << 4 | width)) * np.uint64(0x9E3779B97F4A7C15)
+            yield number, starts, keys ^ keys >> np.uint64(32)
+
+    def slots(self, number: int, start: int, width: int) -> int:
+        """The pairs of slots of a window that have one type and one value, a bit each."""
+        _, reading, begins = self.all[number]
+        at = [k for k in range(start, start + width) if reading[k] <= NAME]
+        value = [(int(reading[k]), b" ".join(self.words[begins[k] : begins[k + 1]]).strip(EDGE).lower()) for k in at]
+        return sum(1 << (a - start) * (2 * WIDEST - 1 - (a - start)) // 2 + b - a - 1 for i, a in enumerate(at) for j, b in enumerate(at[i + 1 :], i + 1) if value[i] == value[j])
+
+
+def item_windows(words: list[bytes], packed: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """width, key, first word, word after the last, slot pairs of each window with three plain words (or all, if it is narrower)."""
+    text = Readings(words, packed)
+    if len(words) < 3 or (text.plain > NAME).sum() < 3:
+        return  # nothing to hold on to
+    for w in {min(width, len(reading)) for _, reading, _ in text.all}:
+        for number, starts, keys in text.keys(w):
+            _, reading, begins = text.all[number]
+            if min(width, len(reading)) != w or not len(starts):
                 continue
-            n = len(self.items)
-            kinds[key] = ([item_id],)
-            short = short_names(packed, plain)
-            self.items.append((kinds[key][0], words, plain, named, *short))
-            for kind, reading in (0, plain), (0, named), (1, short[0]):
-                w = min(width, len(reading))
-                literal = np.convolve(reading > NAME, np.ones(w, int), "valid")
-                for pos, h in enumerate(rolling(reading, w).tolist()):
-                    if literal[pos] >= min(3, w):
-                        at[w, h].append((n, pos, kind))
-        self.at = {k: sorted(set(v)) for k, v in at.items()}
-        self.widths = sorted({w for w, _ in self.at})
-        self.known = {w: np.array(sorted(h for v, h in self.at if v == w), np.uint64) for w in self.widths}
-        self.maybe = {}
-        for w, known in self.known.items():
-            self.maybe[w] = np.zeros(1 << 20, bool)
-            self.maybe[w][(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    def matches(self, words: list[bytes], packed: np.ndarray, coverage: float) -> list[tuple[list, float, int]]:
-        """(item ids, share of the item's words covered, first word in the document) for each item class found."""
-        readings = templates(packed)
-        short = short_names(packed, readings[0])
-        hits, short_hits = defaultdict(set), defaultdict(set)
-        for w in self.widths:
-            for kind, reading in (0, readings[0]), (0, readings[1]), (1, short[0]):
-                hashes = rolling(reading, w)
-                for pos in np.flatnonzero(self.maybe[w][(hashes & np.uint64(0xFFFFF)).astype(np.int64)]).tolist():
-                    for n, at, own in self.at.get((w, int(hashes[pos])), ()):
-                        if own == kind:
-                            (short_hits if kind else hits)[n, pos - at].update(range(at, at + w))
-        best: dict = defaultdict(lambda: (set(), 1 << 60))
-        for (n, shift), covered in sorted(hits.items()):
-            covered = consistent(self.items[n], words, readings, shift, covered)
-            if covered:
-                have, first = best[n]
-                best[n] = (have | covered, min(first, shift + min(covered)))
-        for (n, shift), covered in sorted(short_hits.items()):
-            covered = consistent_short(self.items[n], words, short, shift, covered)
-            if covered:
-                own, there = self.items[n][5], short[1]
-                have, first = best[n]
-                best[n] = (have.union(*[range(own[k], own[k + 1]) for k in covered]), min(first, int(there[shift + min(covered)])))
-        return [(self.items[n][0], len(c) / len(self.items[n][1]), first) for n, (c, first) in sorted(best.items()) if len(c) >= coverage * len(self.items[n][1])]
-
-
-def consistent(item: tuple, words: list[bytes], readings: tuple, shift: int, covered: set[int]) -> set[int]:
-    """The covered positions if the slots map one to one from item to document, else none."""
-    _, own, plain, named, _, _ = item
-    there: dict = {}
-    back: dict = {}
-    for k in covered:
-        if plain[k] <= NAME or named[k] == NAME and readings[1][k + shift] == NAME:
-            kind = min(int(plain[k]), NAME) if plain[k] <= NAME else NAME
-            a, b = (kind, own[k].strip(b".,;:!?").lower()), (kind, words[k + shift].strip(b".,;:!?").lower())
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return set()
-    return covered
-
-
-def consistent_short(item: tuple, words: list[bytes], short: tuple, shift: int, covered: set[int]) -> set[int]:
-    """The same for the reading of short_names, where a slot's value is all words of the run."""
-    _, own, _, _, reading, begins = item
-    there: dict = {}
-    back: dict = {}
-    for k in covered:
-        if reading[k] <= NAME:
-            kind = int(reading[k])
-            a = kind, b" ".join(own[begins[k] : begins[k + 1]]).strip(b".,;:!?").lower()
-            b = kind, b" ".join(words[short[1][k + shift] : short[1][k + shift + 1]]).strip(b".,;:!?").lower()
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return set()
-    return covered
-
-
-def benchmark_blocks(benchmark: DataFrame, block_words: int = 400_000) -> list[list[tuple[object, str]]]:
-    """The items in blocks of about block_words words. One block at a time is on the driver when there are several."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.size(F.split(F.col("text"), " ")))).first()[0] or 0
-    parts = -(-total // block_words)
-    if parts <= 1:
-        return [[tuple(r) for r in rows.collect()]] if total else []
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [[tuple(r) for r in rows.where(part == k).collect()] for k in range(parts)]
-
-
-def leak_finder(spark: SparkSession, items: list[tuple[object, str]], width: int = 8, coverage: float = 0.5) -> Callable[[Column], Column]:
-    """Text to array<struct<item_id long, coverage double, word_at int>>, null if nothing is found."""
-    shared = spark.sparkContext.broadcast(items)
+            literal = np.convolve(reading > NAME, np.ones(w, int), "valid")
+            for start, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True):
+                if literal[start] >= min(3, w):
+                    yield w, key, int(begins[start]), int(begins[start + w]), text.slots(number, start, w)
+
+
+def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """cls (hash of the text), n_words, width, key, first, last, pairs: the windows of each distinct text, as a table."""
+    texts = benchmark.where(F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("cls")).agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordCache(packer())
+        for rows in batches:
+            for cls, text in zip(rows["cls"].tolist(), rows["text"].tolist(), strict=True):
+                words = text.encode().split()
+                found = pd.DataFrame(item_windows(words, numbers(words, cache), width), columns=["width", "key", "first", "last", "pairs"])
+                found.insert(0, "n_words", len(words))
+                found.insert(0, "cls", cls)
+                yield found
+
+    return materialise(texts.mapInPandas(run, "cls long, n_words int, width int, key long, first int, last int, pairs int"), "benchmark-windows")
+
+
+def bit_filter(windows: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits (2 MB for 24), set at the low bits of each key. The driver gets at most 2^bits / 64 rows, whatever the benchmark."""
+    place = F.col("key").bitwiseAND((1 << bits) - 1)
+    rows = windows.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, CAST((key & {(1 << bits) - 1}) % 64 AS INT)))").alias("w")).collect()
+    out = np.zeros(1 << bits - 6, np.int64)
+    for at, w in rows:
+        out[at] = w
+    return out.view(np.uint8)
+
+
+def window_hits(spark: SparkSession, windows: DataFrame, width: int, bits: int) -> Callable[[Column], Column]:
+    """Text to array<struct<key long, at int, pairs int>>: its windows that pass the filter; null without any."""
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # WIDEST at most
+    shared = spark.sparkContext.broadcast((bit_filter(windows, bits), widths))
 
     def make():
-        index, cache = Index(shared.value, width), WordCache(packer())
+        bits, widths = shared.value
+        known, cache = np.unpackbits(bits, bitorder="little").view(bool), WordCache(packer())
 
         def f(texts: list) -> list:
             out = []
             for t in texts:
                 words = t.encode().split() if t else []
-                found = index.matches(words, numbers(words, cache), coverage) if len(words) >= 3 else []
-                out.append([{"item_id": i, "coverage": c, "word_at": at} for ids, c, at in found for i in ids] or None)
+                found = []
+                if len(words) >= 3:
+                    text = Readings(words, numbers(words, cache))
+                    for w in widths:
+                        for number, starts, keys in text.keys(w):
+                            for k in np.flatnonzero(known[(keys & np.uint64(len(known) - 1)).astype(np.int64)]).tolist():
+                                start = int(starts[k])
+                                found.append({"key": int(keys[k].astype(np.int64)), "at": int(text.all[number][2][start]), "pairs": text.slots(number, start, w)})
+                out.append(found or None)
             return out
 
         return f
 
-    return text_udf(make, "array<struct<item_id long, coverage double, word_at int>>")
+    return text_udf(make, "array<struct<key long, at int, pairs int>>")
+
+
+def covered(spans: Column) -> Column:
+    """The number of words in the union of sorted struct<first, last> spans."""
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
+    step = lambda s, x: F.struct(F.greatest(s["upto"], x["last"]).alias("upto"), (s["n"] + F.greatest(x["last"] - F.greatest(s["upto"], x["first"]), F.lit(0))).alias("n"))
+    return F.aggregate(spans, start, step, lambda s: s["n"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5) -> DataFrame:
+def matched(hits: DataFrame, windows: DataFrame, coverage: float, crowd: int) -> DataFrame:
+    """r, cls, first, last, at, n_words: windows of documents and items with one key and consistent slots.
+
+    Windows that more than `crowd` items share would give every document that has one a row for every item. They count only
+    for a pair of document and item that also shares another window, except for items that such windows alone could
+    carry; so no pair is lost.
+    """
+    fits = F.col("pairs").bitwiseAND(F.bitwise_not(F.col("held"))) == 0
+    seen = hits.withColumnRenamed("pairs", "held")
+    out = ["r", "cls", "first", "last", "at", "n_words"]
+    crowded = materialise(windows.groupBy("key").agg(F.count_distinct("cls").alias("items")).where(F.col("items") > crowd).select("key"), "crowded-windows")
+    if crowded.isEmpty():
+        return seen.join(windows, "key").where(fits).select(*out)
+    common = windows.join(crowded, "key", "left_semi")
+    spans = common.groupBy("cls", "n_words").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"))
+    carried = materialise(spans.where(covered(F.col("s")) >= coverage * F.col("n_words")).select("cls"), "carried-items")
+    direct = windows.join(crowded, "key", "left_anti").unionByName(common.join(carried, "cls", "left_semi"))
+    one = materialise(seen.join(direct, "key").where(fits).select(*out), "direct-matches")
+    pairs = one.select("r", "cls").distinct()
+    two = seen.join(crowded, "key", "left_semi").join(pairs, "r").join(common.join(carried, "cls", "left_anti"), ["key", "cls"]).where(fits)
+    return one.union(two.select(*out))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, coverage: float, filter_bits: int, crowd: int) -> DataFrame:
+    """doc_id, t (hash of the text), r (number of the row), cls, coverage, word_at."""
+    if not 3 <= width <= WIDEST:
+        raise ValueError(f"a window has 3 to {WIDEST} words")
+    windows = benchmark_windows(benchmark, width)
+    find = window_hits(docs.sparkSession, windows, width, filter_bits)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("r"), find(F.col("text")).alias("m")).where(F.col("m").isNotNull())
+    rows = materialise(rows, "window-hits")
+    hits = rows.select("r", F.explode("m").alias("m")).select("r", "m.*")
+    spans = matched(hits, windows, coverage, crowd).groupBy("r", "cls", "n_words", "first", "last").agg(F.min("at").alias("at"))
+    found = spans.groupBy("r", "cls", "n_words").agg(covered(F.array_sort(F.collect_list(F.struct("first", "last")))).alias("n"), F.min("at").alias("word_at"))
+    found = found.where(F.col("n") >= coverage * F.col("n_words")).select("r", "cls", (F.col("n") / F.col("n_words")).alias("coverage"), "word_at")
+    return rows.select("r", "doc_id", "t").join(materialise(found, "found-items"), "r")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, filter_bits: int = 24, crowd: int = 64) -> DataFrame:
     """doc_id, item_id, coverage, word_at: the documents that hold benchmark items, and which.
 
-    An item is found if aligned, slot-consistent windows of `width` template words cover at least that share of it.
-    Items of fewer words are one window; those without three plain words can't be told and are not looked for. Null and
-    empty texts hold nothing; null items are skipped. Repeated rows come back each.
+    An item is found if slot-consistent windows of `width` template words cover at least that share of its words; word_at is
+    the document's first word in them. Items of fewer words are one window; those without three plain words can't be told
+    and are not looked for. Null and empty texts hold nothing; null items are skipped, and copies of an item are each
+    reported. Repeated rows come back each. Ids keep their types.
     """
-    out = None
-    for items in benchmark_blocks(benchmark):
-        found = docs.select("doc_id", F.explode(leak_finder(docs.sparkSession, items, width, coverage)(F.col("text"))).alias("m")).select("doc_id", "m.*")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("int").alias("word_at")).limit(0)
-    return out
+    found = _leaks(docs, benchmark, width, coverage, filter_bits, crowd)
+    items = benchmark.select(F.xxhash64("text").alias("cls"), "item_id")
+    return found.join(items, "cls").select("doc_id", "item_id", "coverage", "word_at")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5) -> DataFrame:
-    """docs without the rows that hold a benchmark item. No shuffle: each row is judged where it is read."""
-    for items in benchmark_blocks(benchmark):
-        docs = docs.where(leak_finder(docs.sparkSession, items, width, coverage)(docs["text"]).isNull())
-    return docs
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, filter_bits: int = 24, crowd: int = 64) -> DataFrame:
+    """docs without the rows that hold a benchmark item; columns as they were."""
+    found = _leaks(docs, benchmark, width, coverage, filter_bits, crowd).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t")).distinct()
+    found = materialise(found, "leaked-rows")
+    return docs.join(found, same(docs["doc_id"], F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left_anti")
