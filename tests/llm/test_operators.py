@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfind.llm import _text, components, decontam, langid, license_scan, line_dedup, packing, quality_nbsvm, quality_rules, sharding, simhash, url_lm
+from wayfind.llm import _text, components, decontam, langid, license_scan, line_dedup, packing, quality_nbsvm, quality_rules, sharding, simhash, simhash_wide, url_lm
 from wayfind.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, rank long, tokens int, h1 string, m string, fp string"
@@ -331,6 +331,77 @@ def test_op4_links_lose_nothing(spark, crowded):
     assert split(want, lambda x: x) == split(got, lambda x: x % (1 << 64))
 
 
+def jaccard_sets(texts, words=5):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    return out
+
+
+def wide_expected(texts, distance):
+    """Links by looking at every pair: a key in common and few enough differing bits."""
+    cache = _text.WordCache(lambda word: xxhash.xxh64_intdigest(word, 11))
+    made = [simhash_wide.wide_fingerprint(simhash_wide.shingles(t, 5, cache)) for t in texts]
+    bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for b, _ in made])
+    keys = [set(k.tolist()) for _, k in made]
+    return components_expected([(i, j) for i in range(len(texts)) for j in range(i + 1) if (i == j or keys[i] & keys[j]) and (bits[i] != bits[j]).sum() <= distance])
+
+
+def copies(random, n=60, length=200):
+    """Texts with copies that differ in some words."""
+    out = []
+    for _ in range(n):
+        words = [f"w{x}" for x in random.integers(0, 3000, length)]
+        out.append(" ".join(words))
+        for _ in range(random.integers(0, 3)):
+            other = list(words)
+            for at in random.integers(0, length, random.integers(1, 10)):
+                other[at] = "new"
+            out.append(" ".join(other))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [16_384, 2])
+def test_wide_simhash_against_brute_force(spark, crowded):
+    texts = [*copies(np.random.default_rng(4)), None, "", "one two", "one two", "ONE two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked, found = simhash_wide.similar_duplicates(docs, crowded=crowded)
+    got = {r["doc_id"]: r["component_id"] for r in marked.join(found, "fp").collect()}
+    if crowded > 2:
+        assert got == wide_expected(texts, simhash_wide.most_bits(0.8))
+    assert {r["doc_id"] for r in simhash_wide.one_of_each(docs, crowded=crowded).collect()} == set(got.values())
+    sets = jaccard_sets(texts)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) < 0.3 * len(sets[i] | sets[j])]
+    assert len(near) > 40 and np.mean([got[i] == got[j] for i, j in near]) >= 0.95
+    assert not any(got[i] == got[j] for i, j in far)
+
+
+def test_wide_simhash_recall_on_tables(spark):
+    """Near copies of the driver's own tables, found by exact Jaccard similarity over an index of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids, sets = list(texts), jaccard_sets(texts.values())
+    index = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            index[x].append(k)
+    pairs = {(i, j) for held in index.values() for i in held for j in held if i < j and texts[ids[i]] != texts[ids[j]]}
+    near = [(ids[i], ids[j]) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    marked, found = simhash_wide.similar_duplicates(docs)
+    got = {r["doc_id"]: r["component_id"] for r in marked.join(found, "fp").collect()}
+    assert len(near) > 10 and np.mean([got[i] == got[j] for i, j in near]) >= 0.9
+
+
+def test_wide_votes():
+    """Each bit's votes, by counting; more than 255 hashes."""
+    hashes = np.random.default_rng(0).integers(0, 1 << 63, 700).astype(np.uint64)
+    one = [simhash_wide.votes(hashes[k : k + 1]) for k in range(len(hashes))]
+    assert set(np.unique(one)) == {0, 1} and (simhash_wide.votes(hashes) == np.sum(one, 0)).all()
+    assert abs(np.mean(one) - 0.5) < 0.01
+
+
 def test_components(spark):
     random = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in random.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)]

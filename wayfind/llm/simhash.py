@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm._common import materialise, same, text_udf
+from wayfind.llm._common import materialise, text_udf
 from wayfind.llm.components import connected_components
 
 BITS = 64
@@ -109,15 +109,14 @@ def link_fingerprints(fps: DataFrame, distance: int = 3, blocks: int = 6, crowde
     return edges.union(_links(dense.select("fps"), distance))
 
 
-def _marked_and_classes(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
-    """Tables of (doc_id, t, fp) by row and (fp, root, component_id) by fingerprint. t: hash of the text."""
-    marked = materialise(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
+def classes(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """marked: doc_id, fp. fp, root, component_id of each fingerprint: the least node and the least id that the edges reach."""
     kinds = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "kinds")
-    parts = materialise(connected_components(link_fingerprints(kinds.select("fp"), distance)), "parts")
+    parts = materialise(connected_components(edges), "parts")
     rooted = kinds.join(parts, kinds["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    return marked, materialise(rooted.join(named, "root").select("fp", "root", "component_id"), "classes")
+    return materialise(rooted.join(named, "root").select("fp", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
@@ -127,18 +126,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Rows without an id are linked too but name no component; one of them alone has a null component_id.
     Repeated rows come back each. Empty tables give no rows.
     """
-    marked, classes = _marked_and_classes(docs, id_col, text_col, words, distance)
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the least id (no id: last), then of the least hash of the text."""
-    marked, classes = _marked_and_classes(docs, id_col, text_col, words, distance)
-    rows = materialise(marked.groupBy("doc_id", "t", "fp").agg(F.count("*").alias("n")), "distinct-rows").join(classes, "fp")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t", "n")).alias("x"))
-    first = materialise(first.select(F.col("x.doc_id").alias("__d"), F.col("x.t").alias("__t"), F.col("x.n").alias("__n")), "first")
-    kept = docs.join(first, same(docs[id_col], F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left_semi")
-    return kept if first.where("__n > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
+    marked = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
+    edges = link_fingerprints(marked.select("fp").distinct(), distance)
+    return marked.join(classes(marked, edges), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
