@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfind.llm import _text, components, decontam, langid, license_scan, line_dedup, packing, quality_nbsvm, quality_rules, sharding, simhash, simhash_wide, url_lm
+from wayfind.llm import _common, _text, components, decontam, langid, license_scan, line_dedup, packing, quality_nbsvm, quality_rules, sharding, simhash, simhash_wide, url_lm
 from wayfind.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, rank long, tokens int, h1 string, m string, fp string"
@@ -850,6 +850,24 @@ def test_op10_sample_is_bounded(spark):
     assert license_scan.sample_paragraphs(docs.limit(0), 10, 5, 100) == []
 
 
+@pytest.mark.parametrize("bits", [6, 24])
+def test_split_rows(spark, bits):
+    """Every row comes once; what the keys hold is never among the rows that certainly have none."""
+    docs = spark.range(500).withColumn("__w", F.lit("x")).withColumn("at", F.lit(1))
+    keys = spark.range(0, 500, 7).select(F.xxhash64("id").alias("key"))
+    maybe, others = _common.split_rows(docs, F.xxhash64("id"), keys, bits)
+    a, b = ([r["id"] for r in df.collect()] for df in (maybe, others))
+    assert sorted(a + b) == list(range(500)) and set(range(0, 500, 7)) <= set(a)
+    assert maybe.columns == docs.columns and (bits == 6 or len(a) == len(range(0, 500, 7)))
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    assert _common.scratch_folder(spark)
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://elsewhere:7077", raising=False)
+    with pytest.raises(ValueError):
+        _common.scratch_folder(spark)
+
+
 def test_word_cache():
     cache = _text.WordCache(len, most=2)
     assert [cache[w] for w in (b"a", b"bb", b"ccc", b"a")] == [1, 2, 3, 1] and len(cache) <= 2

@@ -19,10 +19,12 @@ _own_folder: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset, as in tests."""
+    """The cluster's shared folder. Where spark.checkpoint.dir is unset, a temporary one, if all runs on this machine, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="wayfind-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -64,6 +66,21 @@ def text_udf(make: Callable[[], Callable[[list], object]], schema: str) -> Calla
     return F.pandas_udf(run_struct if struct else run, schema).asNondeterministic()
 
 
+def split_rows(docs: DataFrame, key: Column, keys: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose key may be among keys (one long column, key), and those whose key certainly is not.
+
+    A bit filter of a fixed size is broadcast, 2^bits / 64 rows at most (4 MB for 24 bits), whatever the number of keys. So
+    only rows that may be concerned need to be moved to be joined. docs is read once for each part.
+    """
+    place = (1 << bits) - 1
+    at = lambda c: F.shiftright(c.bitwiseAND(place), 6).cast("int")
+    bit = lambda c: c.bitwiseAND(63).cast("int")
+    words = keys.groupBy(at(F.col("key")).alias("__filter_at")).agg(F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))").alias("__filter_word"))
+    marked = docs.withColumn("__filter_key", key).withColumn("__filter_at", at(F.col("__filter_key"))).join(F.broadcast(materialise(words, "row-filter")), "__filter_at", "left")
+    may = F.coalesce(F.getbit(F.col("__filter_word"), bit(F.col("__filter_key"))), F.lit(0)) == 1
+    return marked.where(may).select(*docs.columns), marked.where(~may).select(*docs.columns)
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

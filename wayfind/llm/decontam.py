@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm._common import materialise, same, text_udf
+from wayfind.llm._common import materialise, same, split_rows, text_udf
 from wayfind.llm._text import WordCache, numbers, rolling
 
 # Units that follow a number.
@@ -270,4 +270,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage:
     """docs without the rows that hold a benchmark item; columns as they were."""
     found = _leaks(docs, benchmark, width, coverage, filter_bits, crowd).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t")).distinct()
     found = materialise(found, "leaked-rows")
-    return docs.join(found, same(docs["doc_id"], F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left_anti")
+    concerned, others = split_rows(docs, F.xxhash64("doc_id"), found.select(F.xxhash64("__d").alias("key")))
+    return concerned.join(found, same(F.col("doc_id"), F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left_anti").union(others)

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm._common import SPACES, materialise, same
+from wayfind.llm._common import SPACES, materialise, same, split_rows
 
 
 def line_key(line: Column) -> Column:
@@ -65,16 +65,23 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col replaced by the lines that stay, joined by line feeds (null: empty), and __n_lines, __n_dropped (long)."""
+    """docs with text_col replaced by the lines that stay, joined by line feeds (null: empty), and __n_lines, __n_dropped (long).
+
+    Only texts that may lose a line are moved to meet their bitmaps.
+    """
+    bitmaps = materialise(bitmaps, "bitmaps")
+    concerned, others = split_rows(docs, F.xxhash64(id_col), bitmaps.select(F.xxhash64("d").alias("key")))
     marked = bitmaps.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("n_dropped").alias("__n"), F.map_from_entries("drops").alias("__words"))
-    lines = _lines(docs[text_col])
-    joined = docs.join(marked, same(docs[id_col], F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left")
+    text, lines = F.coalesce(F.col(text_col), F.lit("")), _lines(F.col(text_col))
+    joined = concerned.join(marked, same(F.col(id_col), F.col("__d")) & (F.xxhash64(text_col) == F.col("__t")), "left")
     joined = joined.withColumn("__n_lines", F.size(lines).cast("long"))
     dense = F.transform(F.sequence(F.lit(0), F.expr("int((__n_lines - 1) div 64)")), lambda w: F.coalesce(F.try_element_at("__words", w), F.lit(0).cast("long")))
     joined = joined.withColumn("__dense", F.when(F.col("__n").isNotNull(), dense))
     stays = F.filter(lines, lambda line, i: F.getbit(F.get("__dense", (i / 64).cast("int")), i % 64) == 0)
-    kept = F.when(F.col("__n").isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(stays, "\n"))
-    return joined.withColumns({text_col: kept, "__n_dropped": F.coalesce("__n", F.lit(0)).cast("long")}).drop("__d", "__t", "__n", "__words", "__dense")
+    kept = F.when(F.col("__n").isNull(), text).otherwise(F.array_join(stays, "\n"))
+    joined = joined.withColumns({text_col: kept, "__n_dropped": F.coalesce("__n", F.lit(0)).cast("long")}).drop("__d", "__t", "__n", "__words", "__dense")
+    whole = others.withColumns({text_col: text, "__n_lines": F.size(lines).cast("long"), "__n_dropped": F.lit(0).cast("long")})
+    return joined.unionByName(whole)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, first_only: bool = False) -> DataFrame:
