@@ -861,11 +861,21 @@ def test_split_rows(spark, bits):
     assert maybe.columns == docs.columns and (bits == 6 or len(a) == len(range(0, 500, 7)))
 
 
-def test_scratch_needs_a_shared_folder(spark, monkeypatch):
-    assert _common.scratch_folder(spark)
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://elsewhere:7077", raising=False)
-    with pytest.raises(ValueError):
-        _common.scratch_folder(spark)
+def test_scratch_needs_a_shared_folder():
+    """A temporary folder only where the driver and the executors are one process."""
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext, self.master, self.conf = self, master, {"spark.checkpoint.dir": folder} if folder else {}
+
+        def getConf(self):
+            return {}
+
+    assert _common.scratch_folder(Session("local[4]"))
+    assert _common.scratch_folder(Session("spark://elsewhere:7077", "s3a://shared/x/")) == "s3a://shared/x"
+    for master in ("spark://elsewhere:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            _common.scratch_folder(Session(master))
 
 
 def test_word_cache():

@@ -67,13 +67,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col replaced by the lines that stay, joined by line feeds (null: empty), and __n_lines, __n_dropped (long).
 
-    Only texts that may lose a line are moved to meet their bitmaps.
+    Only texts that may lose a line are moved to meet their bitmaps. Both grow with the corpus, so they are merged at every size.
     """
     bitmaps = materialise(bitmaps, "bitmaps")
     concerned, others = split_rows(docs, F.xxhash64(id_col), bitmaps.select(F.xxhash64("d").alias("key")))
     marked = bitmaps.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("n_dropped").alias("__n"), F.map_from_entries("drops").alias("__words"))
     text, lines = F.coalesce(F.col(text_col), F.lit("")), _lines(F.col(text_col))
-    joined = concerned.join(marked, same(F.col(id_col), F.col("__d")) & (F.xxhash64(text_col) == F.col("__t")), "left")
+    joined = concerned.join(marked.hint("merge"), same(F.col(id_col), F.col("__d")) & (F.xxhash64(text_col) == F.col("__t")), "left")
     joined = joined.withColumn("__n_lines", F.size(lines).cast("long"))
     dense = F.transform(F.sequence(F.lit(0), F.expr("int((__n_lines - 1) div 64)")), lambda w: F.coalesce(F.try_element_at("__words", w), F.lit(0).cast("long")))
     joined = joined.withColumn("__dense", F.when(F.col("__n").isNotNull(), dense))
