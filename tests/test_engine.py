@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,8 +85,70 @@ def test_hash_vectors(spark):
     v = vector.hash_vectors(docs, 64)
     assert v.select("doc_id").distinct().count() == 2
     assert v.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).where("abs(n - 1) > 1e-9").isEmpty()
-    best = vector.hash_topk(v, v.where("doc_id = 2").withColumnRenamed("doc_id", "query_id")).orderBy("rank").first()
-    assert best["doc_id"] == 2 and best["score"] == pytest.approx(1)
+    best = vector.hash_topk(docs, spark.createDataFrame([(7, "alpha beta")], "query_id int, query string"), dim=64).orderBy("rank").collect()
+    assert [r["doc_id"] for r in best] == [2, 1] and best[0]["score"] == pytest.approx(1)
+    signed = vector._Signed(64)
+    for term in ("alpha", "고객", "𝒳y"):  # the last one beyond the basic plane: two units
+        h = 2166136261
+        for c in np.frombuffer(term.encode("utf-16-le"), "<u2").tolist():
+            h = (h ^ c) * 16777619 % (1 << 32)
+        assert signed[term] == (h % 64, 1.0 if (h ^ 35) * 16777619 % 2 else -1.0)
+
+
+def test_content_terms_by_word(spark):
+    """The passes over the whole text against the rule a word."""
+    import re
+
+    from wayfind.functions import text as T
+
+    texts = ["고객은 제품을 a가b 은 는 는는 에서으로 사용", "the Client한테 x1을 가나다라마로부터 가이", "만만만 도로도로 에서에서 abc에서def", "", None, "A the 있다 있다는 하지만", "é고객é은é"]
+    stop = set(T.STOP_WORDS.split())
+    want = []
+    for t in texts:
+        words = [re.sub(f"({T.PARTICLES})$", "", w) for w in re.findall("[가-힣]+|[a-z0-9]+", (t or "").lower())]
+        want.append(list(dict.fromkeys(w for w in words if len(w) >= 2 and w not in stop)))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.content_terms(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == want
+
+
+def test_replace_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/table"
+    read = lambda: sorted(r[0] for r in spark.read.parquet(path).collect())
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(spark.read.parquet(path).selectExpr("id + 10 AS id"), path)  # reads what it replaces
+    assert read() == [10, 11, 12] and len(list(tmp_path.iterdir())) == 1
+    with pytest.raises(Exception, match="broken"):  # fails midway: the old rows stay
+        sinks.replace_table(spark.range(5).selectExpr("CASE WHEN id = 4 THEN raise_error('broken') ELSE id END AS id"), path)
+    assert read() == [10, 11, 12]
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.replace_table(spark.range(1), f"{tmp_path}/file/under")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "")], "doc_id long, text string")
+    assert vector.backfill(docs, f"{tmp_path}/vectors", 32) == {"updated": 2, "dim": 32}
+    assert vector.backfill(docs, f"{tmp_path}/vectors", 64) == {"updated": 2, "dim": 64}
+    assert spark.read.parquet(f"{tmp_path}/vectors").count() == 2
+    sinks.write_json(docs, f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json").count() == 2
+
+
+def test_replace_table_puts_the_old_one_back(spark, tmp_path):
+    """The second rename fails: here, because what is renamed is gone."""
+    path = f"{tmp_path}/table"
+    sinks.replace_table(spark.range(3), path)
+
+    class Gone:
+        """A frame whose write leaves nothing."""
+
+        sparkSession = spark
+
+        class write:  # noqa: N801
+            @staticmethod
+            def parquet(_):
+                return None
+
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.replace_table(Gone, path)
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_keyword(spark):
@@ -111,7 +174,9 @@ def views(spark):
 
 @pytest.mark.parametrize(
     "sql",
-    ["SELECT 1", "select * from things -- c", "WITH a AS (SELECT * FROM things) SELECT count(*) FROM a", "SELECT ';' AS a, '--x' AS b", "SELECT * FROM things WHERE id IN (SELECT id FROM things)", "SELECT * FROM (SELECT id FROM things) t ORDER BY id LIMIT 3", "SELECT CASE WHEN id > 1 THEN 'a' END FROM things", "SELECT id::string FROM things", "SELECT a.id FROM things a LEFT JOIN things b ON a.id = b.id", "SELECT id FROM things UNION ALL SELECT 1", "SELECT rank() OVER (ORDER BY id) r FROM things", "SELECT count(*) FROM things HAVING count(*) > 0", "SELECT * FROM VALUES (1), (2) AS t(x)", "SELECT EXISTS (SELECT 1 FROM things)"],
+    ["SELECT 1", "select * from things -- c", "WITH a AS (SELECT * FROM things) SELECT count(*) FROM a", "SELECT ';' AS a, '--x' AS b", "SELECT * FROM things WHERE id IN (SELECT id FROM things)", "SELECT * FROM (SELECT id FROM things) t ORDER BY id LIMIT 3", "SELECT CASE WHEN id > 1 THEN 'a' END FROM things", "SELECT id::string FROM things", "SELECT a.id FROM things a LEFT JOIN things b ON a.id = b.id", "SELECT id FROM things UNION ALL SELECT 1", "SELECT rank() OVER (ORDER BY id) r FROM things", "SELECT count(*) FROM things HAVING count(*) > 0", "SELECT * FROM VALUES (1), (2) AS t(x)", "SELECT EXISTS (SELECT 1 FROM things)", "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT * FROM b",
+     "WITH a AS (WITH b AS (SELECT 2 AS x) SELECT * FROM b) SELECT * FROM a", "WITH a AS (SELECT 1 AS x) SELECT (SELECT max(x) FROM a), (SELECT count(*) FROM things)",
+     "WITH secrets AS (SELECT 1 AS x) SELECT * FROM secrets", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r"],
 )
 def test_guard_accepts(spark, views, sql):
     assert sql_lane.sql_query(spark, sql, views).ok
@@ -119,9 +184,14 @@ def test_guard_accepts(spark, views, sql):
 
 @pytest.mark.parametrize(
     "sql",
-    ["INSERT INTO things VALUES (1, 'a')", "WITH a AS (SELECT 1) INSERT INTO things SELECT * FROM a", "DROP VIEW things", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM secrets", "SELECT * FROM things WHERE id IN (SELECT id FROM secrets)", "WITH a AS (SELECT * FROM secrets) SELECT * FROM a", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT (SELECT reflect('java.lang.System', 'getenv', 'x'))", "SHOW TABLES", "SET a = b", "", "not sql", "EXPLAIN SELECT 1", "CACHE TABLE things"],
+    ["INSERT INTO things VALUES (1, 'a')", "WITH a AS (SELECT 1) INSERT INTO things SELECT * FROM a", "DROP VIEW things", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM secrets", "SELECT * FROM things WHERE id IN (SELECT id FROM secrets)", "WITH a AS (SELECT * FROM secrets) SELECT * FROM a", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT (SELECT reflect('java.lang.System', 'getenv', 'x'))", "SHOW TABLES", "SET a = b", "", "not sql", "EXPLAIN SELECT 1", "CACHE TABLE things",
+     "WITH secrets AS (SELECT * FROM secrets) SELECT * FROM secrets", "SELECT b.v FROM (WITH secrets AS (SELECT 1 AS x) SELECT * FROM secrets) a CROSS JOIN secrets b",
+     "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "WITH a AS (WITH secrets AS (SELECT 1 AS x) SELECT * FROM secrets) SELECT * FROM a, secrets",
+     "SELECT (WITH secrets AS (SELECT 1 AS x) SELECT max(x) FROM secrets), (SELECT max(v) FROM secrets)", "WITH SECRETS AS (SELECT * FROM Secrets) SELECT 1",
+     "WITH secrets AS (SELECT 1 AS v) SELECT * FROM spark_catalog.default.secrets", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r, secrets WHERE n < 3) SELECT * FROM r"],
 )
 def test_guard_refuses(spark, views, sql):
+    spark.range(1).selectExpr("'hidden' AS v").createOrReplaceTempView("secrets")
     result = sql_lane.sql_query(spark, sql, views)
     assert not result.ok and result.error.startswith("refused")
     assert spark.table("things").count() == 300

@@ -47,6 +47,7 @@ class Engine:
     fix_sql: Callable[[str, str, str, dict], str | None] | None = None
     embedder: Callable[[str], list[float]] | None = None
     llm: Callable[[str], str] | None = None
+    hashed: DataFrame | None = None  # doc_id, embedding: hash vectors of documents, made once where no embedder is given
     lexicon: DataFrame | None = None
     pairs: DataFrame | None = None
     strict_parity: bool = False  # run the graph lane only for the route "graph", whatever the tools say
@@ -66,8 +67,10 @@ class Engine:
         if self.embedder and "embedding" in self.documents.columns:
             hits = vector.cosine_topk(self.documents, self.embedder(query), k, "doc_id", "embedding")
             return fusion.ranked_list(hits.withColumn("query_id", F.lit(0).cast("long")), 0, [F.desc("score"), F.col("doc_id")], F.col("doc_id"), "vector", F.lit("")).select("query_id", F.col("key").alias("doc_id"), "rank")
-        asked = vector.hash_vectors(self._ask(query).select("query_id", F.col("query").alias("text")), id_col="query_id")
-        return vector.hash_topk(vector.hash_vectors(self.documents), asked, k)
+        if self.hashed is None:
+            self.hashed = self.documents.select("doc_id", vector.hash_embedding(F.col("text")).alias("embedding")).persist()
+        asked = self._ask(query).select("query_id", vector.hash_embedding(F.col("query")).alias("embedding"))
+        return vector.cosine_topk_many(self.hashed, asked, k, "doc_id", places=9)
 
     def ontology_search(self, query: str, k: int = 5) -> DataFrame:
         return graph.ontology_search(self._ask(query), self.entities, self.aliases, k)

@@ -21,12 +21,15 @@ LONG_PARTICLES = (
     "|은|는|이|가|을|를|에|의|와|과|도|로|으로|에서|에게|까지|부터|만|이나|나|든지|처럼|보다|마다|조차|밖에"
 )
 VERB_ENDINGS = "합니다|입니다|했나요|하나요|인가요|는가|은가|나요|해줘|알려줘|보여줘|주세요|이야|야|임|중인|중"
-SYNONYMS = """
-클라이언트 고객사, client 고객사, 고객 고객사, 거래처 고객사, product 제품, 프로덕트 제품, 솔루션 제품, employee 직원,
-사원 직원, 담당자 직원, 엔지니어 직원, department 부서, 팀 부서, project 프로젝트, contract 계약, ticket 티켓, 문의 티켓,
-장애 장애, sales 매출, 판매 매출, 진행중 in_progress, 진행 in_progress, 완료 completed, 대기 on_hold, 해결 resolved,
-종료 closed, 활성 active
-"""
+SYNONYMS = {
+    "클라이언트": "고객사", "client": "고객사", "고객": "고객사", "거래처": "고객사",
+    "product": "제품", "프로덕트": "제품", "솔루션": "제품",
+    "employee": "직원", "사원": "직원", "담당자": "직원", "엔지니어": "직원",
+    "department": "부서", "팀": "부서", "project": "프로젝트", "contract": "계약",
+    "ticket": "티켓", "문의": "티켓", "장애": "장애", "sales": "매출", "판매": "매출",
+    "진행중": "in_progress", "진행": "in_progress", "완료": "completed", "대기": "on_hold",
+    "해결": "resolved", "종료": "closed", "활성": "active",
+}
 SEED_STOP_WORDS = """
 사용 사용중 사용하는 소속 담당 담당자 이끄는 맡은 팀장 부서장 제품 고객 고객사 직원 부서 프로젝트 계약 이슈 목록 현황 관련
 관련된 누구 어디 무엇 얼마 가장 많은 적은 진행 중인 알려줘 보여줘 궁금해 엔지니어 지원
@@ -55,10 +58,13 @@ def est_tokens(text: Column) -> Column:
 
 
 def content_terms(text: Column) -> Column:
-    """Distinct terms in lower case without a trailing particle, two characters at least, no stop words."""
-    raw = F.regexp_extract_all(F.lower(_or_empty(text)), F.lit(f"({HANGUL}+|[a-z0-9]+)"), F.lit(1))
-    bare = F.transform(raw, lambda w: F.regexp_replace(w, f"({PARTICLES})$", ""))
-    return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= 2) & ~F.array_contains(_words(STOP_WORDS), w)))
+    """Distinct terms in lower case without a trailing particle, two characters at least, no stop words.
+
+    A few passes over the whole text, nothing word by word: a particle is cut where its run of Hangul ends.
+    """
+    low = F.lower(_or_empty(text))
+    bare = F.when(low.rlike(HANGUL), F.regexp_replace(low, f"({PARTICLES})(?!{HANGUL})", " ")).otherwise(low)
+    return F.array_except(F.regexp_extract_all(bare, F.lit(f"({HANGUL}{{2,}}|[a-z0-9]{{2,}})"), F.lit(1)), _words(STOP_WORDS))
 
 
 def seed_terms(text: Column) -> Column:
@@ -110,14 +116,21 @@ def normalize_tokens(text: Column, nfkc: bool = True) -> Column:
 
 
 def normalize_folded(folded: Column) -> Column:
-    bare = F.transform(F.regexp_extract_all(folded, F.lit(f"({HANGUL}+|[a-z0-9]+)"), F.lit(1)), strip_tails)
-    table = F.create_map(*[F.lit(x) for pair in SYNONYMS.split(",") for x in pair.split()])
+    """Texts without Hangul need no rule of word ends, and without mixed words or synonyms no rule a word at all."""
+    table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
 
     def forms(w: Column) -> Column:
         pieces = F.filter(split_alnum(w), lambda p: F.length(p) >= 2)
         return F.concat(F.array(w), F.filter(F.array(F.try_element_at(table, w)), lambda s: s.isNotNull()), pieces)
 
-    single = F.flatten(F.transform(F.filter(bare, lambda w: F.length(w) >= 2), forms))
+    special = "[a-z][0-9]|[0-9][a-z]|" + "|".join(w for w in SYNONYMS if w.isascii())
+    plain = F.regexp_extract_all(folded, F.lit("([a-z0-9]{2,})"), F.lit(1))
+    bare = F.transform(F.regexp_extract_all(folded, F.lit(f"({HANGUL}+|[a-z0-9]+)"), F.lit(1)), strip_tails)
+    single = (
+        F.when(folded.rlike(HANGUL), F.flatten(F.transform(F.filter(bare, lambda w: F.length(w) >= 2), forms)))
+        .when(folded.rlike(special), F.flatten(F.transform(plain, lambda w: F.when(w.rlike(special), forms(w)).otherwise(F.array(w)))))
+        .otherwise(plain)
+    )
     alnum = F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), F.lit(1))
     hangul = F.transform(F.regexp_extract_all(folded, F.lit(f"({HANGUL}+)"), F.lit(1)), strip_tails)
     return F.array_distinct(F.concat(single, adjacent(alnum, 24), adjacent(hangul, 8)))
@@ -132,7 +145,7 @@ def normalize_query(text: Column, nfkc: bool = True) -> Column:
     folded = fold(_or_empty(text), nfkc)
     raw = F.regexp_extract_all(folded, F.lit(f"({HANGUL}+|[a-z0-9]+)"), F.lit(1))
     tokens = normalize_folded(folded)
-    table = F.create_map(*[F.lit(x) for pair in SYNONYMS.split(",") for x in pair.split()])
+    table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     changed = F.filter(raw, lambda w: strip_tails(w) != w)
     known = F.filter(raw, lambda w: F.try_element_at(table, strip_tails(w)).isNotNull())
     return F.struct(

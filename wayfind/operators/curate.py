@@ -15,23 +15,25 @@ def curate(items: DataFrame, queries: DataFrame, budget: int = 256) -> DataFrame
     later ones may still fit. The fold runs over the items of one question.
     """
     asked = queries.select("query_id", T.content_terms(F.col("query")).alias("qt"))
-    rated = items.join(asked, "query_id").withColumn("rel", F.size(F.array_intersect(T.content_terms(F.col("text")), "qt"))).withColumn("cost", T.est_tokens(F.col("text")))
-    rows = rated.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rel")).alias("r"), "idx", "cost", "text"))).alias("rows"))
+    own = items.select("query_id", F.col("idx").cast("int").alias("idx"), T.content_terms(F.col("text")).alias("terms"), T.est_tokens(F.col("text")).alias("cost"))
+    rated = own.join(asked, "query_id").select("query_id", "idx", "cost", F.size(F.array_intersect("terms", "qt")).alias("rel"))
+    rows = rated.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rel")).alias("r"), "idx", "cost"))).alias("rows"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
     fold = F.aggregate(
         "rows",
         start,
-        lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["kept"], F.array(x["idx"].cast("int"))).alias("kept"))).otherwise(s),
+        lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["kept"], F.array(x["idx"])).alias("kept"))).otherwise(s),
     )
-    out = rows.withColumn("fold", fold)
-    chosen = F.array_sort(F.transform(F.filter("rows", lambda x: F.array_contains(F.col("fold.kept"), x["idx"].cast("int"))), lambda x: F.struct(x["idx"].alias("idx"), x["text"].alias("text"))))
-    return out.select(
+    out = rows.withColumn("fold", fold).select(
         "query_id",
         F.array_sort("fold.kept").alias("kept"),
-        F.array_sort(F.transform(F.filter("rows", lambda x: ~F.array_contains(F.col("fold.kept"), x["idx"].cast("int"))), lambda x: x["idx"].cast("int"))).alias("dropped"),
+        F.array_sort(F.array_except(F.transform("rows", lambda x: x["idx"]), F.col("fold.kept"))).alias("dropped"),
         F.col("fold.used").alias("tokens_used"),
-        F.array_join(F.transform(chosen, lambda x: x["text"]), "\n").alias("context"),
     )
+    # Texts come in only now, and only those that are kept.
+    chosen = out.select("query_id", F.explode("kept").alias("idx")).join(items.select("query_id", F.col("idx").cast("int").alias("idx"), "text"), ["query_id", "idx"])
+    texts = chosen.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("context"))
+    return out.join(texts, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def curation_audit(curated: DataFrame, budget: int) -> DataFrame:
@@ -45,9 +47,8 @@ def naive_truncate(items: DataFrame, budget: int = 256) -> DataFrame:
     rows = rows.withColumn("whole", F.array_join(F.transform("rows", lambda x: x["text"]), "\n"))
     lo, hi = F.lit(0), F.length("whole")
     rows = rows.withColumn("lo", lo).withColumn("hi", hi)
-    # A question's context is short; 24 halvings cover 16 million characters.
     steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(24)),
+        F.sequence(F.lit(1), F.length(F.bin(F.length("whole").cast("long")))),  # enough halvings for any length
         F.struct(F.lit(0).alias("lo"), F.length("whole").alias("hi")),
         lambda s, _: F.when(
             s["lo"] < s["hi"],

@@ -56,40 +56,49 @@ def guard(spark: SparkSession, sql: str, views: Iterable[str] | None = None) ->
     """The statement, if its whole plan only reads registered views (or the given ones); Refused otherwise.
 
     The text is parsed, not matched: comments and semicolons inside literals are harmless, and a WITH that ends in INSERT
-    is refused. Names that are not plain views (paths, other catalogs) are refused too.
+    is refused. Names that are not plain views (paths, other catalogs) are refused too. A WITH query hides a table of its name
+    only where the WITH query can be seen.
     """
-    allowed = {v.lower() for v in (views if views is not None else (t.name for t in spark.catalog.listTables() if t.isTemporary))}
+    sensitive = spark.conf.get("spark.sql.caseSensitive") == "true"
+    fold = (lambda n: n) if sensitive else str.lower
+    allowed = {fold(v) for v in (views if views is not None else (t.name for t in spark.catalog.listTables() if t.isTemporary))}
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # a Java parse error behind Py4J
         raise Refused(f"not a statement: {str(e).strip().splitlines()[0][:300]}") from e
-    names: set[str] = set()
-    ctes: set[str] = set()
-    stack = [plan]
+    unknown: set[str] = set()
+    stack: list[tuple] = [(plan, frozenset())]  # with each node the names of the WITH queries that it can see
     while stack:
-        node = stack.pop()
+        node, seen = stack.pop()
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind not in READING_NODES:
             raise Refused(f"{kind} is not allowed")
         if kind == "UnresolvedRelation":
-            names.add(".".join(node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())).lower())
+            parts = [node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())]
+            name = fold(".".join(parts))
+            if name not in allowed and not (len(parts) == 1 and name in seen):
+                unknown.add(name)
         if kind == "UnresolvedTableValuedFunction":
             called = node.name().mkString(".").lower()
             if called not in ("range", "explode", "explode_outer", "posexplode", "inline", "stack"):
                 raise Refused(f"{called} is not allowed")
-        if kind == "UnresolvedWith":
-            for i in range(node.cteRelations().size()):
-                pair = node.cteRelations().apply(i)
-                ctes.add(pair._1().lower())
-                stack.append(pair._2())
         for what, x in _subplans(node):
             if what == "plan":
-                stack.append(x)
+                stack.append((x, seen))
             elif x.getClass().getSimpleName() == "UnresolvedFunction" and x.nameParts().last().lower() in REFLECTION:
                 raise Refused(f"{x.nameParts().last()} is not allowed")
-        stack += [x for x in _inner(node) if "plans.logical" in x.getClass().getName() or "catalyst.analysis" in x.getClass().getName()]
-    if unknown := sorted(names - allowed - ctes):
-        raise Refused(f"unknown or forbidden relation: {', '.join(unknown)}")
+        if kind == "UnresolvedWith":
+            # A WITH query is seen by those after it and by the body, by itself only if it is recursive, and not from outside.
+            for i in range(node.cteRelations().size()):
+                pair = node.cteRelations().apply(i)
+                name = fold(pair._1())
+                stack.append((pair._2(), seen | {name} if node.allowRecursion() else seen))
+                seen = seen | {name}
+            stack.append((node.child(), seen))
+            continue
+        stack += [(x, seen) for x in _inner(node) if "plans.logical" in x.getClass().getName() or "catalyst.analysis" in x.getClass().getName()]
+    if unknown:
+        raise Refused(f"unknown or forbidden relation: {', '.join(sorted(unknown))}")
     return sql
 
 

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
 from wayfind.functions import vectors as V
+from wayfind.sources.sinks import replace_table
 
 MOST_QUERY_NUMBERS = 8_000_000  # of one block of queries that travels to the executors: 64 MB
 
@@ -29,8 +30,8 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: float = 5, id_col: st
     return scored.orderBy(F.desc("score"), F.col(id_col)).limit(clamp_k(k))
 
 
-def cosine_topk_many(vectors: DataFrame, queries: DataFrame, k: float = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
-    """query_id, id, score, rank for each query; queries: query_id, vec_col.
+def cosine_topk_many(vectors: DataFrame, queries: DataFrame, k: float = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id", places: int | None = None) -> DataFrame:
+    """query_id, id, score, rank for each query; queries: query_id, vec_col. places: scores are rounded to so many first.
 
     Queries travel in blocks of a bounded size; each task multiplies its batches by a block and keeps k rows a query, so
     what is shuffled is k rows a query and task, not the product.
@@ -58,9 +59,12 @@ def cosine_topk_many(vectors: DataFrame, queries: DataFrame, k: float = 5, id_co
                 v = np.array(rows["v"].tolist(), np.float64)
                 length = np.linalg.norm(v, axis=1, keepdims=True)
                 score = matrix @ (v / np.where(length == 0, 1, length)).T
+                score = score if places is None else np.round(score, places)
                 ids = rows["id"].to_numpy()
+                least = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
                 for i in range(len(names)):
-                    order = np.lexsort((ids, -score[i]))[:k]
+                    near = np.flatnonzero(score[i] >= least[i])  # k, and what ties with the last
+                    order = near[np.lexsort((ids[near], -score[i][near]))[:k]]
                     found = held.get(i, []) + list(zip((-score[i][order]).tolist(), ids[order].tolist(), strict=True))
                     held[i] = sorted(found)[:k]
             for i, found in held.items():
@@ -74,24 +78,54 @@ def cosine_topk_many(vectors: DataFrame, queries: DataFrame, k: float = 5, id_co
     return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
-def hash_vectors(docs: DataFrame, dim: int = 768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, bucket, weight: each distinct term adds +1 or -1 to a bucket, then rows are brought to unit length.
+class _Signed(dict):
+    """Term to bucket and sign, by FNV-1a over UTF-16 units; computed once a term, emptied when it is full."""
 
-    Sparse on purpose: a document has at most as many rows as terms, and a cosine is a join on buckets. Documents without
-    terms have no rows.
-    """
-    terms = docs.select(F.col(id_col), F.explode(T.content_terms(F.col(text_col))).alias("term"))
-    sign = F.when(T.fnv1a(F.concat("term", F.lit("#"))) % 2 == 1, 1.0).otherwise(-1.0)
-    summed = terms.groupBy(id_col, (T.fnv1a(F.col("term")) % dim).cast("int").alias("bucket")).agg(F.sum(sign).alias("w")).where("w <> 0")
-    w = Window.partitionBy(id_col)
-    return summed.select(id_col, "bucket", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(w))).alias("weight"))
+    def __init__(self, dim: int, most: int = 500_000):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, term: str) -> tuple[int, float]:
+        if len(self) >= self.most:
+            self.clear()
+        units, h = np.frombuffer(term.encode("utf-16-le"), "<u2").tolist(), 2166136261
+        for c in units:
+            h = (h ^ c) * 16777619 & 0xFFFFFFFF
+        self[term] = out = (h % self.dim, 1.0 if (h ^ ord("#")) * 16777619 & 1 else -1.0)
+        return out
+
+
+def hash_embedding(text: Column, dim: int = 768) -> Column:
+    """array<double>: each distinct term adds +1 or -1 to a bucket, then unit length; null without a term left."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        signed = _Signed(dim)
+        for rows in batches:
+            out = []
+            for terms in rows:
+                v = np.zeros(dim)
+                for at, sign in map(signed.__getitem__, terms):
+                    v[at] += sign
+                length = np.sqrt(v @ v)
+                out.append(v / length if length else None)
+            yield pd.Series(out)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<double>")(T.content_terms(text))
+
+
+def hash_vectors(docs: DataFrame, dim: int = 768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, bucket, weight: the numbers of hash_embedding that are not zero. Rows without terms have none. No shuffle."""
+    dense = docs.select(F.col(id_col), hash_embedding(F.col(text_col), dim).alias("v")).where(F.col("v").isNotNull())
+    return dense.select(id_col, F.posexplode("v").alias("bucket", "weight")).where("weight <> 0")
 
 
-def hash_topk(doc_vectors: DataFrame, query_vectors: DataFrame, k: float = 5, id_col: str = "doc_id", query_col: str = "query_id") -> DataFrame:
-    """query_id, id, score, rank by cosine of hashed vectors, ties by id. Only pairs that share a bucket are formed."""
-    scored = query_vectors.withColumnRenamed("weight", "qw").join(doc_vectors, "bucket").groupBy(query_col, id_col).agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    w = Window.partitionBy(query_col).orderBy(F.desc(F.round("score", 9)), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= clamp_k(k)).select(query_col, id_col, "score", "rank")
+def hash_topk(docs: DataFrame, queries: DataFrame, k: float = 5, dim: int = 768, id_col: str = "doc_id", query_col: str = "query_id", text_col: str = "text", query_text: str = "query") -> DataFrame:
+    """query_id, id, score, rank by cosine of hashed vectors of the texts, ties (to nine places) by id; all documents with
+    a vector are ranked, as blocks of queries meet dense vectors."""
+    vectors = docs.select(id_col, hash_embedding(F.col(text_col), dim).alias("embedding"))
+    asked = queries.select(query_col, hash_embedding(F.col(query_text), dim).alias("embedding"))
+    return cosine_topk_many(vectors, asked, k, id_col, "embedding", query_col, places=9)
 
 
 def embed_text(title: F.Column, body: F.Column, between: str = "\n") -> F.Column:
@@ -99,7 +133,6 @@ def embed_text(title: F.Column, body: F.Column, between: str = "\n") -> F.Column
 
 
 def backfill(docs: DataFrame, path: str, dim: int = 768) -> dict:
-    """Hash vectors of all documents written under path (a new folder that replaces the old on success); rows and dim."""
-    out = hash_vectors(docs, dim)
-    out.write.mode("overwrite").parquet(path)
+    """Hash vectors of all documents as a table at path, which replaces an old one once it is whole; rows and dim."""
+    replace_table(hash_vectors(docs, dim), path)
     return {"updated": docs.count(), "dim": dim}

@@ -74,7 +74,7 @@ def kw_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and keyword lists of two questions, fused where the question names an identifier or dense found nothing."""
     docs = table(spark, sf_dir, "documents")
     asked = spark.createDataFrame([(0, "the thing that is heard"), (1, "license 2 Product-C1")], "query_id long, query string")
-    dense = vector.hash_topk(vector.hash_vectors(docs), vector.hash_vectors(asked.select("query_id", F.col("query").alias("text")), id_col="query_id"), 5)
+    dense = vector.hash_topk(docs, asked, 5)
     words = keyword.keyword_search(keyword.build_index(docs), asked)
     lists = dense.select("query_id", F.lit(0).alias("list_idx"), "rank", F.col("doc_id").alias("key")).unionByName(words.select("query_id", F.lit(1).alias("list_idx"), "rank", F.col("doc_id").alias("key")))
     fused = fusion.rrf_merge(lists).select("query_id", F.col("key").alias("doc_id"), "rank")

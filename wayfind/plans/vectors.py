@@ -77,13 +77,14 @@ def vec_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.hash_vectors(table(spark, sf_dir, "documents"), 256).withColumn("weight", F.round("weight", 6))
 
 
-@query(_HASHED + """, q AS (SELECT * FROM n WHERE doc_id % 100 = 0), c AS (SELECT q.doc_id AS query_id, n.doc_id, sum(q.weight * n.weight) AS score FROM q JOIN n USING (bucket) GROUP BY ALL),
+@query(_HASHED + """, q AS (SELECT * FROM n WHERE doc_id % 100 = 0), i AS (SELECT DISTINCT doc_id FROM n), qi AS (SELECT DISTINCT doc_id FROM q), p AS (SELECT q.doc_id AS query_id, n.doc_id, sum(q.weight * n.weight) AS score FROM q JOIN n USING (bucket) GROUP BY ALL),
+c AS (SELECT qi.doc_id AS query_id, i.doc_id, coalesce(score, 0) AS score FROM qi CROSS JOIN i LEFT JOIN p ON p.query_id = qi.doc_id AND p.doc_id = i.doc_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM c)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
 def vec_hash_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = vector.hash_vectors(table(spark, sf_dir, "documents"), 256)
-    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    return vector.hash_topk(docs, asked, 3).withColumn("score", F.round("score", 6))
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return vector.hash_topk(docs, asked, 3, 256).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT vec_id, round(coalesce(" + _COS.replace("q.embedding", "[0.0 for x in e.embedding]") + ", 0), 6) AS score FROM embeddings e")

@@ -4,21 +4,41 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside path, then swap by renames: readers see the old rows or the new ones, never a part."""
+    """Write beside path, then put the new folder in the place of the old one.
+
+    The old rows stay until the new ones are whole, so df may read from path. Between the two renames there is no table at
+    path; if the second fails, the old one is put back and an error is raised. What a failure leaves beside path has
+    `.new-` in its name.
+    """
     spark: SparkSession = df.sparkSession
     jvm = spark.sparkContext._jvm
     tag = uuid.uuid4().hex
-    df.write.parquet(f"{path}.new-{tag}")
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(f"{path}.old-{tag}"))
-    fs.rename(at(f"{path}.new-{tag}"), at(path))
-    fs.delete(at(f"{path}.old-{tag}"), True)
+    target, fresh, old = at(path), at(f"{path}.new-{tag}"), at(f"{path}.old-{tag}")
+    df.write.parquet(f"{path}.new-{tag}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def rename(a, b) -> bool:  # stores tell of a failure by false or by an exception
+        try:
+            return fs.rename(a, b)
+        except (Py4JError, PySparkException):
+            return False
+
+    had = fs.exists(target)
+    if had and not rename(target, old):
+        raise OSError(f"{path} could not be moved aside; it is as it was")
+    if not rename(fresh, target):
+        if had and not rename(old, target):
+            raise OSError(f"{path} could not be replaced; its rows are at {path}.old-{tag}")
+        raise OSError(f"{path} could not be replaced; it is as it was")
+    if had:
+        fs.delete(old, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
