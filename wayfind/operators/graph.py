@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
 
-# How relations read in a context line.
+# How relations read in a context line, and below, the texts of candidates.
 RELATION_LABELS = {
     "USES": "사용 중인 제품",
     "BELONGS_TO": "소속 부서",
@@ -32,26 +32,39 @@ def entity_key(kind: Column, entity_id: Column) -> Column:
     return F.concat(F.lit("entity:"), kind, F.lit("#"), entity_id.cast("string"))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters."""
+    starts = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
+
+
 def match_terms(terms: DataFrame, entities: DataFrame, aliases: DataFrame, like_wildcards: bool = True) -> DataFrame:
     """query_id, id, type, canonical_name, via, matched, score: the best match of each entity.
 
-    4 for the whole name, 3 for a whole alias, 2 for a prefix, 1 for a part. Terms are a list of questions' words, so the
-    part test is a nested-loop join against the (small) terms. like_wildcards: `_` and `%` in a term stand for anything.
+    4 for the whole name, 3 for a whole alias, 2 for a prefix, 1 for a part. like_wildcards: `_` and `%` in a term stand for
+    anything. A name that holds a term holds all its runs of three characters, so names and terms meet on that run of the
+    term's longest literal piece that fewest names have, and the test for a part comes after. Terms without such a run are
+    tested against all names.
     """
-
-    def scored(names: DataFrame, via: str, exact: int) -> DataFrame:
-        name, term = F.lower("name"), F.lower("term")
-        if like_wildcards:
-            part = F.expr("lower(name) LIKE concat('%', lower(term), '%')")
-            start = F.expr("lower(name) LIKE concat(lower(term), '%')")
-        else:
-            part, start = F.contains(name, term), F.startswith(name, term)
-        score = F.when(name == term, exact).when(start, 2).otherwise(1)
-        return names.join(terms, part).select("query_id", "id", F.lit(via).alias("via"), F.col("term").alias("matched"), score.alias("score"))
-
-    own = entities.select("id", F.col("canonical_name").alias("name"))
-    other = aliases.select(F.col("entity_id").alias("id"), F.col("alias").alias("name"))
-    hits = scored(own, "canonical", 4).unionByName(scored(other, "alias", 3))
+    own = entities.select("id", F.lower("canonical_name").alias("name"), F.lit("canonical").alias("via"), F.lit(4).alias("exact"))
+    other = aliases.select(F.col("entity_id").alias("id"), F.lower("alias").alias("name"), F.lit("alias").alias("via"), F.lit(3).alias("exact"))
+    names = own.unionByName(other)
+    pieces = F.split(F.lower("term"), "[_%]") if like_wildcards else F.array(F.lower("term"))
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    asked = terms.select("query_id", "term", F.lower("term").alias("low"), _grams(longest).alias("grams")).distinct()
+    if like_wildcards:
+        part, start = F.expr("name LIKE concat('%', low, '%')"), F.expr("name LIKE concat(low, '%')")
+    else:
+        part, start = F.contains("name", F.col("low")), F.startswith(F.col("name"), F.col("low"))
+    runs = names.withColumn("gram", F.explode(_grams(F.col("name"))))
+    wanted = asked.select("query_id", "term", "low", F.explode("grams").alias("gram"))
+    known = runs.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(known, "gram").groupBy("query_id", "term", "low").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    met = runs.join(rarest, "gram").where(part).select("query_id", "id", "term", "low", "name", "via", "exact")
+    short = asked.where(F.size("grams") == 0).select("query_id", "term", "low")
+    met = met.unionByName(names.join(short, part).select(*met.columns))
+    score = F.when(F.col("name") == F.col("low"), F.col("exact")).when(start, 2).otherwise(1)
+    hits = met.select("query_id", "id", "via", F.col("term").alias("matched"), score.alias("score"))
     best = hits.groupBy("query_id", "id").agg(
         F.min(F.struct(-F.col("score"), "via")).alias("v"),
         F.min(F.struct(-F.col("score"), "matched")).alias("m"),

@@ -15,7 +15,6 @@ _ALIASES = "als AS (SELECT id AS entity_id, ext_id AS alias FROM ents" + "".join
 _SMALL = f"""SELECT CAST(n_nationkey AS BIGINT) + {O['nation']} AS src, 'IN_REGION' AS rel_type, CAST(n_regionkey AS BIGINT) + {O['region']} AS dst FROM nation
  UNION ALL SELECT c_custkey + {O['customer']}, 'IN_NATION', c_nationkey + {O['nation']} FROM customer UNION ALL SELECT s_suppkey + {O['supplier']}, 'IN_NATION', s_nationkey + {O['nation']} FROM supplier"""
 _RELS = f"rels AS ({_SMALL} UNION ALL SELECT DISTINCT l_suppkey + {O['supplier']}, 'SUPPLIES', l_partkey + {O['part']} FROM lineitem UNION ALL SELECT DISTINCT o_custkey + {O['customer']}, 'ORDERED', l_partkey + {O['part']} FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
-_IDS = f"rels AS (SELECT *, row_number() OVER (ORDER BY rel_type, src, dst) AS id FROM ({_SMALL}))"
 _WITH = f"WITH RECURSIVE {_ENTITIES}, {_ALIASES}, "
 
 
@@ -34,14 +33,9 @@ def kg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.relations(spark, sf_dir)
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relations that are not facts of orders, with ids."""
-    return kg.numbered(kg.relations(spark, sf_dir, ("IN_REGION", "IN_NATION")))
-
-
 _QUESTIONS = [(1, "FRANCE의 고객"), (2, "customer_7 현황"), (3, "nation_1 BUILDING"), (4, "nothing-here 제품"), (5, "region_1")]
 _TERMS = "t(query_id, term) AS (VALUES (1, 'FRANCE'), (2, 'customer_7'), (3, 'nation_1'), (3, 'BUILDING'), (4, 'nothing-here'), (5, 'region_1'))"
-_SEARCH = _WITH + _IDS + f""", {_TERMS},
+_SEARCH = _WITH + _RELS + f""", {_TERMS},
 m AS (SELECT query_id, id, 'canonical' AS via, term, CASE WHEN lower(canonical_name) = lower(term) THEN 4 WHEN lower(canonical_name) LIKE lower(term) || '%' THEN 2 ELSE 1 END AS score FROM ents JOIN t ON lower(canonical_name) LIKE '%' || lower(term) || '%'
  UNION ALL SELECT query_id, entity_id, 'alias', term, CASE WHEN lower(alias) = lower(term) THEN 3 WHEN lower(alias) LIKE lower(term) || '%' THEN 2 ELSE 1 END FROM als JOIN t ON lower(alias) LIKE '%' || lower(term) || '%'),
 b AS (SELECT query_id, id, min_by(via, (-score, via)) AS via, min_by(term, (-score, term)) AS matched, max(score) AS score FROM m GROUP BY ALL),
@@ -59,14 +53,14 @@ def kg_ontology_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEEDS = [(1, O["region"] + 1), (1, O["nation"] + 3), (2, O["customer"] + 7)]
-_WALK = _WITH + _IDS + f""",
+_WALK = _WITH + _RELS + f""",
 seeds(query_id, seed) AS (VALUES {', '.join(f'({q}, CAST({s} AS BIGINT))' for q, s in _SEEDS)}),
-both_ways AS (SELECT id, src, rel_type, dst, src AS node, dst AS next FROM rels UNION ALL SELECT id, src, rel_type, dst, dst, src FROM rels),
-e1 AS (SELECT query_id, seed, id, src, rel_type, dst, next, 1 AS depth FROM seeds JOIN both_ways ON node = seed),
+both_ways AS (SELECT src, rel_type, dst, src AS node, dst AS next FROM rels UNION ALL SELECT src, rel_type, dst, dst, src FROM rels),
+e1 AS (SELECT query_id, seed, src, rel_type, dst, next, 1 AS depth FROM seeds JOIN both_ways ON node = seed),
 v1 AS (SELECT DISTINCT query_id, seed, next AS node FROM e1 EXCEPT SELECT query_id, seed, seed FROM seeds),
-e2 AS (SELECT query_id, seed, id, src, rel_type, dst, next, 2 AS depth FROM v1 JOIN both_ways USING (node)),
+e2 AS (SELECT query_id, seed, src, rel_type, dst, next, 2 AS depth FROM v1 JOIN both_ways USING (node)),
 v2 AS (SELECT DISTINCT query_id, seed, next AS node FROM e2 EXCEPT SELECT query_id, seed, node FROM v1 EXCEPT SELECT query_id, seed, seed FROM seeds),
-e3 AS (SELECT query_id, seed, id, src, rel_type, dst, next, 3 AS depth FROM v2 JOIN both_ways USING (node)) """
+e3 AS (SELECT query_id, seed, src, rel_type, dst, next, 3 AS depth FROM v2 JOIN both_ways USING (node)) """
 
 
 def _expand(depth: int):
@@ -74,10 +68,10 @@ def _expand(depth: int):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         seeds = spark.createDataFrame(_SEEDS, "query_id int, seed long")
-        return graph.graph_expand(seeds, _small(spark, sf_dir), depth).select("query_id", "seed", "src", "rel_type", "dst", "depth", "id")
+        return graph.graph_expand(seeds, kg.relations(spark, sf_dir), depth).select("query_id", "seed", "src", "rel_type", "dst", "depth")
 
     run.__name__ = f"kg_expand_{depth}"
-    query(_WALK + f"SELECT query_id, seed, src, rel_type, dst, min(depth) AS depth, min(id) AS id FROM ({union}) GROUP BY ALL")(run)
+    query(_WALK + f"SELECT query_id, seed, src, rel_type, dst, min(depth) AS depth FROM ({union}) GROUP BY ALL")(run)
 
 
 for _d in (1, 2, 3):
@@ -103,30 +97,30 @@ def kg_argmax_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.argmax(kg.relations(spark, sf_dir, ("SUPPLIES",)), kg.entities(spark, sf_dir), "SUPPLIES", "source")
 
 
-@query(_WITH + _IDS + f"SELECT DISTINCT 1 AS query_id, canonical_name AS name FROM rels JOIN ents ON ents.id = src WHERE rel_type = 'IN_NATION' AND dst = {O['nation'] + 3}")
+@query(_WITH + _RELS + f"SELECT DISTINCT 1 AS query_id, canonical_name AS name FROM rels JOIN ents ON ents.id = src WHERE rel_type = 'IN_NATION' AND dst = {O['nation'] + 3}")
 def kg_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(1, O["nation"] + 3)], "query_id int, seed long")
-    return graph.neighbors(seeds, _small(spark, sf_dir), kg.entities(spark, sf_dir), "IN_NATION", "in")
+    return graph.neighbors(seeds, kg.relations(spark, sf_dir), kg.entities(spark, sf_dir), "IN_NATION", "in")
 
 
-@query(_WITH + _IDS + f"SELECT DISTINCT 1 AS query_id, canonical_name AS name FROM rels a JOIN rels b ON b.rel_type = 'IN_NATION' AND b.dst = a.src JOIN ents ON ents.id = b.src WHERE a.rel_type = 'IN_REGION' AND a.dst = {O['region'] + 2}")
+@query(_WITH + _RELS + f"SELECT DISTINCT 1 AS query_id, canonical_name AS name FROM rels a JOIN rels b ON b.rel_type = 'IN_NATION' AND b.dst = a.src JOIN ents ON ents.id = b.src WHERE a.rel_type = 'IN_REGION' AND a.dst = {O['region'] + 2}")
 def kg_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(1, O["region"] + 2)], "query_id int, seed long")
-    return graph.two_hop(seeds, _small(spark, sf_dir), kg.entities(spark, sf_dir), "IN_REGION", "in", "IN_NATION", "in")
+    return graph.two_hop(seeds, kg.relations(spark, sf_dir), kg.entities(spark, sf_dir), "IN_REGION", "in", "IN_NATION", "in")
 
 
-@query(_WITH + _IDS + """, p AS (SELECT rels.id AS edge, 0 AS way, a.type AS from_type, b.type AS to_type, rel_type FROM rels JOIN ents a ON a.id = src JOIN ents b ON b.id = dst),
+@query(_WITH + _RELS + """, p AS (SELECT (rel_type, src, dst) AS edge, 0 AS way, a.type AS from_type, b.type AS to_type, rel_type FROM rels JOIN ents a ON a.id = src JOIN ents b ON b.id = dst),
 u AS (SELECT * FROM p UNION ALL SELECT edge, 1, to_type, from_type, rel_type FROM p)
 SELECT from_type, to_type, min_by(rel_type, (edge, way)) AS relation FROM u GROUP BY ALL""")
 def kg_type_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kg.type_pairs(_small(spark, sf_dir), kg.entities(spark, sf_dir))
+    return kg.type_pairs(kg.relations(spark, sf_dir), kg.entities(spark, sf_dir))
 
 
 _LISTS = """
 WITH src AS (SELECT o_custkey % 40 AS query_id, o_orderkey, o_totalprice, o_orderdate, o_custkey FROM orders),
 l AS (SELECT query_id, 0 AS list_idx, o_custkey AS key, row_number() OVER (PARTITION BY query_id ORDER BY o_totalprice DESC, o_orderkey) AS rank, 'price' AS source, CAST(o_orderkey AS VARCHAR) AS text FROM src
  UNION ALL SELECT query_id, 1, o_custkey, row_number() OVER (PARTITION BY query_id ORDER BY o_orderdate DESC, o_orderkey), 'date', CAST(o_orderkey AS VARCHAR) FROM src),
-ones AS (SELECT query_id, list_idx, key, source, min(rank) AS rank, min_by(text, rank) AS text FROM l WHERE rank <= 60 GROUP BY ALL)"""
+ones AS (SELECT query_id, list_idx, key, source, min(rank) AS rank, min_by(text, rank) AS text FROM l GROUP BY ALL)"""
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +129,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = lambda c: [F.desc(c), F.col("o_orderkey")]
     text = F.col("o_orderkey").cast("string")
     one = fusion.ranked_list(orders, 0, order("o_totalprice"), F.col("o_custkey"), "price", text)
-    return one.unionByName(fusion.ranked_list(orders, 1, order("o_orderdate"), F.col("o_custkey"), "date", text)).where("rank <= 60")
+    return one.unionByName(fusion.ranked_list(orders, 1, order("o_orderdate"), F.col("o_custkey"), "date", text))
 
 
 @query(_LISTS + """SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, string_agg(list_idx::VARCHAR, ',' ORDER BY list_idx) AS sources FROM ones GROUP BY query_id, key""")
@@ -159,18 +153,18 @@ def ev_rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SEARCH + f""", sd AS (SELECT query_id, id AS seed, rank AS pos FROM h WHERE rank <= 3),
-ed AS (SELECT DISTINCT query_id, seed, pos, rels.id AS id, src, dst FROM sd JOIN rels ON src = seed OR dst = seed),
-it AS (SELECT query_id, 0 AS g, CAST(rank AS BIGINT) AS o, CAST(0 AS BIGINT) AS o2, id AS key FROM h WHERE rank <= 5 UNION ALL SELECT query_id, 1, pos, id, CASE WHEN dst = seed THEN src ELSE dst END FROM ed),
+ed AS (SELECT DISTINCT query_id, seed, pos, rel_type, src, dst FROM sd JOIN rels ON src = seed UNION SELECT DISTINCT query_id, seed, pos, rel_type, src, dst FROM sd JOIN rels ON dst = seed),
+it AS (SELECT query_id, 0 AS g, CAST(rank AS BIGINT) AS o, ('', CAST(0 AS BIGINT), CAST(0 AS BIGINT)) AS o2, id AS key FROM h WHERE rank <= 5 UNION ALL SELECT query_id, 1, pos, (rel_type, src, dst), CASE WHEN dst = seed THEN src ELSE dst END FROM ed),
 rk AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY g, o, o2) AS rank FROM it),
 on1 AS (SELECT query_id, key, min(rank) AS rank FROM rk GROUP BY ALL)
 SELECT query_id, 'entity:' || type || '#' || key AS key, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM on1 JOIN ents ON ents.id = key""")
 def kg_retrieve_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph list of kg_retrieve: hits, then the edges of the first three, fused into one score a key."""
+    """The graph list of kg_retrieve: hits, then the edges of the first three over all relations, fused into one score a key."""
     ents = kg.entities(spark, sf_dir)
     hits = _hits(spark, sf_dir)
     seeds = hits.where("rank <= 3").select("query_id", F.col("id").alias("seed"), F.col("rank").alias("at"))
-    edges = graph.named(graph.graph_expand(seeds, _small(spark, sf_dir), 1), ents).join(seeds, ["query_id", "seed"])
-    facts = graph.edge_candidates(edges, F.col("seed")).select("query_id", F.lit(1).alias("g"), F.struct("at", "id").alias("o"), "canonical_key", "text")
-    names = graph.ontology_candidates(hits).select("query_id", F.lit(0).alias("g"), F.struct(F.col("rank").alias("at"), F.lit(0).cast("long").alias("id")).alias("o"), "canonical_key", "text")
+    edges = graph.named(graph.graph_expand(seeds, kg.relations(spark, sf_dir), 1), ents).join(seeds, ["query_id", "seed"])
+    facts = graph.edge_candidates(edges, F.col("seed")).select("query_id", F.lit(1).alias("g"), F.struct("at", "rel_type", "src", "dst").alias("o"), "canonical_key", "text")
+    names = graph.ontology_candidates(hits).select("query_id", F.lit(0).alias("g"), F.struct(F.col("rank").alias("at"), F.lit("").alias("rel_type"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst")).alias("o"), "canonical_key", "text")
     items = fusion.ranked_list(names.unionByName(facts), 0, [F.col("g"), F.col("o")], F.col("canonical_key"), "graph", F.col("text"))
     return fusion.rrf_merge(items).select("query_id", "key", F.round("score", 9).alias("score"))

@@ -29,7 +29,7 @@ sql_query("sql_count", "SELECT count(*) AS n FROM lineitem")
 sql_query("sql_count_filter", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
 sql_query("sql_count_distinct", "SELECT count(DISTINCT o_custkey) AS n_customers, count(DISTINCT o_orderpriority) AS n_priorities FROM orders")
 sql_query("sql_min_max_avg", "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean FROM orders")
-sql_query("sql_projection_arithmetic", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice, 2) AS worth FROM lineitem WHERE l_orderkey <= 200")
+sql_query("sql_projection_arithmetic", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice, 2) AS worth FROM lineitem")
 sql_query("sql_in_list", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderpriority")
 sql_query("sql_between_dates", "SELECT count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1996-12-31 00:00:00'", None)
 sql_query("sql_half_open_range", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-04-01' GROUP BY o_orderstatus")
@@ -40,6 +40,7 @@ sql_query("sql_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%
 sql_query("sql_json_path", "SELECT get_json_object(props, '$.k') AS k, count(*) AS n FROM events GROUP BY get_json_object(props, '$.k')", "SELECT props->>'$.k' AS k, count(*) AS n FROM events GROUP BY 1")
 sql_query("sql_impossible", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'none such'")
 sql_query("sql_case_extract_round", "SELECT extract(YEAR FROM o_orderdate) AS y, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n_f, CAST(round(avg(CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 1 ELSE 0 END), 6) AS DOUBLE) AS share_p FROM orders GROUP BY extract(YEAR FROM o_orderdate)", "SELECT CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS y, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_f, round(avg(CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 1 ELSE 0 END), 6) AS share_p FROM orders GROUP BY 1")
+sql_query("sql_cast", "SELECT o_orderkey::string AS k, (o_totalprice::decimal(18,2) * 2)::double AS twice FROM orders", "SELECT o_orderkey::VARCHAR AS k, (o_totalprice::DECIMAL(18,2) * 2)::DOUBLE AS twice FROM orders")
 sql_query("sql_join2_group", f"SELECT c_mktsegment, count(*) AS n, {MONEY.format('o_totalprice')} AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 sql_query("sql_join4_group", f"SELECT r_name, p_brand, {MONEY.format('l_extendedprice')} AS worth FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey GROUP BY r_name, p_brand")
 sql_query("sql_anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1998-02-01')")
@@ -50,7 +51,7 @@ sql_query("sql_argmax", "SELECT p_brand FROM lineitem JOIN part ON l_partkey = p
 sql_query("sql_order_by_hidden_aggregate", "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY max(c_acctbal) DESC, c_mktsegment LIMIT 3")
 sql_query("sql_topk_tiebreak", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25")
 sql_query("sql_topk_values", "SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 10")
-sql_query("sql_null_order", "WITH x AS (SELECT documents.doc_id AS doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) SELECT doc_id, quality FROM x ORDER BY quality ASC NULLS LAST, doc_id LIMIT 40")
+sql_query("sql_null_order", "WITH x AS (SELECT documents.doc_id AS doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place_last, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS place_first FROM x", "SELECT documents.doc_id AS doc_id, quality, CAST(row_number() OVER (ORDER BY quality ASC NULLS LAST, documents.doc_id) AS INTEGER) AS place_last, CAST(row_number() OVER (ORDER BY quality DESC NULLS FIRST, documents.doc_id) AS INTEGER) AS place_first FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
 sql_query("sql_union_all_cte", "WITH a AS (SELECT n_name AS name, 'nation' AS kind FROM nation), b AS (SELECT r_name AS name, 'region' AS kind FROM region) SELECT kind, count(*) AS n, min(name) AS first_name FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY kind")
 sql_query("sql_set_operations", "SELECT 'except' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) x UNION ALL SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) y")
 sql_query("sql_string_agg", "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")

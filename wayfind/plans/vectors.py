@@ -57,10 +57,10 @@ def vec_type_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:16] AS v FROM embeddings)
-SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[16] / sqrt(list_dot_product(v, v)), 6) AS last FROM h""")
+SELECT vec_id, CAST(unnest(range(len(v))) AS INTEGER) AS place, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM h""")
 def vec_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = table(spark, sf_dir, "embeddings").select("vec_id", V.truncate(F.col("embedding"), 16).alias("v"))
-    return cut.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 16), 6).alias("last"))
+    cut = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.truncate(F.col("embedding"), 16)).alias("place", "x"))
+    return cut.select("vec_id", "place", F.round("x", 6).alias("x"))
 
 
 _FNV = "list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(string_split({}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"

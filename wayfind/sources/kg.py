@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entity id offsets of the derived graph; ranges stay apart up to these many rows.
@@ -50,11 +51,6 @@ def relations(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("IN_RE
     return reduce(DataFrame.unionByName, parts)
 
 
-def numbered(edges: DataFrame) -> DataFrame:
-    """Edges with an id by (rel_type, src, dst). For small edge sets: it is one total order."""
-    return edges.withColumn("id", F.row_number().over(Window.orderBy("rel_type", "src", "dst")).cast("long"))
-
-
 def project(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Tables of a property graph from nodes (pos, id, type, name, properties map) and edges (pos, source, target, relation).
 
@@ -77,13 +73,29 @@ def project(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
 
 
 def type_pairs(edges: DataFrame, ents: DataFrame) -> DataFrame:
-    """from_type, to_type, relation: for each pair of types, either way, the relation of the first edge (least id)."""
+    """from_type, to_type, relation: for each pair of types, either way, the relation of the first edge: that of the least
+    id, or where edges have none, the first by relation, source and destination."""
     kinds = ents.select("id", "type")
-    typed = edges.withColumnRenamed("id", "edge").join(kinds.toDF("src", "a"), "src").join(kinds.toDF("dst", "b"), "dst")
-    both = typed.select("edge", F.lit(0).alias("way"), F.col("a").alias("from_type"), F.col("b").alias("to_type"), "rel_type").unionByName(typed.select("edge", F.lit(1).alias("way"), F.col("b").alias("from_type"), F.col("a").alias("to_type"), "rel_type"))
+    first = F.col("id") if "id" in edges.columns else F.struct("rel_type", "src", "dst")
+    typed = edges.withColumn("edge", first).select("edge", "src", "dst", "rel_type").join(kinds.toDF("src", "a"), "src").join(kinds.toDF("dst", "b"), "dst")
+    ways = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("a").alias("from_type"), F.col("b").alias("to_type")), F.struct(F.lit(1).alias("way"), F.col("b").alias("from_type"), F.col("a").alias("to_type"))))
+    both = typed.select("edge", "rel_type", ways.alias("w")).select("edge", "rel_type", "w.*")
     return both.groupBy("from_type", "to_type").agg(F.min_by("rel_type", F.struct("edge", "way")).alias("relation"))
 
 
+def lexicon(ents: DataFrame, names: DataFrame | None) -> DataFrame:
+    """name, type, pos: what the router knows by name, canonical names before aliases, each by entity id. Aliases that are
+    missing or cannot be read are left out; names alone still serve."""
+    own = ents.select(F.col("canonical_name").alias("name"), "type", F.struct(F.lit(0).alias("a"), F.col("id").alias("b")).alias("pos"))
+    try:
+        other = names.select(F.col("entity_id").alias("id"), "alias").join(ents.select("id", "type"), "id")
+        other = other.select(F.col("alias").alias("name"), "type", F.struct(F.lit(1).alias("a"), F.col("id").alias("b")).alias("pos"))
+        other.schema  # noqa: B018 - columns are looked up now
+    except (AttributeError, PySparkException):
+        return own.where(F.length(F.btrim("name")) >= 2)
+    return own.unionByName(other).where(F.length(F.btrim("name")) >= 2)
+
+
 def load_report(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, n for each table."""
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
