@@ -88,17 +88,23 @@ def kw_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.keyword_search(keyword.build_index(table(spark, sf_dir, "documents")), queries)
 
 
-@query("""
-WITH p AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS idx, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, idx AS chunk_index, 's' || idx AS section, '# s' || idx || chr(10) || trim(line) AS content FROM p WHERE length(line) < 1000 AND doc_id NOT IN (SELECT doc_id FROM p WHERE length(line) >= 1000) AND NOT regexp_matches(line, '^#')""")
+_TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(rf"""
+WITH m AS (SELECT doc_id, string_split(regexp_replace('# ' || lang || chr(10) || replace(text, chr(10), chr(10) || chr(10)), '(?m)^(#{{1,3}}[ \t]+)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM documents),
+p AS (SELECT doc_id, generate_subscripts(parts, 1) AS sec, {_TRIM.format('unnest(parts)')} AS content FROM m),
+c AS (SELECT *, CASE WHEN regexp_matches(content, '^#{{1,3}}[ \t]+') THEN {_TRIM.format("regexp_extract(content, '^#{1,3}[ \t]+([^\n]*)', 1)")} ELSE '(head)' END AS section FROM p WHERE content <> ''),
+f AS (SELECT doc_id, sec, section, CASE WHEN length(content) <= 1200 THEN [content] ELSE (SELECT list_append(r.done, r.open) FROM (SELECT list_reduce(
+  list_transform(regexp_split_to_array(content, '\n{{2,}}'), lambda x: {{'done': CAST([] AS VARCHAR[]), 'open': x, 'n': length(x)}}),
+  lambda s, x: CASE WHEN s.n + x.n > 1200 THEN {{'done': list_append(s.done, s.open), 'open': x.open, 'n': x.n}} ELSE {{'done': s.done, 'open': s.open || chr(10) || chr(10) || x.open, 'n': s.n + x.n}} END) AS r)) END AS pieces FROM c),
+e AS (SELECT doc_id, sec, section, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS content FROM f)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, piece) - 1 AS INTEGER) AS chunk_index, section, content FROM e""")
 def src_chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown with a heading over each line; those with very long lines aside, each section is one chunk."""
-    docs = table(spark, sf_dir, "documents")
-    lines = F.split("text", "\n")
-    docs = docs.where(F.forall(lines, lambda x: F.length(x) < 1000))
-    marked = docs.select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("# s"), i.cast("string"), F.lit("\n"), x)), "\n").alias("text"))
-    out = chunk_markdown(marked)
-    return out.where(~F.col("content").rlike(r"^# s\d+\n#")).select("doc_id", "chunk_index", "section", "content")
+    """All documents as Markdown: a heading, and each line a paragraph, so that long sections are cut at blank lines."""
+    paragraphs = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "lang", F.lit("\n"), paragraphs).alias("text"))
+    return chunk_markdown(marked).select("doc_id", "chunk_index", "section", "content")
 
 
 _CURATE_COST = tokens_sql("text")
@@ -119,32 +125,57 @@ def curate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "tokens_used")
 
 
-@query()
+@query(rf"""
+WITH i AS (SELECT doc_id // 20 AS query_id, doc_id % 20 AS idx, length(text) AS n, text FROM documents),
+w AS (SELECT query_id, string_agg(text, chr(10) ORDER BY idx) AS whole FROM i GROUP BY 1),
+ch AS (SELECT query_id, unnest(string_split(whole, '')) AS c, generate_subscripts(string_split(whole, ''), 1) AS pos FROM w),
+k AS (SELECT query_id, pos, CASE WHEN regexp_matches(c, '[A-Za-z0-9]') THEN 1 ELSE 0 END AS word, CASE WHEN regexp_matches(c, '[가-힣]') OR regexp_matches(c, '[^A-Za-z0-9_{_WHITE}가-힣]') THEN 1 ELSE 0 END AS single FROM ch),
+t AS (SELECT query_id, pos, single + CASE WHEN word = 1 AND coalesce(lag(word) OVER (PARTITION BY query_id ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS n FROM k),
+u AS (SELECT query_id, pos, sum(n) OVER (PARTITION BY query_id ORDER BY pos) AS upto FROM t),
+cut AS (SELECT query_id, max(pos) AS cut, max(upto) AS used FROM u WHERE upto <= 800 GROUP BY 1),
+s AS (SELECT query_id, n, coalesce(sum(n + 1) OVER (PARTITION BY query_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM i)
+SELECT s.query_id AS query_id, CAST(cut AS INTEGER) AS cut, CAST(count(*) FILTER (cut >= start + n) AS INTEGER) AS n_kept, CAST(count(*) FILTER (cut <= start AND n > 0) AS INTEGER) AS n_dropped,
+ CAST(count(*) FILTER (cut > start AND cut < start + n) AS INTEGER) AS broken_rows, CAST(used AS INTEGER) AS tokens_used FROM s JOIN cut USING (query_id) GROUP BY s.query_id, cut, used""")
 def curate_naive_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("query_id"), (F.col("doc_id") % 20).cast("int").alias("idx"), F.lit("row").alias("kind"), "text")
     return curate.naive_truncate(docs, 800)
 
 
 _NUM = r"(\d[\d,]*(?:\.\d+)?\s*(?:%|건|명|개|원|초|분|시간|일|ms|GB|MB)?)"
+_STATES = r"\b(in_progress|completed|on_hold|planning|resolved|closed|open|active|critical|high|medium|low)\b"
+_EDGES = "chr(32) || chr(9) || chr(10) || chr(13)"
 
 
-@query(r"""
-WITH a AS (SELECT doc_id, regexp_extract_all(text, '([A-Z][A-Za-z]*-[A-Z0-9]+)', 1) AS ids, regexp_extract_all(text, '(\d{4}-\d{2}-\d{2})', 1) AS dates FROM documents)
-SELECT doc_id, len(list_distinct(ids)) AS n_ids, len(list_distinct(dates)) AS n_dates FROM a""")
-def claims_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.regexp_extract_all("text", F.lit(claims.ID), F.lit(1)).alias("i"), F.regexp_extract_all("text", F.lit(claims.DATE), F.lit(1)).alias("d"))
-    return found.select("doc_id", F.size(F.array_distinct("i")).cast("long").alias("n_ids"), F.size(F.array_distinct("d")).cast("long").alias("n_dates"))
+def atoms_sql(column: str) -> str:
+    """claims.atoms as RE2, for text without Hangul, which persons need."""
+    found = lambda p: f"list_transform(regexp_extract_all({column}, '{p}', 1), lambda a: trim(a, {_EDGES}))"
+    numbers = f"list_filter({found(_NUM)}, lambda v: regexp_matches(v, '\\d{{2,}}') OR regexp_matches(v, '[%건명개원초분일]|ms|GB|MB|시간'))"
+    parts = [found(r"([A-Z][A-Za-z]*-[A-Z0-9]+)"), found(r"(\d{4}-\d{2}-\d{2})"), found(_STATES), numbers]
+    return f"list_distinct(flatten([{', '.join(parts)}]))"
 
 
-@query()
+@query(f"SELECT doc_id, array_to_string(list_sort({atoms_sql('text')}), '|') AS atoms FROM documents")
+def claims_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(claims.atoms(F.col("text"))), "|").alias("atoms"))
+
+
+@query(rf"""
+WITH b AS (SELECT conv_id, turn + 1 AS turn, text AS context FROM conversations),
+a AS (SELECT a.conv_id || '#' || a.turn AS query_id, a.text AS answer, coalesce(b.context, '') AS context FROM conversations a LEFT JOIN b USING (conv_id, turn) WHERE role = 'assistant'),
+s AS (SELECT query_id, context, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(answer, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, {_EDGES})), lambda x: x <> '')) AS s FROM a),
+c AS (SELECT query_id, context, {atoms_sql('s')} AS atoms FROM s),
+m AS (SELECT query_id, atoms, list_filter(atoms, lambda x: NOT (contains(context, x) OR (regexp_replace(x, '[,\s]', '', 'g') <> '' AND contains(regexp_replace(context, '[,\s]', '', 'g'), regexp_replace(x, '[,\s]', '', 'g')))
+  OR (regexp_extract(x, '^(\d[\d,]*)', 1) <> '' AND list_contains(regexp_extract_all(replace(context, ',', ''), '\b(\d+)\b', 1), replace(regexp_extract(x, '^(\d[\d,]*)', 1), ',', ''))))) AS missing FROM c),
+g AS (SELECT query_id, count(*) FILTER (len(atoms) > 0) AS scorable, count(*) FILTER (len(atoms) > 0 AND len(missing) = 0) AS full_, sum(len(atoms)) AS total, sum(len(missing)) AS lost, list_sort(flatten(list(missing))) AS un FROM m GROUP BY 1)
+SELECT a.query_id AS query_id, CAST(coalesce(scorable, 0) AS INTEGER) AS scorable, CAST(coalesce(full_, 0) AS INTEGER) AS fully_grounded, round((total - lost) / nullif(total, 0), 3) AS atom_grounded_rate,
+ round(full_ / nullif(scorable, 0), 3) AS claim_grounded_rate, coalesce(array_to_string(un, ','), '') AS ungrounded FROM a LEFT JOIN g USING (query_id)""")
 def claims_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assistant turn held against the turn before it."""
     turns = table(spark, sf_dir, "conversations")
     answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
     rows = answers.join(before, ["conv_id", "turn"], "left").withColumn("query_id", F.concat_ws("#", "conv_id", "turn"))
-    return claims.score_claims(rows).withColumn("ungrounded", F.array_join("ungrounded", ","))
+    return claims.score_claims(rows).withColumn("ungrounded", F.array_join(F.array_sort("ungrounded"), ","))
 
 
 @query("""
