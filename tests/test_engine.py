@@ -509,3 +509,118 @@ def test_streaming(spark, small, tmp_path):
     streamed = run_to_table(spark, f"{tmp_path}/in/e", schema, f"{tmp_path}/cp", "streamed")
     batch = windowed_counts(spark.read.parquet(f"{small}/events.parquet"))
     assert sorted(r["n"] for r in streamed.collect()) == sorted(r["n"] for r in batch.collect())
+
+
+def test_replica(spark, tmp_path):
+    """A folder that cannot be read is replaced by its replica; without one it raises."""
+    spark.range(3).write.parquet(f"{tmp_path}/copy/things.parquet")
+    p = profile.Profile("x", ("things",), "things(id)", replica=f"{tmp_path}/copy")
+    assert profile.register(spark, p, f"{tmp_path}/gone")["things"].count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        profile.register(spark, profile.Profile("x", ("things",), "things(id)"), f"{tmp_path}/gone")
+
+
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:wayfind;create=true"
+    spark.range(100).write.format("jdbc").options(url=url, dbtable="things", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    df = readers.read_jdbc(spark, url, "things", "ID", (0, 50), 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert df.count() == 100 and df.rdd.getNumPartitions() == 4
+
+
+def test_curation_audit(spark):
+    items = spark.createDataFrame([(0, 0, "alpha beta"), (0, 1, "gamma " * 50)], "query_id long, idx int, text string")
+    c = curate.curate(items, spark.createDataFrame([(0, "alpha")], "query_id long, query string"), 10)
+    r = curate.curation_audit(c, 10).first()
+    assert (r["n_kept"], r["n_dropped"], r["budget"], r["structure_preserved"]) == (1, 1, 10, True) and c.first()["context"] == "alpha beta"
+    none = curate.curate(items, spark.createDataFrame([(0, "alpha")], "query_id long, query string"), 1).first()
+    assert none["kept"] == [] and none["dropped"] == [0, 1] and none["context"] == ""
+
+
+def test_first_gold(spark):
+    ranked = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "c", 1)], "query_id int, id string, rank int")
+    gold = spark.createDataFrame([(1, "a"), (1, "x"), (2, "y")], "query_id int, id string")
+    assert {r["query_id"]: r["rank"] for r in evaluate.first_gold(ranked, gold, "id").collect()} == {1: 2, 2: None}
+
+
+def test_answer_checks(spark):
+    rows = [
+        (1, "Kim leads Apollo", "Kim leads it", ["Kim", "Apollo"], False),
+        (2, "Kim leads Apollo", "Lee leads it", ["Lee"], False),
+        (3, "", "알 수 없습니다", [], True),
+        (4, "x", "it is 5", [], True),
+    ]
+    answers = spark.createDataFrame(rows, "query_id int, context string, answer string, gold array<string>, absent boolean")
+    checks = evaluate.answer_checks(answers, spark.createDataFrame([("Kim",), ("Lee",)], "name string"))
+    assert {r["query_id"]: (r["evidence"], r["grounded"], r["abstained"]) for r in checks.collect()} == {1: (1.0, True, None), 2: (0.0, False, None), 3: (None, None, True), 4: (None, None, False)}
+    assert tuple(evaluate.answer_rates(checks).first()) == (1, 2, 1, 2, 1, 2)
+
+
+def test_fault_rates(spark, engine):
+    """Lanes broken on purpose: the others carry the question, and the record names the fault."""
+    import dataclasses
+
+    def broken(*_):
+        raise RuntimeError("down")
+
+    def lane(**changes):
+        r = dataclasses.replace(engine, **changes).retrieve("매출 합계와 관련된 내용")
+        return bool(r.context), bool(r.errors)
+
+    rates = evaluate.fault_rates({"sql": lambda: lane(nl2sql=broken), "extra": lambda: lane(extra_lanes={"other": broken})})
+    assert rates["no_crash"] == rates["visible"] == 1 and rates["passed"] == (rates["partial"] >= 0.8)
+    crash = evaluate.fault_rates({"a": broken, "b": lambda: (True, True)})
+    assert (crash["no_crash"], crash["partial"], crash["visible"], crash["passed"]) == (0.5, 0.5, 1.0, False)
+
+
+def test_lexicon(spark):
+    ents = spark.createDataFrame([(1, "client", "Acme"), (2, "product", "Bolt")], "id long, type string, canonical_name string")
+    names = spark.createDataFrame([(2, "Acme"), (2, "Bolty"), (1, "x")], "entity_id long, alias string")
+    full = kg.lexicon(ents, names)
+    assert sorted((r["name"], r["type"]) for r in full.collect()) == [("Acme", "client"), ("Acme", "product"), ("Bolt", "product"), ("Bolty", "product")]
+    asked = spark.createDataFrame([(0, "Acme Bolty")], "query_id long, query string")
+    assert router.lexicon_hits(asked, full).first()["types"] == ["product", "client"]  # the canonical Acme holds
+    for bad in (None, names.withColumnRenamed("alias", "other")):
+        assert sorted(r["name"] for r in kg.lexicon(ents, bad).collect()) == ["Acme", "Bolt"]
+
+
+def test_white_space_is_any(spark):
+    """A no-break or ideographic space is white space to the router and the claims."""
+    texts = ["가장 많은 이슈가 접수된 제품", "가장\u00a0많은\u3000이슈가 접수된 제품"]
+    df = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    assert len({r["route"] for r in router.route(df).collect()}) == 1
+    row = spark.createDataFrame([("One.\u3000Two 12\u00a0ms",)], "t string").select(claims.sentences(F.col("t")).alias("s"), claims.atoms(F.col("t")).alias("a")).first()
+    assert row["s"] == ["One.", "Two 12\u00a0ms"] and row["a"] == ["12\u00a0ms"]
+
+
+def test_prompts():
+    from wayfind.engine import answer_prompt
+
+    asked = answer_prompt("누구?", " ", "Korean")
+    assert "(empty)" in asked and "Korean" in asked and "Korean" not in answer_prompt("q", "c", None).replace("q", "")
+    card = "orders(id, amount)\nusers(id)"
+    assert "amount" in sql_lane.nl2sql_prompt("q", card) and "amount" not in sql_lane.nl2sql_prompt("q", card, naive=True)
+    model = sql_lane.model_nl2sql(lambda prompt: "Sure:\n```sql\nSELECT 1 AS a;\n```", card)
+    assert model("q") == "SELECT 1 AS a" and sql_lane.model_nl2sql(lambda _: "no", card)("q") is None
+
+
+def test_embedder_of_another_length(spark):
+    docs = spark.createDataFrame([(1, "a", [1.0, 0.0])], "doc_id long, text string, embedding array<double>")
+    with pytest.raises(ValueError):
+        Engine(spark, documents=docs, embedder=lambda _: [1.0], vector_dim=2).vector_search("a")
+    assert Engine(spark, documents=docs, embedder=lambda _: [1.0, 0.0], vector_dim=2).vector_search("a").count() == 1
+
+
+def test_match_terms_against_nested_loop(spark):
+    """Blocking on rare runs loses no match, with wildcards and short terms."""
+    names = ["Customer#1", "customer_17", "Cust omer", "AB", "abc", "xabcx", "BUILDING", "build", "c%d", "customerX7"]
+    ents = spark.createDataFrame([(i, "t", n) for i, n in enumerate(names)], "id long, type string, canonical_name string")
+    als = spark.createDataFrame([(i, f"alias_{n}") for i, n in enumerate(names)], "entity_id long, alias string")
+    terms = spark.createDataFrame([(q, t) for q, t in enumerate(["customer_7", "ab", "abc", "build", "a", "s_a", "none here", "_", "customer"])], "query_id int, term string")
+    import re
+
+    for wild in (True, False):
+        want = set()
+        for q, t in [(r["query_id"], r["term"]) for r in terms.collect()]:
+            p = "".join("." if wild and c == "_" else ".*" if wild and c == "%" else re.escape(c) for c in t.lower())
+            want |= {(q, i) for i, n in enumerate(names) for x in (n, f"alias_{n}") if re.search(p, x.lower())}
+        assert {(r["query_id"], r["id"]) for r in graph.match_terms(terms, ents, als, wild).collect()} == want

@@ -47,6 +47,7 @@ class Engine:
     fix_sql: Callable[[str, str, str, dict], str | None] | None = None
     embedder: Callable[[str], list[float]] | None = None
     llm: Callable[[str], str] | None = None
+    vector_dim: int | None = None  # of the corpus' vectors; an embedder that gives another length is refused
     hashed: DataFrame | None = None  # doc_id, embedding: hash vectors of documents, made once where no embedder is given
     lexicon: DataFrame | None = None
     pairs: DataFrame | None = None
@@ -65,7 +66,10 @@ class Engine:
     def vector_search(self, query: str, k: float = 5) -> DataFrame:
         """query_id, doc_id, score, rank: by the injected embedder, or by hashed terms without one."""
         if self.embedder and "embedding" in self.documents.columns:
-            hits = vector.cosine_topk(self.documents, self.embedder(query), k, "doc_id", "embedding")
+            asked = self.embedder(query)
+            if self.vector_dim and len(asked) != self.vector_dim:
+                raise ValueError(f"the embedder gives {len(asked)} numbers, the corpus has {self.vector_dim}")
+            hits = vector.cosine_topk(self.documents, asked, k, "doc_id", "embedding")
             return fusion.ranked_list(hits.withColumn("query_id", F.lit(0).cast("long")), 0, [F.desc("score"), F.col("doc_id")], F.col("doc_id"), "vector", F.lit("")).select("query_id", F.col("key").alias("doc_id"), "rank")
         if self.hashed is None:
             self.hashed = self.documents.select("doc_id", vector.hash_embedding(F.col("text")).alias("embedding")).persist()
@@ -201,5 +205,16 @@ class Engine:
         return fusion.rrf_named(first.unionByName(second))
 
 
-def answer_prompt(query: str, context: str) -> str:
-    return f"Answer the question from the context alone. If it does not hold the answer, say so.\n\nContext:\n{context}\n\nQuestion: {query}\nAnswer:"
+def answer_prompt(query: str, context: str, language: str | None = "Korean") -> str:
+    """What a model is told: nothing but the context counts, and how to read its lines. language None: any language."""
+    rules = [
+        "Use only what the context below says; add nothing from elsewhere and do not guess.",
+        "A line that begins with a statement in brackets gives rows that the database returned; take its values as they are.",
+        "A line marked [그래프] states one relation between two things; a question about that relation is answered by it.",
+        "If a line marked [그래프 집계] is a tie (공동), name everything that shares the place.",
+        "Give names, not ids or codes, wherever the context has the name.",
+        "Only if the context has nothing on the question, say that the given information does not hold the answer.",
+    ]
+    if language:
+        rules.append(f"Write in {language} alone; proper names stay as they are.")
+    return "\n".join([*rules, "", "Context:", context.strip() or "(empty)", "", f"Question: {query}", "Answer:"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.functions.text import AFTER, BEFORE
+from wayfind.functions.text import AFTER, BEFORE, WHITE
 
 # Shapes of checkable atoms.
 ID = r"([A-Z][A-Za-z]*-[A-Z0-9]+)"
@@ -15,30 +15,36 @@ STATUS = rf"{BEFORE}(in_progress|completed|on_hold|planning|resolved|closed|open
 NUMBER = r"(\d[\d,]*(?:\.\d+)?\s*(?:%|건|명|개|원|초|분|시간|일|ms|GB|MB)?)"
 SENTENCE_END = r"(?<=[.!?])\s+|\n+|(?<=(?:다|요|음|임))\s*[.。]\s*"
 MENTIONED_PERSON = r"([가-힣]{2,4})(?=\s*(?:씨|님|과장|대리|부장|팀장))"
+UNIT = r"\d{2,}|[%건명개원초분일]|ms|GB|MB|시간"
 
-_ENDS = " \t\r\n"
+#: White space, of which Java's own \\s has the ASCII part only.
+_ENDS = " \t\r\n\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _white(pattern: str) -> str:
+    return pattern.replace(r"\s", f"[{WHITE}]")
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.btrim(s, F.lit(_ENDS))), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _white(SENTENCE_END)), lambda s: F.btrim(s, F.lit(_ENDS))), lambda s: s != "")
 
 
 def _all(text: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.btrim(s, F.lit(_ENDS)))
+    return F.transform(F.regexp_extract_all(text, F.lit(_white(pattern)), F.lit(1)), lambda s: F.btrim(s, F.lit(_ENDS)))
 
 
 def atoms(sentence: Column) -> Column:
     """Distinct identifiers, dates, persons, states, and numbers with a unit or two digits."""
-    numbers = F.filter(_all(sentence, NUMBER), lambda v: v.rlike(r"\d{2,}") | v.rlike("[%건명개원초분일]|ms|GB|MB|시간"))
+    numbers = F.filter(_all(sentence, NUMBER), lambda v: v.rlike(UNIT))
     return F.array_distinct(F.concat(*[_all(sentence, p) for p in (ID, DATE, PERSON, STATUS)], numbers))
 
 
 def in_context(atom: Column, context: Column) -> Column:
     """As written, without commas and spaces, or its number alone as a word."""
-    bare = F.regexp_replace(atom, r"[,\s]", "")
+    bare = F.regexp_replace(atom, f"[,{WHITE}]", "")
     number = F.replace(F.regexp_extract(atom, r"^(\d[\d,]*)", 1), F.lit(","), F.lit(""))
     words = F.regexp_extract_all(F.replace(context, F.lit(","), F.lit("")), F.lit(rf"{BEFORE}(\d+){AFTER}"), F.lit(1))
-    return F.contains(context, atom) | ((bare != "") & F.contains(F.regexp_replace(context, r"[,\s]", ""), bare)) | ((number != "") & F.array_contains(words, number))
+    return F.contains(context, atom) | ((bare != "") & F.contains(F.regexp_replace(context, f"[,{WHITE}]", ""), bare)) | ((number != "") & F.array_contains(words, number))
 
 
 def score_claims(answers: DataFrame) -> DataFrame:

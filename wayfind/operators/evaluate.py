@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -163,3 +163,52 @@ def triage(rows: DataFrame, budget: float, most_slow: float = 0.05) -> DataFrame
     if share > most_slow:
         raise RuntimeError(f"{share:.0%} of the gold statements ran out of time")
     return out.select("item", "state")
+
+
+#: How an answer says that nothing was found.
+NOT_FOUND = "알 수 없|찾지 못|없습니다|정보가 없|not found|cannot be determined|does not hold"
+
+
+def answer_checks(answers: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, evidence, grounded, abstained for each answer.
+
+    answers: query_id, context, answer, gold (array of texts that the context should hold), absent (is there nothing to
+    find?). names: name, what an answer may mention. evidence: the share of gold in the context, null without gold.
+    grounded: does the context hold every name that the answer mentions, null without any? abstained: for absent ones, does
+    the answer say so? Else null.
+    """
+    rows = answers.withColumn("gold", F.array_distinct(F.coalesce("gold", F.array().cast("array<string>"))))
+    hit = F.size(F.filter("gold", lambda g: F.contains(F.col("context"), g)))
+    known = F.broadcast(names.select(F.collect_set("name").alias("known")))  # one row: the names of an evaluation set
+    rows = rows.withColumn("one", F.lit(1)).join(known.withColumn("one", F.lit(1)), "one")
+    rows = rows.withColumn("said", F.filter("known", lambda n: F.contains(F.col("answer"), n)))
+    return rows.select(
+        "query_id",
+        F.round(hit / F.nullif(F.size("gold"), F.lit(0)), 6).alias("evidence"),
+        F.when(F.size("said") > 0, F.forall("said", lambda n: F.contains(F.col("context"), n))).alias("grounded"),
+        F.when(F.col("absent"), F.col("answer").rlike(NOT_FOUND)).alias("abstained"),
+    )
+
+
+def answer_rates(checks: DataFrame) -> DataFrame:
+    """evidence_ok of evidence_scored (all gold in the context), grounded_ok of grounded_scored, abstained of absent."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).cast("long")
+    return checks.agg(
+        n(F.col("evidence") == 1).alias("evidence_ok"), F.count("evidence").alias("evidence_scored"), n(F.col("grounded")).alias("grounded_ok"), F.count("grounded").alias("grounded_scored"),
+        n(F.col("abstained")).alias("abstained"), F.count("abstained").alias("absent"),
+    )
+
+
+def fault_rates(scenarios: dict[str, Callable[[], tuple[bool, bool]]]) -> dict:
+    """Rates over scenarios in which something is broken on purpose. Each gives (is there still a result?, is the fault told?);
+    one that raises has crashed, which is told but no result. passed: none crashes, 80 % give a result, all faults are told."""
+    seen = {}
+    for name, run in scenarios.items():
+        try:
+            partial, visible = run()
+            seen[name] = (False, bool(partial), bool(visible))
+        except Exception:
+            seen[name] = (True, False, True)
+    n = max(1, len(seen))
+    rates = {k: sum(f(x) for x in seen.values()) / n for k, f in {"no_crash": lambda x: not x[0], "partial": lambda x: x[1], "visible": lambda x: x[2]}.items()}
+    return rates | {"passed": rates["no_crash"] == 1 and rates["partial"] >= 0.8 and rates["visible"] == 1, "scenarios": seen}

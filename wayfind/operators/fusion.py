@@ -55,3 +55,8 @@ def rank_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = before.select("query_id", F.col("rank").alias("a")).join(after.select("query_id", F.col("rank").alias("b")), "query_id", "full")
     change = F.when(F.col("a").isNull() & F.col("b").isNotNull(), "gained").when(F.col("a").isNotNull() & F.col("b").isNull(), "lost").when(F.col("b") < F.col("a"), "up").when(F.col("b") > F.col("a"), "down").otherwise("same")
     return joined.select("query_id", change.alias("change"))
+
+
+def agreement(fused: DataFrame) -> DataFrame:
+    """query_id, fused, agreed: the keys of each question, and those that more than one source found."""
+    return fused.groupBy("query_id").agg(F.count("*").alias("fused"), F.sum((F.size("sources") > 1).cast("int")).cast("long").alias("agreed"))

@@ -188,6 +188,33 @@ def template_nl2sql(question: str) -> str | None:
     return next((sql for patterns, sql in TEMPLATE_RULES if all(re.search(p.replace("|(?i)status", "|[Ss][Tt][Aa][Tt][Uu][Ss]"), q) for p in patterns)), None)
 
 
+def statement_of(raw: str) -> str | None:
+    """extract_sql for one text on the driver."""
+    fenced = re.search(r"(?is)```(?:sql)?\s*(.*?)```", raw)
+    body = re.sub(r"(?i)^sql\s*[:\n]", "", (fenced[1] if fenced and fenced[1] else raw).strip()).strip()
+    found = re.search(r"(?is)(?<![A-Za-z0-9_])((?:select|with)(?![A-Za-z0-9_])[^;]*)", body)
+    return found[1].strip() if found else None
+
+
+def nl2sql_prompt(question: str, card: str, naive: bool = False) -> str:
+    """What a model is told to write a statement. card: tables with their columns; naive: table names alone, for comparison."""
+    if naive:
+        names = ", ".join(re.findall(r"(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)", card))
+        return f"Write one SELECT statement for the question.\nTables: {names}\nQuestion: {question}\nSQL:"
+    rules = [
+        "Write one Spark SQL SELECT statement that answers the question, and nothing else.",
+        "Use the tables and columns below and no others; join on the columns whose names match.",
+        "Return the columns that the question asks for, in its order; count and sum in the statement.",
+        "A question for the most or least of something wants ORDER BY with LIMIT; a period wants a half-open range of dates.",
+    ]
+    return "\n".join([*rules, "", "Tables:", card, "", f"Question: {question}", "SQL:"])
+
+
+def model_nl2sql(llm: Callable[[str], str], card: str, naive: bool = False) -> Callable[[str], str | None]:
+    """Engine.nl2sql from an injected model: prompt, then the statement in what it says."""
+    return lambda question: statement_of(llm(nl2sql_prompt(question, card, naive)))
+
+
 def columns_of(spark: SparkSession, sql: str) -> dict[str, list[str]]:
     """The views that a statement names, with their columns in order: what a repair is told."""
     names = {t.name for t in spark.catalog.listTables() if t.isTemporary}

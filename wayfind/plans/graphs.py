@@ -144,6 +144,12 @@ def rrf_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf_named(_lists(spark, sf_dir)).select("query_id", "key", F.array_join("sources", ",").alias("sources"), "text", "rank")
 
 
+@query(_LISTS + """, m AS (SELECT query_id, key, count(DISTINCT source) AS n FROM ones GROUP BY query_id, key)
+SELECT query_id, count(*) AS fused, CAST(count(*) FILTER (n > 1) AS BIGINT) AS agreed FROM m GROUP BY query_id""")
+def rrf_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.agreement(fusion.rrf_named(_lists(spark, sf_dir)))
+
+
 @query(_LISTS + """, a AS (SELECT key AS query_id, min(rank) AS rank FROM ones WHERE list_idx = 0 GROUP BY 1), b AS (SELECT key AS query_id, min(rank) AS rank FROM ones WHERE list_idx = 1 GROUP BY 1)
 SELECT coalesce(a.query_id, b.query_id) AS query_id, CASE WHEN a.rank IS NULL THEN 'gained' WHEN b.rank IS NULL THEN 'lost' WHEN b.rank < a.rank THEN 'up' WHEN b.rank > a.rank THEN 'down' ELSE 'same' END AS change FROM a FULL JOIN b ON a.query_id = b.query_id""")
 def ev_rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.engine import Engine
 from wayfind.operators import audit, claims, evaluate, fusion, graph, keyword, sql_lane, vector
+from wayfind.plans.documents import terms_sql
 from wayfind.plans.registry import query, table
+from wayfind.plans.vectors import fnv_sql
 from wayfind.sources import kg
 
 
@@ -69,7 +72,25 @@ def ev_set_vs_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(pairs, "kind string, same boolean")
 
 
-@query()
+@query(f"""
+WITH qs(query_id, query) AS (VALUES (0, 'the thing that is heard'), (1, 'license 2 Product-C1')),
+al AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', query_id, query FROM qs),
+tm AS (SELECT kind, id, unnest({terms_sql('text')}) AS term FROM al),
+k AS (SELECT term, CAST({fnv_sql('term')} % 768 AS INTEGER) AS bucket, CASE WHEN {fnv_sql("term || '#'")} % 2 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM (SELECT DISTINCT term FROM tm)),
+s AS (SELECT kind, id, bucket, CAST(sum(sign) AS DOUBLE) AS w FROM tm JOIN k USING (term) GROUP BY ALL HAVING sum(sign) <> 0),
+n AS (SELECT kind, id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS weight FROM s),
+c AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.weight * d.weight) AS score FROM n q JOIN n d ON q.kind = 'q' AND d.kind = 'd' AND q.bucket = d.bucket GROUP BY ALL),
+dense AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM c QUALIFY rank <= 5),
+p(query_id, prefix) AS (VALUES (0, 'the'), (0, 'thing'), (0, 'that'), (0, 'is'), (0, 'heard'), (0, 'thething'), (0, 'thingthat'), (0, 'thatis'), (0, 'isheard'), (1, 'license'), (1, 'product'), (1, '제품'), (1, 'c1'), (1, 'license2'), (1, '2product'), (1, 'productc1')),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS ws FROM documents),
+t AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(list_concat(list_filter(ws, lambda x: length(x) >= 2), CASE WHEN list_contains(ws, 'product') THEN ['제품'] ELSE [] END),
+  flatten(list_transform(list_filter(ws, lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')), lambda x: list_filter(regexp_extract_all(x, '([a-z]+|[0-9]+)', 1), lambda y: length(y) >= 2)))),
+  list_filter(list_transform(range(1, len(ws)), lambda i: ws[i] || ws[i + 1]), lambda x: length(x) BETWEEN 2 AND 24))) AS token FROM w),
+h AS (SELECT query_id, doc_id, count(DISTINCT token) AS score FROM t JOIN p ON starts_with(token, prefix) GROUP BY ALL),
+words AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 5),
+f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM words) GROUP BY ALL),
+fused AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM fused WHERE query_id = 1 UNION ALL SELECT query_id, doc_id, rank FROM dense WHERE query_id = 0""")
 def kw_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and keyword lists of two questions, fused where the question names an identifier or dense found nothing."""
     docs = table(spark, sf_dir, "documents")
@@ -99,12 +120,30 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.join(shown, "query_id")
 
 
-@query("SELECT 1 AS query_id, 'resolved' AS state UNION ALL SELECT 2, 'unresolved'")
+@query("""
+WITH q(query_id, term) AS (VALUES (1, 'customer_7'), (2, 'Ghost-Z')), n AS (SELECT c_name AS name FROM customer UNION SELECT 'customer_' || c_custkey FROM customer UNION SELECT c_mktsegment FROM customer
+ UNION SELECT s_name FROM supplier UNION SELECT 'supplier_' || s_suppkey FROM supplier UNION SELECT p_name FROM part UNION SELECT 'part_' || p_partkey FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT n_name FROM nation UNION SELECT r_name FROM region)
+SELECT CAST(query_id AS INTEGER) AS query_id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE lower(name) LIKE '%' || lower(term) || '%') THEN 'resolved' ELSE 'unresolved' END AS state FROM q""")
 def kg_absent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question that names nothing in the graph is told so instead of being given edges."""
-    asked = spark.createDataFrame([(1, "customer_7 담당"), (2, "Ghost-Z 담당")], "query_id int, query string")
-    hits = graph.ontology_search(asked, kg.entities(spark, sf_dir), kg.aliases(spark, sf_dir)).select("query_id").distinct().withColumn("hit", F.lit(True))
-    return asked.join(hits, "query_id", "left").select("query_id", F.when(F.col("hit"), "resolved").otherwise("unresolved").alias("state"))
+    """A question that names nothing in the graph is told so by the graph lane instead of being given edges."""
+    engine = Engine(spark, entities=kg.entities(spark, sf_dir), aliases=kg.aliases(spark, sf_dir), relations=kg.relations(spark, sf_dir))
+    lanes = [engine.graph_lane(q, depth=1).select(F.lit(i).alias("query_id"), "key") for i, q in ((1, "customer_7 담당"), (2, "Ghost-Z 담당"))]
+    return lanes[0].union(lanes[1]).groupBy("query_id").agg(F.when(F.max(F.startswith("key", F.lit("unresolved#"))), "unresolved").otherwise("resolved").alias("state"))
+
+
+@query("""
+WITH g AS (SELECT n_regionkey AS query_id, list_distinct(list(n_name)) AS gold, coalesce(string_agg(n_name, ' ') FILTER (n_nationkey % 5 <> 0), '') AS context,
+  CASE WHEN n_regionkey = 0 THEN 'not found' ELSE coalesce(string_agg(n_name, ' ') FILTER (n_nationkey % 4 = 0), '') END AS answer, n_regionkey = 0 AS absent FROM nation GROUP BY n_regionkey),
+c AS (SELECT *, list_filter((SELECT list(DISTINCT n_name) FROM nation), lambda x: contains(answer, x)) AS said FROM g)
+SELECT query_id, round(len(list_filter(gold, lambda x: contains(context, x))) / len(gold), 6) AS evidence, CASE WHEN len(said) > 0 THEN len(list_filter(said, lambda x: NOT contains(context, x))) = 0 END AS grounded,
+ CASE WHEN absent THEN regexp_matches(answer, 'not found') END AS abstained FROM c""")
+def ev_answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of some names of a region over a context of others: evidence, grounding, abstention."""
+    nation = table(spark, sf_dir, "nation")
+    some = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n_nationkey", "n_name")))), lambda x: x["n_name"]), " ")
+    rows = nation.groupBy(F.col("n_regionkey").alias("query_id")).agg(F.collect_list("n_name").alias("gold"), some(F.col("n_nationkey") % 5 != 0).alias("context"), some(F.col("n_nationkey") % 4 == 0).alias("answer"))
+    rows = rows.withColumns({"answer": F.when(F.col("query_id") == 0, "not found").otherwise(F.col("answer")), "absent": F.col("query_id") == 0})
+    return evaluate.answer_checks(rows, nation.select(F.col("n_name").alias("name")))
 
 
 @query("""

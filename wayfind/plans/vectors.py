@@ -64,6 +64,12 @@ def vec_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FNV = "list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(string_split({}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+def fnv_sql(text: str) -> str:
+    return _FNV.format(text)
+
+
 _HASHED = f"""
 WITH v AS (SELECT DISTINCT unnest({terms_sql('text')}) AS term FROM documents),
 k AS (SELECT term, CAST({_FNV.format('term')} % 256 AS INTEGER) AS bucket, CASE WHEN {_FNV.format("term || '#'")} % 2 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM v),

@@ -30,6 +30,15 @@ def read_markdown(spark: SparkSession, folder: str, index: str) -> DataFrame:
     return names.join(files, "filename")
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A table of an external database (SQLite, PostgreSQL and others whose driver is on the class path). With a whole-number
+    key and its bounds the rows are read in `parts` ranges of it, each by a task; rows outside the bounds come too."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
 def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x0B]+|[\s\x0B]+$", "")
 
