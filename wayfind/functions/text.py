@@ -37,6 +37,7 @@ SEED_STOP_WORDS = """
 
 #: White space as a regular-expression class body; Java's own \s has ASCII only.
 WHITE = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+# What a term and a seed term are made of stands in the patterns of content_terms and seed_terms.
 HANGUL = "[가-힣]"
 #: Word boundaries for ASCII words, so that a Hangul neighbour is a boundary.
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"

@@ -202,9 +202,10 @@ def ev_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS median, min(n_chars) AS least, max(n_chars) AS most FROM documents")
 def ev_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper median of all text lengths, by counting below each length rather than gathering them."""
-    counts = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("n_chars")))  # one row a distinct length
-    whole = counts.agg(F.sum("n").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
-    return whole.join(upto.select("n_chars", "upto"), F.col("upto") > F.expr("n div 2")).groupBy("n", "least", "most").agg(F.min("n_chars").alias("median")).select("n", "median", "least", "most")
+    counts = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("n"))  # one row a distinct length
+    order = Window.orderBy("n_chars")
+    upto = counts.withColumns({"upto": F.sum("n").over(order), "whole": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    middle = F.min(F.when(F.col("upto") > F.expr("whole div 2"), F.col("n_chars")))
+    return upto.agg(F.max("whole").alias("n"), middle.alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
