@@ -681,6 +681,62 @@ def test_op8(spark, small):
     assert url_lm.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_op8_odd_rows(spark):
+    """Repeated ids, names that the operator uses itself, and very long URLs."""
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (2, "http://b.com/de/y"), (3, None), (None, "http://c.net/" + "long/" * 20_000), (4, "http://b.com/fr/z")]
+    rows += [(10 + k, f"http://h{k}.org/{k}") for k in range(40)] + [(100 + k, f"http://h{k}.com/de/{k}") for k in range(40)]
+    pages = spark.createDataFrame([(*r, "h", "t", "p", 1) for r in rows], "page_id long, url string, host string, hit string, p_block string, n int")
+    found = url_lm.judge_urls(pages)
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict", "p_block"] and found.count() == len(rows)
+    by = Counter((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in found.collect() if r["page_id"] in (1, 2, 4))
+    assert by == {(1, "a.org", "org/", "allow"): 2, (2, "b.com", "com/de/", "block"): 1, (4, "b.com", "com/fr/", "allow"): 1}
+
+
+def test_op8_verdicts_against_plain_code(spark):
+    """Counting, calibration and verdict without Spark, over URLs of which a tenth is held out."""
+    random = np.random.default_rng(3)
+    urls = sorted({f"http://{random.choice(['a', 'bb', 'site'])}{random.integers(0, 30)}.{random.choice(['org', 'com/de', 'com/fr', 'net'])}/{random.integers(0, 50)}" for _ in range(400)})
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by = {r["page_id"]: r for r in url_lm.judge_urls(pages).collect()}
+    held = {r["page_id"] for r in pages.where(F.pmod(F.xxhash64("url"), F.lit(10)) == 0).collect()}
+    grams, contexts, follow = Counter(), Counter(), defaultdict(set)
+    marks = lambda u: b"\x01" * 5 + u.encode() + b"\x02"
+    for i, u in enumerate(urls):
+        verdict = judged_expected(u)[3]
+        if verdict is None or i in held:
+            continue
+        data = marks(u)
+        for at in range(5, len(data)):
+            for k in range(6):
+                c = data[at - k : at]
+                grams[verdict, c, data[at]] += 1
+                contexts[verdict, c] += 1
+                follow[verdict, c].add(data[at])
+
+    def margin(u):
+        data, total = marks(u), 0.0
+        for at in range(5, len(data)):
+            p = dict.fromkeys(("block", "allow"), 1 / 256)
+            for v in p:
+                for k in range(6):
+                    c = data[at - k : at]
+                    kinds = max(1, len(follow[v, c]))
+                    p[v] = (grams[v, c, data[at]] + kinds * p[v]) / (contexts[v, c] + kinds)
+            total += np.log(p["block"] / p["allow"])
+        return total / (len(data) - 5)
+
+    m = [margin(u) for u in urls]
+    known = [i for i in held if judged_expected(urls[i])[3]]
+    y = np.array([1 if judged_expected(urls[i])[3] == "block" else -1 for i in known])
+    assert len(set(y)) == 2
+    a, c = quality_nbsvm.logistic_fit(np.round([m[i] for i in known], 2), y)
+    for i, u in enumerate(urls):
+        p = 1 / (1 + np.exp(-np.clip(a * m[i] + c, -30, 30)))
+        assert abs(by[i]["p_block"] - p) < 1e-3
+        if abs(p - 0.5) > 1e-3:
+            assert by[i]["verdict"] == (judged_expected(u)[3] or ("block" if p >= 0.5 else "allow"))
+
+
 def test_op8_model():
     """One context at a time, with plain dictionaries, gives the same log-likelihood."""
     urls = ["http://a.b/c", "http://a.b/d", "https://x.y/z"]
