@@ -100,7 +100,8 @@ def gram_scores(urls: DataFrame) -> DataFrame:
     """gram, score: log-probability after rejected URLs less that after accepted ones, in units of 1 / SCALE, for each gram of urls.
 
     urls: url (distinct), verdict (null: not counted), n (rows). Counts are exact. Grams of a lower order are the ends of
-    longer ones, so each table is made from the one above; a key of one order meets at most 256 of the next.
+    longer ones, so each table is made from the one above; a key of one order meets at most 256 of the next. Tables that
+    grow with the corpus are merged at every size, as their files look smaller than they are.
     """
     counts = {v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(f"n_{v}") for v in VERDICTS}
     table = materialise(exploded(urls).groupBy(F.col("gram").alias("key")).agg(*counts.values()), f"url-counts-{ORDER}")
@@ -118,7 +119,7 @@ def gram_scores(urls: DataFrame) -> DataFrame:
         if shorter is None:
             table = table.withColumns({f"q_{v}": F.lit(1 / 256) for v in VERDICTS})
         else:
-            table = table.withColumn("end", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(shorter.select(F.col("key").alias("end"), *[F.col(f"p_{v}").alias(f"q_{v}") for v in VERDICTS]), "end")
+            table = table.withColumn("end", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(shorter.select(F.col("key").alias("end"), *[F.col(f"p_{v}").alias(f"q_{v}") for v in VERDICTS]).hint("merge"), "end")
         p = [((F.col(f"n_{v}") + F.col(f"kinds_{v}") * F.col(f"q_{v}")) / (F.col(f"seen_{v}") + F.col(f"kinds_{v}"))).alias(f"p_{v}") for v in VERDICTS]
         shorter = materialise(table.select("key", *p), f"url-model-{k}")
     score = F.round((F.log("p_block") - F.log("p_allow")) * SCALE).cast("long")  # whole numbers, so sums don't depend on order
@@ -136,8 +137,8 @@ def url_probabilities(urls: DataFrame) -> DataFrame | None:
     if urls.where(~F.col("held")).agg(F.count_distinct("verdict")).first()[0] < len(VERDICTS):
         return None
     scores = gram_scores(urls.select("url", F.when(~F.col("held"), F.col("verdict")).alias("verdict"), "n"))
-    means = exploded(urls.select("id", "url")).join(scores, "gram").groupBy("id").agg((F.sum("score") / F.count("*") / SCALE).alias("m"))
-    margins = materialise(urls.join(means, "id").drop("id"), "url-margins")
+    means = exploded(urls.select("id", "url")).join(scores.hint("merge"), "gram").groupBy("id").agg((F.sum("score") / F.count("*") / SCALE).alias("m"))
+    margins = materialise(urls.join(means.hint("merge"), "id").drop("id"), "url-margins")
     known = margins.where(F.col("held") & F.col("verdict").isNotNull())
     seen = known.groupBy("verdict", F.round("m", 2).alias("m")).agg(F.sum("n").alias("n")).collect()  # differences of log means lie within +-10
     if {r["verdict"] for r in seen} == set(VERDICTS):
@@ -160,6 +161,6 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5) -
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
     judged = url_probabilities(rows.groupBy("url").agg(F.first("hit.verdict").alias("verdict"), F.count("*").alias("n")))
-    out = rows.join(judged, "url") if judged else rows.withColumn("p_block", F.lit(None).cast("double"))
+    out = rows.join(judged.hint("merge"), "url") if judged else rows.withColumn("p_block", F.lit(None).cast("double"))
     verdict = F.coalesce("hit.verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "p_block")
