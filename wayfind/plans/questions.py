@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.functions.text import AFTER, BEFORE
 from wayfind.operators import evaluate, router, sql_lane
-from wayfind.plans.registry import query
+from wayfind.plans.registry import query, table
 from wayfind.sources import kg
 
 QUESTIONS = [
@@ -34,9 +35,34 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
-@query("SELECT query_id, route FROM (VALUES " + _values([(i, e) for i, (_, e) in enumerate(QUESTIONS)]) + ") t(query_id, route)")
+def _any(group: list[tuple[str, str]]) -> str:
+    """Does one of the signals stand in q? Word boundaries as RE2 has them; a look behind becomes a test of its own."""
+    tests = []
+    for name, pattern in group:
+        p = pattern.replace(BEFORE, r"\b").replace(AFTER, r"\b").replace("(?<![된는인])", "")
+        test = f"regexp_matches(q, '{p}')"
+        if name == "person":
+            names = " ".join(router.NOT_A_NAME.split())
+            test = f"({test} AND NOT regexp_matches(q, '[된는인]\\s*(직원|사원|담당자)') AND NOT list_contains(string_split('{names}', ' '), regexp_extract(q, '([가-힣]{{2,4}})\\s*(?:직원|사원|담당자)', 1)))"
+        tests.append(test)
+    return "(" + " OR ".join(tests) + ")"
+
+
+def _ladder() -> str:
+    """The rules without an ontology, from the tables of signals."""
+    v, g, n, d, e, m = map(_any, (router.VERBS, router.GENERIC, router.NOUNS, router.DOCUMENT, router.ENTITIES, router.SEMANTIC))
+    top, structured = _any([x for x in router.STRUCTURED if x[0] == "superlative"]), _any(router.STRUCTURED)
+    return f"CASE WHEN {v} OR ({g} AND {e}) THEN 'graph' WHEN {d} THEN 'semantic' WHEN {n} AND ({e} OR {top}) THEN 'graph' WHEN {structured} AND {m} THEN 'hybrid' WHEN {structured} THEN 'structured' WHEN {m} THEN 'semantic' ELSE 'hybrid' END"
+
+
+MORE = ["지난 분기 매출이 가장 높은 고객", "product 3 id = 7", "재직 중인 직원 수", "김철수 직원", "개발팀 소속 인원", "장애 건수 상위 5", "연결된 프로젝트", "Client-B와 연결된 제품", "관련 제품의 평균 금액", "안내"]
+
+
+@query("WITH p(query_id, q) AS (VALUES " + _values([(i, q) for i, q in enumerate([q for q, _ in QUESTIONS] + MORE)]) + f"), a AS (SELECT query_id * 100 + n_nationkey AS query_id, q || ' ' || n_name AS q FROM p, nation) SELECT CAST(query_id AS INTEGER) AS query_id, {_ladder()} AS route FROM a")
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return router.route(questions(spark)).select("query_id", "route")
+    """Questions about each nation, against the ladder of rules in SQL."""
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"), "n_name", F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.lit(q).alias("q")) for i, q in enumerate([q for q, _ in QUESTIONS] + MORE)])).alias("x"))
+    return router.route(asked.select((F.col("x.p") * 100 + F.col("k")).alias("query_id"), F.concat("x.q", F.lit(" "), "n_name").alias("query"))).select("query_id", "route")
 
 
 @query("SELECT CAST(12 AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS strict, CAST(1.0 AS DOUBLE) AS coverage, CAST(0 AS BIGINT) AS fan_out, CAST(0 AS BIGINT) AS true_miss")
@@ -64,14 +90,44 @@ _RAW = [
 ]
 
 
-@query("SELECT id, sql FROM (VALUES " + _values([(i, s) for i, _, s in _RAW]) + ") t(id, sql)")
+_TRIM = "trim({}, chr(32) || chr(9) || chr(13) || chr(10))"
+
+
+@query("WITH r(id, raw) AS (VALUES " + _values([(i, r) for i, r, _ in _RAW]) + rf"""), f AS (SELECT id, raw, regexp_extract(raw, '(?is)```(?:sql)?\s*(.*?)```', 1) AS fenced FROM r),
+b AS (SELECT id, {_TRIM.format("regexp_replace(" + _TRIM.format("CASE WHEN fenced <> '' THEN fenced ELSE raw END") + r", '(?i)^sql\s*[:\n]', '')")} AS body FROM f)
+SELECT id, nullif({_TRIM.format(r"regexp_extract(body, '(?is)\b((?:select|with)\b[^;]*)', 1)")}, '') AS sql FROM b""")
 def sql_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, r) for i, r, _ in _RAW], "id int, raw string").select("id", sql_lane.extract_sql(F.col("raw")).alias("sql"))
 
 
-_TEMPLATED = [(0, "환불된 주문"), (1, "취소 주문 목록"), (2, "주문 건수"), (3, "회원은 몇 명"), (4, "상태별 현황"), (5, "평균 결제 금액"), (6, "총 매출"), (7, "날씨")]
+_TEMPLATED = [(0, "환불된 주문"), (1, "취소 주문 목록"), (2, "주문 건수"), (3, "회원은 몇 명"), (4, "상태별 현황"), (5, "평균 결제 금액"), (6, "총 매출"), (7, "날씨"), (8, "환불 취소 주문"), (9, "유저가 몇 명이고 주문 개수는"), (10, "orders by STATUS"), (11, "전체 결제"), (12, "평균 매출 합계")]
 
 
-@query("SELECT id, sql FROM (VALUES " + _values([(i, sql_lane.TEMPLATE_RULES[i][1] if i < 7 else None) for i, _ in _TEMPLATED]) + ") t(id, sql)")
+def _first_rule() -> str:
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    return "CASE " + " ".join(f"WHEN {' AND '.join(f'regexp_matches(q, {lit(p)})' for p in patterns)} THEN {lit(sql)}" for patterns, sql in sql_lane.TEMPLATE_RULES) + " END"
+
+
+@query("WITH t(id, q) AS (VALUES " + _values(_TEMPLATED) + f") SELECT id, {_first_rule()} AS sql FROM t")
 def sql_template_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_TEMPLATED, "id int, q string").select("id", sql_lane.template_sql(F.col("q")).alias("sql"))
+
+
+_HIDDEN = [
+    (0, "SELECT count(*) AS n FROM nation", False),
+    (1, "SELECT count(*) AS n FROM region", True),
+    (2, "WITH region AS (SELECT * FROM region) SELECT * FROM region", True),
+    (3, "WITH region AS (SELECT 1 AS x) SELECT * FROM region", False),
+    (4, "SELECT b.r_name FROM (WITH region AS (SELECT 1 AS x) SELECT * FROM region) a CROSS JOIN region b", True),
+    (5, "WITH a AS (SELECT n_name FROM nation) SELECT * FROM a WHERE n_name IN (SELECT r_name FROM region)", True),
+    (6, "DROP VIEW nation", True),
+]
+
+
+@query("SELECT id, refused FROM (VALUES " + ", ".join(f"({i}, {str(r).lower()})" for i, _, r in _HIDDEN) + ") t(id, refused)")
+def sql_guard_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements are refused where nation may be read and region may not."""
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    seen = [(i, (sql_lane.sql_query(spark, sql, ["nation"]).error or "").startswith("refused")) for i, sql, _ in _HIDDEN]
+    return spark.createDataFrame(seen, "id int, refused boolean")
