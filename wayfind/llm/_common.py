@@ -42,13 +42,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts, at most: each is held several times over in a worker and in the JVM.
+BATCH_ROWS = 2000
+
+
+def bound_batches() -> None:
+    """Lower the session's rows a batch to BATCH_ROWS; a setting that is lower already stays."""
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", SparkSession.getActiveSession()
+    if spark and not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_udf(make: Callable[[], Callable[[list], object]], schema: str) -> Callable[[Column], Column]:
     """A column function over whole texts in Arrow batches.
 
     make() runs once a task and gives a function from a list of texts (or None) to a list, or to a dict of lists
-    for a struct. Marked non-deterministic so that no optimiser rule evaluates it twice.
+    for a struct. Marked non-deterministic so that no optimiser rule evaluates it twice. Bounds the session's batches.
     """
     struct = schema.lstrip().startswith("struct")
+    bound_batches()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = make()

@@ -10,7 +10,7 @@ import numpy as np
 class WordCache(dict):
     """Word to number, computed once a word. Emptied when it is full, so its memory is bounded; results don't depend on that."""
 
-    def __init__(self, f: Callable[[bytes], int], most: int = 300_000):
+    def __init__(self, f: Callable[[bytes], int], most: int = 100_000):
         super().__init__()
         self.f, self.most = f, most
 
