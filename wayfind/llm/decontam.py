@@ -125,7 +125,8 @@ class Readings:
             if number == 1 and len(hashes):
                 other = np.concatenate(([0], np.cumsum(reading != self.plain)))
                 starts = np.flatnonzero(other[width:] > other[:-width])
-            keys = (hashes[starts] ^ np.uint64(kind << 4 | width)) * np.uint64(0x9E3779B97F4A7C15)
+                hashes = hashes[starts]
+            keys = (hashes ^ np.uint64(kind << 4 | width)) * np.uint64(0x9E3779B97F4A7C15)
             yield number, starts, keys ^ keys >> np.uint64(32)
 
     def slots(self, number: int, start: int, width: int) -> int:
@@ -186,7 +187,7 @@ def window_hits(spark: SparkSession, windows: DataFrame, width: int, bits: int)
 
     def make():
         bits, widths = shared.value
-        known, cache = np.unpackbits(bits, bitorder="little").view(bool), WordCache(packer())
+        known, cache = np.unpackbits(bits, bitorder="little").view(bool), WordCache(packer(), 300_000)
 
         def f(texts: list) -> list:
             out = []
