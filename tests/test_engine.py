@@ -1,5 +1,6 @@
 """Operators of the engine on literal fixtures."""
 
+import json
 import math
 
 import numpy as np
@@ -500,6 +501,42 @@ def test_profiles(spark, small):
     assert "orders" in profile.describe(tables) and len(tables) == 10
 
 
+def test_resources_and_prompts(spark, tmp_path):
+    from wayfind import surfaces
+    from wayfind.engine import answer_prompt
+    from wayfind.operators.sql_lane import nl2sql_prompt
+
+    bench = profile.get_profile("bench")
+    found = surfaces.resources(spark, bench, str(tmp_path))
+    assert len(found) == 6 and all(r.read() and "admin_secrets" not in r.read() for r in found.values())
+    assert found["schema://dataset/tables"].read() == "# profile: bench\n\n" + bench.schema_card
+    assert json.loads(found["profile://dataset/active"].read())["embed_dim"] == 1024
+    told = json.loads(found["audit://schema/v1"].read())
+    assert set(told["fields"]) <= {f["name"] for f in told["record"]["fields"]}
+    assert "is not there" in found["dataset://company/manifest"].read() and "no such folder" in found["eval://results/index"].read()
+    for path, text in {
+        "datasets/MANIFEST.md": "# Sources",
+        "docs/report.md": "# R\n## 8. Method\nx\n## 9. Evidence manifest\na\n### more\nb\n## 10. End\nc",
+        "eval/results/b.json": '{"summary": {"n": 3, "note": "가"}, "rows": []}',
+        "eval/results/a.json": "[1, 2]",
+        "eval/results/c.json": "{",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, encoding="utf-8")
+    assert found["dataset://company/manifest"].read() == "# Sources"
+    assert found["docs://report/evidence"].read() == "## 9. Evidence manifest\na\n### more\nb"
+    assert found["eval://results/index"].read().split("\n")[2:] == ["- **a.json**: items=2", '- **b.json**: n=3, note="가"', "- **c.json**: cannot be read as JSON"]
+
+    asked = surfaces.prompts(bench)
+    assert asked["grounded-answer"](question="q", context="c") == answer_prompt("q", "c")
+    assert asked["nl2sql-with-schema-card"](question="q") == nl2sql_prompt("q", bench.schema_card)
+    assert "sql" in asked["explain-routing"](question="q", routing='{"route": "sql"}')
+    assert bench.schema_card in asked["review-generated-sql"](question="q", sql="SELECT 1")
+    for wrong in ({}, {"question": "q"}, {"question": "q", "context": "c", "more": "m"}):
+        with pytest.raises(ValueError):
+            asked["grounded-answer"](**wrong)
+
+
 def test_streaming(spark, small, tmp_path):
     from wayfind.streaming import run_to_table, windowed_counts
 

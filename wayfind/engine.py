@@ -13,9 +13,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayfind.operators import audit, curate, fusion, graph, keyword, router, sql_lane, vector
 
+#: What audit records are made of, a row for each run.
+RUN_SCHEMA = "query_id long, query string, route string, tools array<string>, sql string, sql_ok boolean, errors array<string>, fused array<struct<key:string,score:double,sources:array<string>,text:string>>, kept array<int>, dropped array<int>, tokens_used int, budget int"
+
 
 @dataclass
 class Retrieved:
@@ -189,8 +193,7 @@ class Engine:
 
     def audit_records(self, runs: list[Retrieved]) -> DataFrame:
         rows = [(i, r.query, r.decision["route"], r.decision["tools"], r.sql, r.sql_ok, r.errors, [(f["key"], f["score"], f["sources"], f["text"]) for f in r.fused], r.kept, r.dropped, r.tokens_used, r.budget) for i, r in enumerate(runs)]
-        schema = "query_id long, query string, route string, tools array<string>, sql string, sql_ok boolean, errors array<string>, fused array<struct<key:string,score:double,sources:array<string>,text:string>>, kept array<int>, dropped array<int>, tokens_used int, budget int"
-        return audit.audit_records(self.spark.createDataFrame(rows, schema))
+        return audit.audit_records(self.spark.createDataFrame(rows, RUN_SCHEMA))
 
     def kg_retrieve(self, query: str, k: int = 5, expand: int = 3) -> DataFrame:
         """query_id, key, score, sources, text, rank: vector hits and graph facts fused, hits bridged to the entities they name."""
@@ -205,6 +208,11 @@ class Engine:
         return fusion.rrf_named(first.unionByName(second))
 
 
+def audit_schema(spark: SparkSession) -> StructType:
+    """The schema of the records that audits return."""
+    return audit.audit_records(spark.createDataFrame([], RUN_SCHEMA)).schema
+
+
 def answer_prompt(query: str, context: str, language: str | None = "Korean") -> str:
     """What a model is told: nothing but the context counts, and how to read its lines. language None: any language."""
     rules = [
