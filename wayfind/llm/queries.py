@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfind.llm import decontam, langid, license_scan, line_dedup, packing, quality_nbsvm, quality_rules, sharding, simhash, url_lm
+from wayfind.llm import decontam, fim, langid, license_scan, line_dedup, minhash, packing, quality_nbsvm, quality_rules, sharding, simhash, spelling, url_lm
 from wayfind.llm._common import read
 
 
@@ -50,9 +50,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_sharding, op7_quality_classifier, op8_url_filter, op9_language_id, op10_license_scan)
+    for f in (
+        *(op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_simhash_near_dedup, op5_benchmark_decontamination),
+        *(op6_sharding, op7_quality_classifier, op8_url_filter, op9_language_id, op10_license_scan),
+        *(op11_fill_in_middle, op12_spelling_variants, op13_minhash_near_dedup),
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op2_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op2_quality_rules": quality_rules.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL}
