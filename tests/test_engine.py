@@ -198,6 +198,51 @@ def test_guard_refuses(spark, views, sql):
     assert spark.table("things").count() == 300
 
 
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT id, row_number() OVER w AS s FROM things WINDOW w AS (ORDER BY CASE WHEN exists(SELECT 1 FROM secrets WHERE v LIKE 'TOP%') THEN id ELSE -id END)",
+     "SELECT first_value(name) OVER w FROM things WINDOW w AS (ORDER BY reflect('java.lang.System','getProperty','java.version'))",
+     "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.home')", "SELECT IDENTIFIER('java_method')('java.lang.System','getProperty','user.home')",
+     "SELECT IDENTIFIER('re' || 'flect')('java.lang.System','getProperty','user.home') FROM things", "SELECT * FROM IDENTIFIER('secrets')", "SELECT try_reflect('java.lang.System','getProperty','user.home')",
+     "SELECT transform(array(id), x -> reflect('java.lang.System','getProperty','user.home')) FROM things", "SELECT id FROM things ORDER BY reflect('java.lang.System','getProperty','user.home')",
+     "SELECT max(id) FROM things GROUP BY name HAVING max(id) > (SELECT count(*) FROM secrets)", "SELECT t.id FROM things t JOIN things u ON t.id = u.id AND exists(SELECT 1 FROM secrets)",
+     "SELECT * FROM things, LATERAL (SELECT v FROM secrets)", "SELECT sum(id) OVER (PARTITION BY (SELECT max(v) FROM secrets)) FROM things", "SELECT sum(id) FILTER (WHERE name IN (SELECT v FROM secrets)) FROM things",
+     "SELECT CASE WHEN EXISTS (WITH a AS (SELECT * FROM secrets) SELECT * FROM a) THEN 1 END FROM things", "SELECT * FROM (SELECT * FROM things UNION ALL SELECT 1, v FROM secrets)", "FROM secrets SELECT v",
+     "SELECT * FROM things PIVOT (count(*) FOR name IN ('a')) WHERE EXISTS (SELECT 1 FROM secrets)", "TABLE secrets", "SELECT own_secret(id) FROM things", "SELECT input_file_name() FROM things", "SELECT current_user() FROM things"],
+)
+def test_guard_decides_on_the_analysed_plan(spark, views, sql):
+    spark.range(1).selectExpr("'TOP' AS v").createOrReplaceTempView("secrets")
+    spark.udf.register("own_secret", lambda x: str(x))
+    result = sql_lane.sql_query(spark, sql, views)
+    assert not result.ok and result.error.startswith("refused"), result
+    with pytest.raises(sql_lane.Refused):
+        sql_lane.guard(spark, sql, views)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT id, sum(id) OVER w AS s FROM things WINDOW w AS (PARTITION BY id % 3 ORDER BY id)", "SELECT IDENTIFIER('upper')(name) AS u FROM things LIMIT 3", "SELECT count(DISTINCT name) FILTER (WHERE id > 3) FROM things",
+     "SELECT transform(array(id, 2), x -> x + 1)[0] AS x FROM things", "WITH secrets AS (SELECT 1 AS v) SELECT v FROM secrets", "SELECT a.id FROM things a LEFT ANTI JOIN things b ON a.id = b.id + 1",
+     "SELECT id FROM things INTERSECT SELECT id FROM things EXCEPT SELECT 3", "SELECT * FROM range(3), LATERAL explode(array(1, 2)) AS e(x)", "SELECT id % 2 AS k, percentile_approx(id, 0.5) AS m FROM things GROUP BY ROLLUP(id % 2)",
+     "SELECT * FROM (SELECT id % 2 AS k, id FROM things) PIVOT (sum(id) FOR k IN (0, 1))", "SELECT (SELECT max(b.id) FROM things b WHERE b.id < a.id) AS m FROM things a ORDER BY a.id DESC LIMIT 2 OFFSET 1",
+     "SELECT date_trunc('month', DATE'2020-02-03') AS d, regexp_extract('a1', '([0-9])', 1) AS r, CAST(1.5 AS DECIMAL(4, 1)) AS c", "SELECT * FROM VALUES (1, 'a'), (2, 'b') AS t(x, y)"],
+)
+def test_guard_lets_reads_pass(spark, views, sql):
+    result = sql_lane.sql_query(spark, sql, views)
+    assert result.ok, result.error
+
+
+def test_guard_allows_named_functions_and_trusts_views(spark, views):
+    spark.udf.register("doubled", lambda x: 2 * x, "long")
+    spark.range(2).selectExpr("id AS v").createOrReplaceTempView("secrets")
+    spark.sql("SELECT v + 1 AS v FROM secrets").createOrReplaceTempView("shown")
+    with pytest.raises(sql_lane.Refused):
+        sql_lane.guard(spark, "SELECT doubled(id) FROM things", views)
+    assert sql_lane.guard(spark, "SELECT doubled(id) FROM things", views, ["DOUBLED"])
+    assert sql_lane.sql_query(spark, "SELECT max(v) AS v FROM shown", ["shown"]).rows == [{"v": 2}]
+    assert not sql_lane.sql_query(spark, "SELECT max(v) AS v FROM shown JOIN secrets USING (v)", ["shown"]).ok
+
+
 def test_sql_result(spark, views):
     r = sql_lane.sql_query(spark, "SELECT id FROM things", views)
     assert (len(r.rows), r.row_count, r.truncated, r.columns) == (200, 300, True, ["id"])

@@ -12,6 +12,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfind.operators.authority import Refused, analysed_plan, authorise
+
 ROW_CAP = 200
 STATEMENT_SECONDS = 8.0
 
@@ -27,10 +29,6 @@ READING_NODES = set(
 REFLECTION = {"java_method", "reflect", "try_reflect"}
 
 
-class Refused(ValueError):
-    """The statement is not a read of the registered views."""
-
-
 def _inner(node) -> Iterable:
     for way in ("children", "innerChildren"):
         found = getattr(node, way)()
@@ -40,8 +38,12 @@ def _inner(node) -> Iterable:
 
 def _subplans(node) -> Iterable:
     expressions = node.expressions()
-    for i in range(expressions.size()):
-        stack = [expressions.apply(i)]
+    found = [expressions.apply(i) for i in range(expressions.size())]
+    if node.getClass().getSimpleName() == "WithWindowDefinition":  # a map, which expressions() passes over
+        defined = node.windowDefinitions().values().toSeq()
+        found += [defined.apply(i) for i in range(defined.size())]
+    for one in found:
+        stack = [one]
         while stack:
             e = stack.pop()
             yield "expression", e
@@ -52,12 +54,15 @@ def _subplans(node) -> Iterable:
             stack += [children.apply(k) for k in range(children.size())]
 
 
-def guard(spark: SparkSession, sql: str, views: Iterable[str] | None = None) -> str:
+def guard(spark: SparkSession, sql: str, views: Iterable[str] | None = None, functions: Iterable[str] = ()) -> str:
     """The statement, if its whole plan only reads registered views (or the given ones); Refused otherwise.
 
     The text is parsed, not matched: comments and semicolons inside literals are harmless, and a WITH that ends in INSERT
     is refused. Names that are not plain views (paths, other catalogs) are refused too. A WITH query hides a table of its name
-    only where the WITH query can be seen.
+    only where the WITH query can be seen. What passes is analysed, and the analysed plan decides (authority): views by their
+    resolved names, functions by what they turned out to be. An analysis error is raised as it is.
+
+    functions: names of registered functions of the user that may be called.
     """
     sensitive = spark.conf.get("spark.sql.caseSensitive") == "true"
     fold = (lambda n: n) if sensitive else str.lower
@@ -99,6 +104,7 @@ def guard(spark: SparkSession, sql: str, views: Iterable[str] | None = None) ->
         stack += [(x, seen) for x in _inner(node) if "plans.logical" in x.getClass().getName() or "catalyst.analysis" in x.getClass().getName()]
     if unknown:
         raise Refused(f"unknown or forbidden relation: {', '.join(sorted(unknown))}")
+    authorise(analysed_plan(spark, plan), allowed, functions, fold)
     return sql
 
 

@@ -113,21 +113,35 @@ def sql_template_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_TEMPLATED, "id int, q string").select("id", sql_lane.template_sql(F.col("q")).alias("sql"))
 
 
-_HIDDEN = [
-    (0, "SELECT count(*) AS n FROM nation", False),
-    (1, "SELECT count(*) AS n FROM region", True),
-    (2, "WITH region AS (SELECT * FROM region) SELECT * FROM region", True),
-    (3, "WITH region AS (SELECT 1 AS x) SELECT * FROM region", False),
-    (4, "SELECT b.r_name FROM (WITH region AS (SELECT 1 AS x) SELECT * FROM region) a CROSS JOIN region b", True),
-    (5, "WITH a AS (SELECT n_name FROM nation) SELECT * FROM a WHERE n_name IN (SELECT r_name FROM region)", True),
-    (6, "DROP VIEW nation", True),
+#: Statements about a nation {n} called {name} and the view of its region, {r}: is it refused always, where that view may not be read, or never?
+_GUARDED = [
+    ("SELECT count(*) AS n FROM region_{r} WHERE r_regionkey = {r}", "hidden"),
+    ("SELECT n_name, row_number() OVER w AS s FROM nation WINDOW w AS (ORDER BY CASE WHEN exists(SELECT 1 FROM region_{r}) THEN 1 ELSE n_nationkey END)", "hidden"),
+    ("SELECT b.r_name FROM (WITH region_{r} AS (SELECT {n} AS x) SELECT * FROM region_{r}) a CROSS JOIN region_{r} b", "hidden"),
+    ("WITH region_{r} AS (SELECT '{name}' AS x) SELECT * FROM region_{r}", "never"),
+    ("SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', '{name}') AS x FROM nation", "always"),
+    ("INSERT INTO region_{r} VALUES ({n}, '{name}', '')", "always"),
 ]
 
 
-@query("SELECT id, refused FROM (VALUES " + ", ".join(f"({i}, {str(r).lower()})" for i, _, r in _HIDDEN) + ") t(id, refused)")
+@query(
+    "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, form, kind = 'always' OR (kind = 'hidden' AND n_regionkey % 2 = 1) AS refused FROM nation CROSS JOIN (VALUES "
+    + ", ".join(f"({k}, '{kind}')" for k, (_, kind) in enumerate(_GUARDED))
+    + ") f(form, kind)"
+)
 def sql_guard_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which statements are refused where nation may be read and region may not."""
-    for name in ("nation", "region"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    seen = [(i, (sql_lane.sql_query(spark, sql, ["nation"]).error or "").startswith("refused")) for i, sql, _ in _HIDDEN]
-    return spark.createDataFrame(seen, "id int, refused boolean")
+    """Which statements of each nation are refused where nation may be read, and the views of regions with an even key."""
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nations.createOrReplaceTempView("nation")
+    given, seen = ["nation"], []
+    for (r,) in regions.select("r_regionkey").collect():
+        regions.where(F.col("r_regionkey") == r).createOrReplaceTempView(f"region_{r}")
+        given += [f"region_{r}"] * (r % 2 == 0)
+    for n, name, r in nations.select("n_nationkey", "n_name", "n_regionkey").collect():
+        for form, (sql, _) in enumerate(_GUARDED):
+            try:
+                sql_lane.guard(spark, sql.format(n=n, name=name.replace("'", "''"), r=r), given)
+                seen.append((n, form, False))
+            except sql_lane.Refused:
+                seen.append((n, form, True))
+    return spark.createDataFrame(seen, "n_nationkey long, form int, refused boolean")
