@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
-from wayfind.operators import claims, curate, evaluate, keyword
+from wayfind.operators import claims, curate, evaluate, positions
 from wayfind.plans.registry import query, table
 from wayfind.sources.readers import chunk_markdown
 
@@ -85,7 +85,38 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5""")
 def kw_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = spark.createDataFrame(_PROBES, "query_id int, query string")
-    return keyword.keyword_search(keyword.build_index(table(spark, sf_dir, "documents")), queries)
+    found = positions.search_texts(table(spark, sf_dir, "documents"), queries)
+    return found.select("query_id", "doc_id", F.round(F.col("score") / positions.WEIGHT).cast("long").alias("score"), "rank")
+
+
+_ASKED = "SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1)[1:2]) AS ts FROM documents WHERE doc_id % 100 = 0"
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words of each hundredth document as a question."""
+    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)), 1, 2))
+    return table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+
+
+@query(f"""
+WITH q AS ({_ASKED}), p AS (SELECT query_id, len(ts) AS terms, unnest(ts) AS prefix, generate_subscripts(ts, 1) AS term FROM q),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS word, generate_subscripts(regexp_extract_all(lower(text), '([a-z]+)', 1), 1) AS nr FROM documents),
+t AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY min(nr)) AS pos FROM w WHERE length(word) >= 2 GROUP BY doc_id, word),
+h AS (SELECT query_id, terms, doc_id, pos, bool_or(term = 1) AS one, bool_or(term = 2) AS two FROM t JOIN p ON starts_with(word, prefix) GROUP BY ALL),
+l AS (SELECT *, row_number() OVER o AS nr, max(CASE WHEN one THEN pos END) OVER o AS p1, max(CASE WHEN two THEN pos END) OVER o AS p2 FROM h WINDOW o AS (PARTITION BY query_id, doc_id ORDER BY pos)),
+b AS (SELECT *, CASE WHEN terms = 1 THEN p1 WHEN p1 IS NOT NULL AND p2 IS NOT NULL THEN least(p1, p2) END AS start FROM l),
+c AS (SELECT *, lag(start) OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS before FROM b),
+v AS (SELECT c.query_id, c.doc_id, c.pos, c.start, c.nr - f.nr + 1 AS held FROM c JOIN l f ON f.query_id = c.query_id AND f.doc_id = c.doc_id AND f.pos = c.start WHERE c.start > coalesce(c.before, -1)),
+s AS (SELECT query_id, doc_id, round(sum(0.1::DOUBLE / (1 + (pos - start) - (held - 1))), 9) AS score FROM v GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
+def kw_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents in which two words stand nearest together, for each hundredth document's first two words. Texts are cut to a-z words here, so that SQL can place them."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda w: F.length(w) >= 2))
+    placed = F.transform(words, lambda t, k: F.struct(t.alias("token"), (k + 1).alias("pos")))
+    index = docs.select("doc_id", F.explode(placed).alias("p")).select("doc_id", "p.token", "p.pos")
+    found = positions.search(index, _asked(spark, sf_dir), 1 << 20, "all", most=1 << 20)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.select("query_id", "doc_id", F.round("score", 9).alias("score")).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
 _TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
