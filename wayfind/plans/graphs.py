@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.operators import fusion, graph
+from wayfind.operators import adjacency, fusion, graph
 from wayfind.plans.registry import query, table
 from wayfind.sources import kg
+from wayfind.sources.sinks import keep
 
 O = kg.OFFSETS  # noqa: E741
 _ENTITIES = "ents AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) + {O[kind]} AS id, '{kind}' AS type, {n} AS canonical_name, '{kind}_' || {k} AS ext_id FROM {kind}" for kind, (k, n) in kg.NAME_COLUMNS.items()) + ")"
@@ -68,7 +69,8 @@ def _expand(depth: int):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         seeds = spark.createDataFrame(_SEEDS, "query_id int, seed long")
-        return graph.graph_expand(seeds, kg.relations(spark, sf_dir), depth).select("query_id", "seed", "src", "rel_type", "dst", "depth")
+        steps = keep(adjacency.adjacency(kg.relations(spark, sf_dir)), "adjacency")
+        return adjacency.walk(steps, seeds, depth).select("query_id", "seed", "src", "rel_type", "dst", "depth")
 
     run.__name__ = f"kg_expand_{depth}"
     query(_WALK + f"SELECT query_id, seed, src, rel_type, dst, min(depth) AS depth FROM ({union}) GROUP BY ALL")(run)

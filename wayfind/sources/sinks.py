@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
@@ -9,6 +12,28 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folder: list[str] = []
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table in the folder of spark.checkpoint.dir and read back: computed once, and whole if executors are lost.
+
+    Where that setting is unset, a temporary folder serves if all runs on this machine, as in tests; elsewhere that is an error.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="wayfind-kept-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        shared = _own_folder[0]
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write beside path, then put the new folder in the place of the old one.
 
