@@ -81,7 +81,21 @@ def grams(word: str) -> list[str]:
 
 def prefix(word: str, rank: dict[str, int]) -> list[str]:
     """The PREFIX rarest of a word's bigrams, rarest first; one that occurs twice counts twice."""
-    return sorted(grams(word), key=lambda g: (rank.get(g, 0), g))[:PREFIX]
+    return sorted(grams(word), key=rank.__getitem__)[:PREFIX]
+
+
+def first_shared(a: list[str], b: list[str], rank: dict[str, int]) -> str:
+    """The first SHARED bigrams that two prefixes have in common, put together; one that both have twice counts twice."""
+    out, i, j = [], 0, 0
+    while len(out) < SHARED and i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(a[i])
+            i, j = i + 1, j + 1
+        elif rank[a[i]] < rank[b[j]]:
+            i += 1
+        else:
+            j += 1
+    return "".join(out)
 
 
 def file_keys(word: str, rank: dict[str, int]) -> list[int]:
@@ -163,9 +177,7 @@ def link_words(words: DataFrame, crowded: int = 4096) -> DataFrame:
                 words, side = list(words), None if side is None else list(side)
                 for i, j in near_pairs(words, side):
                     # A pair that shares several files is told in one of them: that of the first bigrams that both have.
-                    both = Counter(prefix(words[j], rank))
-                    common = [g for g in prefix(words[i], rank) if both[g] > 0 and not both.subtract([g])][:SHARED]
-                    if xxhash.xxh64_intdigest("".join(common).encode()) - (1 << 63) == key:
+                    if xxhash.xxh64_intdigest(first_shared(prefix(words[i], rank), prefix(words[j], rank), rank).encode()) - (1 << 63) == key:
                         out += [(words[i], words[j], counts[j]), (words[j], words[i], counts[i])]
             if out:
                 yield pd.DataFrame(out, columns=["word", "other", "m"])
