@@ -11,7 +11,7 @@ million. What is in a file is then verified on the whole sets, in tasks of bound
 
 1. Each set is compared with the least set of the file it shares most often, then of the other files, unless the two
    are in one group already. So a group of near copies costs about one comparison a member.
-2. Files whose members are still in several groups are gone through completely, in blocks: each member is compared with
+2. Files whose members are not known to be in one group are gone through completely, in blocks: each member is compared with
    those of other groups. Large files are cut into blocks, and every pair of blocks meets.
 """
 
@@ -174,16 +174,18 @@ def link_sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, id_col: str,
     bounds = (percent, most_rows, most_elements)
     best = stars.groupBy("id", "n").agg(F.max(F.struct("bands", -F.col("lead")))["col2"].alias("lead")).select("id", "n", (-F.col("lead")).alias("lead"))
     first = materialise(verify_stars(best, sets, *bounds), "minhash-links-1")
+    # Two steps along the links of the first round: what has one label is in one group.
     label = first.select(F.col("b").alias("id"), F.col("a").alias("label"))
-    rest = stars.join(label.hint("merge"), "id", "left").withColumn("own", F.coalesce("label", "id")).drop("label")
-    rest = rest.join(label.withColumnRenamed("id", "lead").hint("merge"), "lead", "left").where(F.coalesce("label", "lead") != F.col("own")).select("lead", "id", "n")
+    label = label.join(label.toDF("label", "top").hint("merge"), "label", "left")
+    label = materialise(label.select("id", F.coalesce("top", "label").alias("label")), "minhash-labels")
+    labelled = lambda df, c, new: df.join(label.toDF(c, new).hint("merge"), c, "left").withColumn(new, F.coalesce(new, c))
+    rest = labelled(labelled(stars, "id", "own"), "lead", "other").where("own <> other").select("lead", "id", "n")
     second = materialise(verify_stars(rest, sets, *bounds), "minhash-links-2")
-    groups = materialise(connected_components(first.union(second)), "minhash-groups")
+    met = labelled(labelled(second, "a", "la"), "b", "lb").select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("hook"))
+    hooks = materialise(met.groupBy("label").agg(F.min("hook").alias("hook")), "minhash-hooks")
 
-    files = members.where("members > 2").join(groups.hint("merge"), members["id"] == groups["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("group"))
-    third = materialise(verify_files(files, sets, *bounds), "minhash-links-3")
-    if third.isEmpty():
-        return groups
+    files = labelled(members.where("members > 2").select("key", "id", "n"), "id", "label").join(hooks.hint("merge"), "label", "left")
+    third = materialise(verify_files(files.select("key", "id", "n", F.coalesce("hook", "label").alias("group")), sets, *bounds), "minhash-links-3")
     return materialise(connected_components(first.union(second).union(third)), "minhash-groups")
 
 
