@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.operators.places import upper_median_by
+
 NUMERIC = re.compile(r"-?\d+(\.\d+)?")
 
 
@@ -122,16 +124,10 @@ def confusion(rows: DataFrame, expected: str = "expected", got: str = "got") ->
     return rows.where(F.col(expected) != F.col(got)).groupBy(expected, got).agg(F.count("*").alias("n"))
 
 
-def upper_median(column: Column) -> Column:
-    """The middle of the sorted values, the upper of two."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def repeat_summary(runs: DataFrame) -> DataFrame:
-    """runs: run, correct counts by run. Median (upper), least and largest."""
+    """runs: run, correct counts by run. Median (upper), least and largest; no row without runs."""
     per = runs.groupBy("run").agg(F.sum(F.col("correct").cast("int")).alias("c"))
-    return per.agg(upper_median(F.col("c")).alias("median"), F.min("c").alias("least"), F.max("c").alias("most"))
+    return upper_median_by(per, "c").select("median", "least", "most")
 
 
 def stability(runs: DataFrame) -> DataFrame:

@@ -22,18 +22,22 @@ def rrf_merge(ranked: DataFrame, k: int = K) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(w))
 
 
-def rrf_named(ranked: DataFrame, k: int = K) -> DataFrame:
-    """As rrf_merge over lists with a source name and text: sources are distinct names in order, more of them win ties, and
-    the text is that of the first list and place where the key was seen."""
+def named_scores(ranked: DataFrame, k: int = K) -> DataFrame:
+    """query_id, key, score, sources, text: as rrf_merge over lists with a source name and text, without places. Sources are
+    distinct names in order; the text is that of the first list and place where the key was seen."""
     once = ranked.groupBy("query_id", "list_idx", "key").agg(F.min("rank").alias("rank"), F.min_by(F.struct("source", "text"), "rank").alias("x"))
     parts = F.collect_list(F.struct("list_idx", (1.0 / (k + F.col("rank"))).alias("inc")))
-    merged = once.groupBy("query_id", "key").agg(
+    return once.groupBy("query_id", "key").agg(
         _ordered_sum(parts).alias("score"),
         F.array_sort(F.collect_set("x.source")).alias("sources"),
         F.min_by("x.text", F.struct("list_idx", "rank")).alias("text"),
     )
+
+
+def rrf_named(ranked: DataFrame, k: int = K) -> DataFrame:
+    """named_scores with places: more sources win ties."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.size("sources")), "key")
-    return merged.withColumn("rank", F.row_number().over(w))
+    return named_scores(ranked, k).withColumn("rank", F.row_number().over(w))
 
 
 def ranked_list(items: DataFrame, list_idx: int, order: list[Column], key: Column, source: str, text: Column) -> DataFrame:

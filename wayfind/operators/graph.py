@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
+from wayfind.sources.sinks import keep
 
 # How relations read in a context line, and below, the texts of candidates.
 RELATION_LABELS = {
@@ -32,10 +33,11 @@ def entity_key(kind: Column, entity_id: Column) -> Column:
     return F.concat(F.lit("entity:"), kind, F.lit("#"), entity_id.cast("string"))
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of three characters."""
-    starts = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
+def _grams(text: Column, n: Column | int = 3) -> Column:
+    """The distinct runs of n characters; of length 0 there is one, the empty run."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
 
 
 def match_terms(terms: DataFrame, entities: DataFrame, aliases: DataFrame, like_wildcards: bool = True) -> DataFrame:
@@ -43,26 +45,24 @@ def match_terms(terms: DataFrame, entities: DataFrame, aliases: DataFrame, like_
 
     4 for the whole name, 3 for a whole alias, 2 for a prefix, 1 for a part. like_wildcards: `_` and `%` in a term stand for
     anything. A name that holds a term holds all its runs of three characters, so names and terms meet on that run of the
-    term's longest literal piece that fewest names have, and the test for a part comes after. Terms without such a run are
-    tested against all names.
+    term's longest literal piece that fewest names have, and the test for a part comes after. Where that piece is shorter, it
+    is the run itself, of two characters, one or none, so that these meet in the same join.
     """
     own = entities.select("id", F.lower("canonical_name").alias("name"), F.lit("canonical").alias("via"), F.lit(4).alias("exact"))
     other = aliases.select(F.col("entity_id").alias("id"), F.lower("alias").alias("name"), F.lit("alias").alias("via"), F.lit(3).alias("exact"))
     names = own.unionByName(other)
     pieces = F.split(F.lower("term"), "[_%]") if like_wildcards else F.array(F.lower("term"))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    asked = terms.select("query_id", "term", F.lower("term").alias("low"), _grams(longest).alias("grams")).distinct()
+    asked = terms.select("query_id", "term", F.lower("term").alias("low"), _grams(longest, F.least(F.length(longest), F.lit(3))).alias("grams")).distinct()
     if like_wildcards:
         part, start = F.expr("name LIKE concat('%', low, '%')"), F.expr("name LIKE concat(low, '%')")
     else:
         part, start = F.contains("name", F.col("low")), F.startswith(F.col("name"), F.col("low"))
-    runs = names.withColumn("gram", F.explode(_grams(F.col("name"))))
+    runs = names.withColumn("gram", F.explode(F.concat(*[_grams(F.col("name"), n) for n in range(4)])))
     wanted = asked.select("query_id", "term", "low", F.explode("grams").alias("gram"))
     known = runs.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(known, "gram").groupBy("query_id", "term", "low").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     met = runs.join(rarest, "gram").where(part).select("query_id", "id", "term", "low", "name", "via", "exact")
-    short = asked.where(F.size("grams") == 0).select("query_id", "term", "low")
-    met = met.unionByName(names.join(short, part).select(*met.columns))
     score = F.when(F.col("name") == F.col("low"), F.col("exact")).when(start, 2).otherwise(1)
     hits = met.select("query_id", "id", "via", F.col("term").alias("matched"), score.alias("score"))
     best = hits.groupBy("query_id", "id").agg(
@@ -79,6 +79,20 @@ def ontology_search(queries: DataFrame, entities: DataFrame, aliases: DataFrame,
     return top_matches(match_terms(terms, entities, aliases, like_wildcards), k)
 
 
+def ontology_search_many(queries: DataFrame, entities: DataFrame, aliases: DataFrame, k: int = 5, like_wildcards: bool = True) -> DataFrame:
+    """What ontology_search gives, for many questions that share terms.
+
+    Each distinct term meets the names once and keeps its k best. What is among the k best of a question is among the k best of
+    the term that gave it its score, since the order within a term is that within the question, so nothing is lost.
+    """
+    terms = keep(queries.select("query_id", F.explode(T.seed_terms(F.col("query"))).alias("term")), "terms")
+    once = terms.select(F.col("term").alias("query_id"), "term").distinct()
+    best = keep(top_matches(match_terms(once, entities, aliases, like_wildcards), k).withColumnRenamed("query_id", "term").drop("rank"), "term-hits")
+    hits = terms.join(best, "term")
+    per = hits.groupBy("query_id", "id").agg(F.min(F.struct(-F.col("score"), "via")).alias("v"), F.min(F.struct(-F.col("score"), "matched")).alias("m"), F.max("score").alias("score"), F.first("type").alias("type"), F.first("canonical_name").alias("canonical_name"))
+    return top_matches(per.select("query_id", "id", "type", "canonical_name", F.col("v.via").alias("via"), F.col("m.matched").alias("matched"), "score"), k)
+
+
 def top_matches(matches: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("canonical_name"), "id")
     return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

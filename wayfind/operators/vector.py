@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
 from wayfind.functions import vectors as V
-from wayfind.sources.sinks import replace_table
+from wayfind.sources.sinks import current, publish, replace_table, retire
 
 MOST_QUERY_NUMBERS = 8_000_000  # of one block of queries that travels to the executors: 64 MB
 
@@ -136,3 +136,54 @@ def backfill(docs: DataFrame, path: str, dim: int = 768) -> dict:
     """Hash vectors of all documents as a table at path, which replaces an old one once it is whole; rows and dim."""
     replace_table(hash_vectors(docs, dim), path)
     return {"updated": docs.count(), "dim": dim}
+
+
+def embed_rows(rows: DataFrame, embedder: Callable[[list[str]], list], dim: int | None = None, id_col: str = "doc_id", text_col: str = "text", batch: int = 64, strict: bool = True) -> DataFrame:
+    """id, embedding (array<double>), error: vectors of an injected embedder, which takes a list of at most `batch` texts.
+
+    strict: a failing batch, a wrong number of vectors or a wrong length raises, so that nothing is written. Else a failing
+    batch is tried again text by text, and a text that fails alone has a null vector and the error. Null texts count as empty.
+    """
+
+    def checked(texts: list[str]) -> list[list[float]]:
+        vectors = [[float(x) for x in v] for v in embedder(texts)]
+        if len(vectors) != len(texts):
+            raise ValueError(f"the embedder gives {len(vectors)} vectors for {len(texts)} texts")
+        wrong = next((len(v) for v in vectors if dim and len(v) != dim), None)
+        if wrong is not None:
+            raise ValueError(f"the embedder gives {wrong} numbers, not {dim}")
+        return vectors
+
+    def alone(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return checked([text])[0], None
+        except Exception as e:
+            return None, (str(e).strip() or type(e).__name__).splitlines()[0][:300]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start : start + batch]
+                texts = ["" if t is None else t for t in part["t"].tolist()]
+                try:
+                    found = [(v, None) for v in checked(texts)]
+                except Exception:
+                    if strict:
+                        raise
+                    found = [alone(t) for t in texts]
+                yield pd.DataFrame({"id": part["id"].tolist(), "embedding": [v for v, _ in found], "error": [e for _, e in found]})
+
+    kind = dict(rows.dtypes)[id_col]
+    out = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, embedding array<double>, error string")
+    return out.withColumnRenamed("id", id_col)
+
+
+def backfill_with(docs: DataFrame, path: str, embedder: Callable[[list[str]], list], dim: int, batch: int = 64, id_col: str = "doc_id", text_col: str = "text", held: int = 2) -> dict:
+    """Vectors of all documents by an injected embedder, published at path all or not at all; rows, dim and version.
+
+    A batch that fails ends the job, and readers go on with the version before. Read them with sinks.current. The newest
+    `held` versions stay.
+    """
+    version = publish(embed_rows(docs, embedder, dim, id_col, text_col, batch).drop("error"), path)
+    retire(docs.sparkSession, path, held)
+    return {"updated": current(docs.sparkSession, path, version=version).count(), "dim": dim, "version": version}

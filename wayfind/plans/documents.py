@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
-from wayfind.operators import claims, curate, evaluate, positions
+from wayfind.operators import claims, curate, evaluate, places, positions
 from wayfind.plans.registry import query, table
 from wayfind.sources.readers import chunk_markdown
 
@@ -39,8 +39,12 @@ def txt_content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEED_STOP = ", ".join(f"'{w}'" for w in T.SEED_STOP_WORDS.split())
 
 
-@query(f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(p_name || ' ' || p_brand || '의 제품', '([A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*|[가-힣]{{2,}})', 1),
-lambda w: regexp_replace(w, '({_PARTICLES})$', '')), lambda w: length(w) >= 2 AND w NOT IN ({_SEED_STOP})))), ' ') AS terms FROM part""")
+#: The rule of seed terms for a text column.
+SEEDS_SQL = f"""list_distinct(list_filter(list_transform(regexp_extract_all({{}}, '([A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*|[가-힣]{{{{2,}}}})', 1),
+lambda w: regexp_replace(w, '({_PARTICLES})$', '')), lambda w: length(w) >= 2 AND w NOT IN ({_SEED_STOP})))"""
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort({SEEDS_SQL.format("p_name || ' ' || p_brand || '의 제품'")}), ' ') AS terms FROM part")
 def txt_seed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" "), "p_brand", F.lit("의 제품"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(T.seed_terms(text)), " ").alias("terms"))
@@ -232,11 +236,5 @@ def ev_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS median, min(n_chars) AS least, max(n_chars) AS most FROM documents")
 def ev_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper median of all text lengths, by counting below each length rather than gathering them."""
-    from pyspark.sql import Window
-
-    counts = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("n"))  # one row a distinct length
-    order = Window.orderBy("n_chars")
-    upto = counts.withColumns({"upto": F.sum("n").over(order), "whole": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    middle = F.min(F.when(F.col("upto") > F.expr("whole div 2"), F.col("n_chars")))
-    return upto.agg(F.max("whole").alias("n"), middle.alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    """The upper median of all text lengths, by counting between cut points rather than gathering them."""
+    return places.upper_median_by(table(spark, sf_dir, "documents").select("n_chars"), "n_chars")

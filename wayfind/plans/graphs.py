@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfind.operators import adjacency, fusion, graph
+from wayfind.operators import adjacency, fusion, graph, retrieval
+from wayfind.plans.documents import SEEDS_SQL, terms_sql
 from wayfind.plans.registry import query, table
+from wayfind.plans.vectors import fnv_sql
 from wayfind.sources import kg
 from wayfind.sources.sinks import keep
 
@@ -176,3 +178,51 @@ def kg_retrieve_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = graph.ontology_candidates(hits).select("query_id", F.lit(0).alias("g"), F.struct(F.col("rank").alias("at"), F.lit("").alias("rel_type"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst")).alias("o"), "canonical_key", "text")
     items = fusion.ranked_list(names.unionByName(facts), 0, [F.col("g"), F.col("o")], F.col("canonical_key"), "graph", F.col("text"))
     return fusion.rrf_merge(items).select("query_id", "key", F.round("score", 9).alias("score"))
+
+
+_MANY = _WITH + _RELS + f""", turns AS (SELECT conv_id, turn, conv_id * 1000 + turn AS query_id, coalesce(text, '') AS query FROM conversations),
+al AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', query_id, query FROM turns),
+tm AS (SELECT kind, id, unnest({terms_sql('text')}) AS term FROM al),
+hs AS (SELECT term, CAST({fnv_sql('term')} % 768 AS INTEGER) AS bucket, CASE WHEN {fnv_sql("term || '#'")} % 2 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM (SELECT DISTINCT term FROM tm)),
+sw AS (SELECT kind, id, bucket, CAST(sum(sign) AS DOUBLE) AS w FROM tm JOIN hs USING (term) GROUP BY ALL HAVING sum(sign) <> 0),
+nw AS (SELECT kind, id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS weight FROM sw),
+vecs AS (SELECT DISTINCT kind, id FROM nw),
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.weight * d.weight) AS score FROM nw q JOIN nw d ON q.kind = 'q' AND d.kind = 'd' AND q.bucket = d.bucket GROUP BY ALL),
+cosines AS (SELECT q.id AS query_id, d.id AS doc_id, round(coalesce(score, 0), 9) AS score FROM vecs q JOIN vecs d ON q.kind = 'q' AND d.kind = 'd' LEFT JOIN dots ON dots.query_id = q.id AND dots.doc_id = d.id),
+vl AS (SELECT query_id, CASE WHEN doc_id % 3 = 0 THEN 'entity:nation#' || (doc_id % 25 + {O['nation']}) ELSE 'documents#' || doc_id END AS key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cosines QUALIFY rank <= 5)),
+asks AS (SELECT query_id, unnest({SEEDS_SQL.format('query')}) AS term FROM turns),
+t1 AS (SELECT DISTINCT term, lower(term) AS low FROM asks),
+m AS (SELECT term, id, max(CASE WHEN lower(canonical_name) = low THEN 4 WHEN lower(canonical_name) LIKE low || '%' THEN 2 ELSE 1 END) AS score FROM ents JOIN t1 ON lower(canonical_name) LIKE '%' || low || '%' GROUP BY ALL
+ UNION ALL SELECT term, entity_id, max(CASE WHEN lower(alias) = low THEN 3 WHEN lower(alias) LIKE low || '%' THEN 2 ELSE 1 END) FROM als JOIN t1 ON lower(alias) LIKE '%' || low || '%' GROUP BY ALL),
+b AS (SELECT query_id, id, max(score) AS score FROM asks JOIN m USING (term) GROUP BY ALL),
+h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(canonical_name), id) AS rank FROM b JOIN ents USING (id) QUALIFY rank <= 5),
+sd AS (SELECT query_id, id AS seed, rank AS pos FROM h WHERE rank <= 3),
+ed AS (SELECT query_id, seed, pos, rel_type, src, dst FROM sd JOIN rels ON src = seed UNION SELECT query_id, seed, pos, rel_type, src, dst FROM sd JOIN rels ON dst = seed),
+it AS (SELECT query_id, 0 AS g, rank AS o, ('', CAST(0 AS BIGINT), CAST(0 AS BIGINT)) AS o2, id AS key FROM h UNION ALL SELECT query_id, 1, pos, (rel_type, src, dst), CASE WHEN dst = seed THEN src ELSE dst END FROM ed),
+gl AS (SELECT query_id, 'entity:' || type || '#' || key AS key, row_number() OVER (PARTITION BY query_id ORDER BY g, o, o2) AS rank FROM it JOIN ents ON ents.id = key),
+v1 AS (SELECT query_id, key, 1.0::DOUBLE / (60 + min(rank)) AS inc FROM vl GROUP BY ALL), g1 AS (SELECT query_id, key, 1.0::DOUBLE / (60 + min(rank)) AS inc FROM gl GROUP BY ALL),
+fu AS (SELECT query_id, key, coalesce(v1.inc, 0) + coalesce(g1.inc, 0) AS score, (v1.inc IS NOT NULL)::INTEGER + (g1.inc IS NOT NULL)::INTEGER AS n FROM v1 FULL JOIN g1 USING (query_id, key)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n DESC, key) AS rank FROM fu),
+su AS (SELECT query_id, count(*) AS fused, count(*) FILTER (n > 1) AS agreed, string_agg(key, ',' ORDER BY rank) FILTER (rank <= 5) AS best FROM pl GROUP BY 1)
+"""
+
+
+@query(_MANY + """SELECT conv_id, turn, (SELECT count(*) FROM vl WHERE vl.query_id = turns.query_id) AS n_vector, (SELECT count(*) FROM gl WHERE gl.query_id = turns.query_id) AS n_graph,
+ coalesce(fused, 0) AS fused, coalesce(agreed, 0) AS agreed, best FROM turns LEFT JOIN su USING (query_id)""")
+def kg_retrieve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as a question: vector and graph lists, how they agree, and the five best keys.
+
+    Every third document is linked to a nation, so that the lists can meet."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), "text")
+    docs, ents = table(spark, sf_dir, "documents").select("doc_id", "text"), keep(kg.entities(spark, sf_dir), "entities")
+    links = docs.where("doc_id % 3 = 0").select(F.lit("vector").alias("source_kind"), F.col("doc_id").alias("document_id"), (F.col("doc_id") % 25 + O["nation"]).alias("entity_id"))
+    steps = keep(adjacency.adjacency(kg.relations(spark, sf_dir)), "adjacency")
+    found = retrieval.kg_retrieve_many(turns.select("query_id", F.col("text").alias("query")), docs, ents, kg.aliases(spark, sf_dir), steps, links)
+    if not found.failures.isEmpty():
+        raise RuntimeError(str(found.failures.first()))
+    sizes = found.ranked().groupBy("query_id").agg(*[F.count(F.when(F.col("source") == s, 1)).alias(f"n_{s}") for s in ("vector", "graph")])
+    scores = keep(fusion.named_scores(found.ranked()), "fused")
+    places = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.size("sources")), "key")
+    best = scores.select("query_id", "key", F.row_number().over(places).alias("rank")).where("rank <= 5").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), ",").alias("best"))
+    out = turns.join(sizes, "query_id", "left").join(fusion.agreement(scores), "query_id", "left").join(best, "query_id", "left")
+    return out.select("conv_id", "turn", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_vector", "n_graph", "fused", "agreed")], "best")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.operators import graph
+from wayfind.operators.places import places
 from wayfind.plans.registry import query, sql_query, table
 from wayfind.sources import kg
 
@@ -51,7 +52,6 @@ sql_query("sql_argmax", "SELECT p_brand FROM lineitem JOIN part ON l_partkey = p
 sql_query("sql_order_by_hidden_aggregate", "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY max(c_acctbal) DESC, c_mktsegment LIMIT 3")
 sql_query("sql_topk_tiebreak", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25")
 sql_query("sql_topk_values", "SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 10")
-sql_query("sql_null_order", "WITH x AS (SELECT documents.doc_id AS doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place_last, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS place_first FROM x", "SELECT documents.doc_id AS doc_id, quality, CAST(row_number() OVER (ORDER BY quality ASC NULLS LAST, documents.doc_id) AS INTEGER) AS place_last, CAST(row_number() OVER (ORDER BY quality DESC NULLS FIRST, documents.doc_id) AS INTEGER) AS place_first FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
 sql_query("sql_union_all_cte", "WITH a AS (SELECT n_name AS name, 'nation' AS kind FROM nation), b AS (SELECT r_name AS name, 'region' AS kind FROM region) SELECT kind, count(*) AS n, min(name) AS first_name FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY kind")
 sql_query("sql_set_operations", "SELECT 'except' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) x UNION ALL SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) y")
 sql_query("sql_string_agg", "SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
@@ -96,3 +96,11 @@ def ext_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfind.streaming import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).select(F.to_date("window_start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT documents.doc_id AS doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, documents.doc_id) AS place_last, row_number() OVER (ORDER BY quality DESC NULLS FIRST, documents.doc_id) AS place_first FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id")
+def sql_null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls last and nulls first over all documents, placed by ranges instead of in one task."""
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    last = places(rows, [F.col("quality").asc_nulls_last(), F.col("doc_id")], name="place_last")
+    return places(last, [F.col("quality").desc_nulls_first(), F.col("doc_id")], name="place_first")

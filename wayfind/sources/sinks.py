@@ -1,4 +1,4 @@
-"""Writers. Tables are written to a new folder and then put in place of the old one."""
+"""Writers. `publish` adds versions that readers see in one step; `replace_table` puts a folder in the place of the old one."""
 
 from __future__ import annotations
 
@@ -66,5 +66,56 @@ def replace_table(df: DataFrame, path: str) -> None:
         fs.delete(old, True)
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of what was published at path, oldest first."""
+    fs, at = _files(spark, f"{path}/_versions")
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def publish(tables: DataFrame | dict[str, DataFrame], path: str) -> str:
+    """Write a table, or several that belong together, as a new version at path; returns its name.
+
+    All rows are written to a folder of their own first. Then one empty file is made whose name says number and folder:
+    from that moment readers see the new version, all its tables at once, and until then the old one. Nothing that a
+    reader may hold is renamed or deleted, so there is no moment without a table, and what fails midway changes nothing. A
+    version may be made from the one before. Of two writers at once the one of the greater name is seen.
+    """
+    frames = tables if isinstance(tables, dict) else {"": tables}
+    if not frames:
+        raise ValueError("nothing to publish")
+    spark = next(iter(frames.values())).sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    for name, df in frames.items():
+        df.write.parquet(f"{path}/{folder}/{name}".rstrip("/"))
+    last = versions(spark, path)
+    marker = f"{int(last[-1].split('.')[0]) + 1 if last else 1:012d}.{folder}"
+    fs, at = _files(spark, f"{path}/_versions/{marker}")
+    fs.create(at, False).close()
+    return marker
+
+
+def current(spark: SparkSession, path: str, name: str = "", version: str | None = None) -> DataFrame:
+    """The newest version of what is published at path, or a named one; name: one of several tables."""
+    known = versions(spark, path)
+    if not known or version and version not in known:
+        raise FileNotFoundError(f"no version {version or ''} at {path}")
+    return spark.read.parquet(f"{path}/{(version or known[-1]).split('.')[1]}/{name}".rstrip("/"))
+
+
+def retire(spark: SparkSession, path: str, held: int = 2) -> int:
+    """Delete all but the newest `held` versions (one at least); readers of older ones must be through. Returns how many went."""
+    old = versions(spark, path)[: -max(1, held)]
+    for marker in old:
+        for gone in (f"{path}/_versions/{marker}", f"{path}/{marker.split('.')[1]}"):
+            fs, at = _files(spark, gone)
+            fs.delete(at, True)
+    return len(old)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
