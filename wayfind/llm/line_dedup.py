@@ -2,16 +2,16 @@
 
 Eligible lines become 128-bit hashes with their document and position. The hashes are range-partitioned with a
 secondary sort by document and position, so that one very common line is spread over many partitions; each sorted run is
-streamed into one row per line and document, with the positions of its occurrences in order, the first one first. These
-rows are counted, one row per key and partition, and those of common lines become sparse 64-line bitmaps per document;
-text is read again only to apply them.
+streamed once, and the first occurrence of a line in a document is marked. The marks are counted, one row per key and
+partition, and the occurrences of common lines become sparse 64-line bitmaps per document; text is read again only to apply
+them. No run is gathered into a row, however often a document repeats a line.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm._common import SPACES, materialise, same, split_rows
@@ -29,13 +29,14 @@ def _lines(text: Column) -> Column:
 
 
 def line_runs(hashes: DataFrame) -> DataFrame:
-    """hashes: h1, h2, d, t, r, pos. One row per line and row of the table (r): h1, h2, d, t, places (array<int>, in order).
+    """hashes: h1, h2, d, t, r, pos. The same rows, sorted, with a mark: first, for the least pos of a line in a row of the table (r).
 
-    The sorted run is streamed: collect_list keeps its order, so places[0] is the first occurrence. No exchange follows.
+    The window has the keys and the order of the range partition and sort, so it adds no exchange and no sort: it reads the
+    sorted run once.
     """
     order = ["h1", "h2", "d", "r"]
-    runs = hashes.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
-    return runs.groupBy(*order).agg(F.first("t").alias("t"), F.collect_list("pos").alias("places")).drop("r")
+    run = hashes.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
+    return run.withColumn("first", F.row_number().over(Window.partitionBy(*order).orderBy("pos")) == 1)
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, first_only: bool = False) -> DataFrame:
@@ -51,15 +52,12 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = lines.select("d", "t", "r", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hashes = materialise(rows.select("d", "t", "r", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     runs = materialise(line_runs(hashes), "line-runs")
-    common = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
+    common = runs.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
     common = materialise(common.select("h1", "h2", "keeper"), "common-lines")
-    held = runs.join(common, ["h1", "h2"])
     goes = ~same(F.col("d"), F.col("keeper"))
     if first_only:
-        places = F.when(goes, F.col("places")).otherwise(F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))))
-    else:
-        held, places = held.where(goes), F.col("places")
-    dropped = held.select("d", "t", F.explode(places).alias("pos"))
+        goes = goes | ~F.col("first")
+    dropped = runs.join(common, ["h1", "h2"]).where(goes).select("d", "t", "pos")
     words = dropped.groupBy("d", "t", F.expr("pos div 64").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
     return words.groupBy("d", "t").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.collect_list(F.struct("w", "bits")).alias("drops"))
 
