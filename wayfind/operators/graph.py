@@ -33,7 +33,7 @@ def entity_key(kind: Column, entity_id: Column) -> Column:
     return F.concat(F.lit("entity:"), kind, F.lit("#"), entity_id.cast("string"))
 
 
-def _grams(text: Column, n: Column | int = 3) -> Column:
+def grams(text: Column, n: Column | int = 3) -> Column:
     """The distinct runs of n characters; of length 0 there is one, the empty run."""
     n = n if isinstance(n, Column) else F.lit(n)
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
@@ -53,12 +53,12 @@ def match_terms(terms: DataFrame, entities: DataFrame, aliases: DataFrame, like_
     names = own.unionByName(other)
     pieces = F.split(F.lower("term"), "[_%]") if like_wildcards else F.array(F.lower("term"))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    asked = terms.select("query_id", "term", F.lower("term").alias("low"), _grams(longest, F.least(F.length(longest), F.lit(3))).alias("grams")).distinct()
+    asked = terms.select("query_id", "term", F.lower("term").alias("low"), grams(longest, F.least(F.length(longest), F.lit(3))).alias("grams")).distinct()
     if like_wildcards:
         part, start = F.expr("name LIKE concat('%', low, '%')"), F.expr("name LIKE concat(low, '%')")
     else:
         part, start = F.contains("name", F.col("low")), F.startswith(F.col("name"), F.col("low"))
-    runs = names.withColumn("gram", F.explode(F.concat(*[_grams(F.col("name"), n) for n in range(4)])))
+    runs = names.withColumn("gram", F.explode(F.concat(*[grams(F.col("name"), n) for n in range(4)])))
     wanted = asked.select("query_id", "term", "low", F.explode("grams").alias("gram"))
     known = runs.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(known, "gram").groupBy("query_id", "term", "low").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))

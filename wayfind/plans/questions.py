@@ -1,4 +1,4 @@
-"""Questions as data: routing, template rules, extraction and audits over literal lists, with the expected rows as SQL."""
+"""Questions as data: routing, template rules and extraction over forms filled from a table, with the rules as SQL."""
 
 from __future__ import annotations
 
@@ -26,8 +26,10 @@ QUESTIONS = [
 ]
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q, e) for i, (q, e) in enumerate(QUESTIONS)], "query_id int, query string, expected string")
+def _about(spark: SparkSession, sf_dir: str, forms: list[tuple[int, str, str]]) -> DataFrame:
+    """k, n_name of each nation with each form: i, q, label."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), F.lit(e).alias("label")) for i, q, e in forms])).alias("x")
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"), "n_name", each).select("k", "n_name", "x.*")
 
 
 def _values(rows: list[tuple]) -> str:
@@ -65,10 +67,19 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.route(asked.select((F.col("x.p") * 100 + F.col("k")).alias("query_id"), F.concat("x.q", F.lit(" "), "n_name").alias("query"))).select("query_id", "route")
 
 
-@query("SELECT CAST(12 AS BIGINT) AS n, CAST(1.0 AS DOUBLE) AS strict, CAST(1.0 AS DOUBLE) AS coverage, CAST(0 AS BIGINT) AS fan_out, CAST(0 AS BIGINT) AS true_miss")
+#: Which lanes a route reaches, as SQL over its name and the signals: e stands for an entity, two for figures and meaning.
+_REACHED = "route = expected OR (expected IN ('structured', 'semantic') AND route = 'hybrid') OR (expected = 'graph' AND route = 'hybrid' AND e AND NOT two)"
+
+
+@query("WITH p(query_id, q, label) AS (VALUES " + _values([(i, q, e) for i, (q, e) in enumerate(QUESTIONS)]) + f"""), a AS (SELECT q || ' ' || n_name AS q, CASE WHEN n_nationkey % 4 = 0 THEN 'graph' ELSE label END AS expected FROM p, nation),
+r AS (SELECT expected, {_ladder()} AS route, {_any(router.ENTITIES)} AS e, {_any(router.STRUCTURED)} AND {_any(router.SEMANTIC)} AS two FROM a), x AS (SELECT route = expected AS strict, {_REACHED} AS reached FROM r)
+SELECT count(*) AS n, round(avg(strict::INTEGER), 3) AS strict, round(avg(reached::INTEGER), 3) AS coverage, count(*) FILTER (reached AND NOT strict) AS fan_out, count(*) FILTER (NOT reached) AS true_miss FROM x""")
 def route_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = questions(spark)
-    return evaluate.route_eval(router.route(asked), asked.select("query_id", "expected"))
+    """Labelled questions about each nation; for every fourth one the label is graph whatever is asked, so that not all are met."""
+    asked = _about(spark, sf_dir, [(i, q, e) for i, (q, e) in enumerate(QUESTIONS)])
+    expected = F.when(F.col("k") % 4 == 0, "graph").otherwise(F.col("label"))
+    rows = asked.select((F.col("i") * 100 + F.col("k")).alias("query_id"), F.concat("q", F.lit(" "), "n_name").alias("query"), expected.alias("expected"))
+    return evaluate.route_eval(router.route(rows), rows.select("query_id", "expected"))
 
 
 @query("""SELECT CAST(0 AS BIGINT) AS query_id, 'graph' AS route, 'IN_NATION' AS relation UNION ALL SELECT 1, 'hybrid', NULL""")
@@ -81,23 +92,26 @@ def route_with_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.route(asked, ents, pairs).select("query_id", "route", F.col("type_pair.relation").alias("relation"))
 
 
+#: What a model may say about a table {n}.
 _RAW = [
-    (0, "```sql\nSELECT 1 AS a;\n```", "SELECT 1 AS a"),
-    (1, "sql: select * from t where x = 2; drop table t", "select * from t where x = 2"),
-    (2, "Here you are: WITH a AS (SELECT 1) SELECT * FROM a", "WITH a AS (SELECT 1) SELECT * FROM a"),
-    (3, "no statement", None),
-    (4, "DELETE FROM t", None),
+    "```sql\nSELECT 1 AS a FROM {n};\n```",
+    "sql: select * from {n} where x = 2; drop table {n}",
+    "Here you are: WITH a AS (SELECT 1) SELECT * FROM a, {n}",
+    "no statement on {n}",
+    "DELETE FROM {n}",
 ]
 
 
 _TRIM = "trim({}, chr(32) || chr(9) || chr(13) || chr(10))"
 
 
-@query("WITH r(id, raw) AS (VALUES " + _values([(i, r) for i, r, _ in _RAW]) + rf"""), f AS (SELECT id, raw, regexp_extract(raw, '(?is)```(?:sql)?\s*(.*?)```', 1) AS fenced FROM r),
+@query("WITH p(i, form) AS (VALUES " + _values(list(enumerate(_RAW))) + rf"""), r AS (SELECT i * 100 + n_nationkey AS id, replace(form, '{{n}}', n_name) AS raw FROM p, nation), f AS (SELECT id, raw, regexp_extract(raw, '(?is)```(?:sql)?\s*(.*?)```', 1) AS fenced FROM r),
 b AS (SELECT id, {_TRIM.format("regexp_replace(" + _TRIM.format("CASE WHEN fenced <> '' THEN fenced ELSE raw END") + r", '(?i)^sql\s*[:\n]', '')")} AS body FROM f)
 SELECT id, nullif({_TRIM.format(r"regexp_extract(body, '(?is)\b((?:select|with)\b[^;]*)', 1)")}, '') AS sql FROM b""")
 def sql_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, r) for i, r, _ in _RAW], "id int, raw string").select("id", sql_lane.extract_sql(F.col("raw")).alias("sql"))
+    """What models say about each nation."""
+    said = _about(spark, sf_dir, [(i, r, "") for i, r in enumerate(_RAW)])
+    return said.select((F.col("i") * 100 + F.col("k")).alias("id"), sql_lane.extract_sql(F.replace("q", F.lit("{n}"), F.col("n_name"))).alias("sql"))
 
 
 _TEMPLATED = [(0, "환불된 주문"), (1, "취소 주문 목록"), (2, "주문 건수"), (3, "회원은 몇 명"), (4, "상태별 현황"), (5, "평균 결제 금액"), (6, "총 매출"), (7, "날씨"), (8, "환불 취소 주문"), (9, "유저가 몇 명이고 주문 개수는"), (10, "orders by STATUS"), (11, "전체 결제"), (12, "평균 매출 합계")]
@@ -108,9 +122,11 @@ def _first_rule() -> str:
     return "CASE " + " ".join(f"WHEN {' AND '.join(f'regexp_matches(q, {lit(p)})' for p in patterns)} THEN {lit(sql)}" for patterns, sql in sql_lane.TEMPLATE_RULES) + " END"
 
 
-@query("WITH t(id, q) AS (VALUES " + _values(_TEMPLATED) + f") SELECT id, {_first_rule()} AS sql FROM t")
+@query("WITH p(i, form) AS (VALUES " + _values(_TEMPLATED) + f"), t AS (SELECT i * 100 + n_nationkey AS id, n_name || ' ' || form AS q FROM p, nation) SELECT id, {_first_rule()} AS sql FROM t")
 def sql_template_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_TEMPLATED, "id int, q string").select("id", sql_lane.template_sql(F.col("q")).alias("sql"))
+    """Questions about each nation."""
+    asked = _about(spark, sf_dir, [(i, q, "") for i, q in _TEMPLATED])
+    return asked.select((F.col("i") * 100 + F.col("k")).alias("id"), sql_lane.template_sql(F.concat("n_name", F.lit(" "), "q")).alias("sql"))
 
 
 #: Statements about a nation {n} called {name} and the view of its region, {r}: is it refused always, where that view may not be read, or never?
