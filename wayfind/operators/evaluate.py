@@ -59,6 +59,34 @@ def _close(a: dict, b: dict, tolerance: float) -> bool:
     return True
 
 
+def _all_paired(fits: list[list[int]]) -> bool:
+    """Can each row have a partner of its own? fits: for each, those that it may have. Pairs are changed along a chain where
+    that frees one, so the order of rows doesn't matter."""
+    taken: dict[int, int] = {}
+    for start in range(len(fits)):
+        came: dict[int, int] = {}  # partner: the row that asked for it
+        rows, free = [start], None
+        while rows and free is None:
+            row = rows.pop()
+            for p in fits[row]:
+                if p not in came:
+                    came[p] = row
+                    if p not in taken:
+                        free = p
+                        break
+                    rows.append(taken[p])
+        if free is None:
+            return False
+        while free is not None:
+            row = came[free]
+            before = next((p for p, r in taken.items() if r == row), None)
+            taken[free] = row
+            free = before
+            if free is not None:
+                del taken[free]
+    return True
+
+
 def results_match(got: list[dict], gold: list[dict], o: MatchOptions = MatchOptions()) -> bool:
     """Do two results agree: as multisets of rows, whatever the column names and order, unless the options say otherwise?
 
@@ -71,13 +99,7 @@ def results_match(got: list[dict], gold: list[dict], o: MatchOptions = MatchOpti
         fits = (lambda p, g: _close(p, g, o.numeric_tolerance)) if o.true_tolerance else (lambda p, g: _holds(p, g, o))
         if o.ordered:
             return all(fits(p, g) for p, g in zip(got, gold, strict=True))
-        left = list(got)
-        for g in gold:
-            hit = next((p for p in left if fits(p, g)), None)
-            if hit is None:
-                return False
-            left.remove(hit)
-        return True
+        return _all_paired([[i for i, p in enumerate(got) if fits(p, g)] for g in gold])
     a, b = [_row(r, o) for r in got], [_row(r, o) for r in gold]
     return a == b if o.ordered else Counter(a) == Counter(b)
 

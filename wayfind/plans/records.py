@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.engine import Engine
-from wayfind.operators import audit, claims, evaluate, fusion, graph, keyword, sql_lane, vector
+from wayfind.operators import audit, claims, evaluate, execution_match, fusion, graph, keyword, sql_lane, vector
 from wayfind.plans.documents import terms_sql
 from wayfind.plans.registry import query, table
 from wayfind.plans.vectors import fnv_sql
@@ -164,3 +164,37 @@ def src_kg_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang || chr(10) || text AS text FROM documents")
 def vec_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", vector.embed_text(F.col("lang"), F.col("text")).alias("text"))
+
+
+_BAGS = "(NOT EXISTS ({a} EXCEPT ALL {b}) AND NOT EXISTS ({b} EXCEPT ALL {a}))"
+_ORDERS = "SELECT list_sort([CAST(o_orderkey AS DOUBLE), o_custkey, {}]) AS r FROM orders"
+_SEQUENCE = "(SELECT row_number() OVER (ORDER BY o_totalprice {}, o_orderkey) AS i, o_orderkey AS k FROM orders)"
+_COPIES = {
+    "turned": _BAGS.format(a=_ORDERS.format("o_totalprice"), b=_ORDERS.format("o_totalprice")),
+    "repeated": _BAGS.format(a=_ORDERS.format("o_totalprice"), b="(" + _ORDERS.format("o_totalprice") + " UNION ALL " + _ORDERS.format("o_totalprice") + " WHERE o_orderkey % 100 = 1)"),
+    "changed": _BAGS.format(a=_ORDERS.format("o_totalprice"), b=_ORDERS.format("o_totalprice + CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END")),
+    "close": _BAGS.format(a=_ORDERS.format("floor(o_totalprice + 0.5)"), b=_ORDERS.format("floor(o_totalprice + 0.0001 + 0.5)")),
+    "wider": _BAGS.format(a=_ORDERS.format("o_totalprice"), b=_ORDERS.format("o_totalprice")),
+    "in order": f"NOT EXISTS (SELECT 1 FROM {_SEQUENCE.format('DESC')} a FULL JOIN {_SEQUENCE.format('DESC')} b USING (i) WHERE a.k IS DISTINCT FROM b.k)",
+    "other order": f"NOT EXISTS (SELECT 1 FROM {_SEQUENCE.format('DESC')} a FULL JOIN {_SEQUENCE.format('ASC')} b USING (i) WHERE a.k IS DISTINCT FROM b.k)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, {test} AS same" for kind, test in _COPIES.items()))
+def ev_execution_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against copies that are turned, repeated in part, changed, moved a little, wider, and in other orders."""
+    orders = table(spark, sf_dir, "orders")
+    gold = orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    match, options = execution_match.frames_results_match, evaluate.MatchOptions
+    moved = lambda by: gold.withColumn("o_totalprice", F.col("o_totalprice") + by)
+    down, up = [F.desc("o_totalprice"), F.col("o_orderkey")], [F.col("o_totalprice"), F.col("o_orderkey")]
+    found = {
+        "turned": match(gold.select(F.col("o_totalprice").alias("x"), "o_custkey", F.col("o_orderkey").cast("string")), gold),
+        "repeated": match(gold.unionByName(gold.where("o_orderkey % 100 = 1")), gold),
+        "changed": match(moved(F.when(F.col("o_custkey") % 7 == 0, 1).otherwise(0)), gold),
+        "close": match(moved(0.0001), gold, options(numeric_tolerance=1.0)),
+        "wider": match(orders.select("o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"), gold, options(subset_columns=True)),
+        "in order": match(gold, gold, options(ordered=True), down, down),
+        "other order": match(gold, gold, options(ordered=True), down, up),
+    }
+    return spark.createDataFrame(list(found.items()), "kind string, same boolean")
