@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wayfind.engine import Engine
 from wayfind.operators import adjacency, fusion, graph, retrieval
 
 
@@ -99,3 +100,18 @@ def test_retrieve_many(spark, world):
     assert all(r["tokens_used"] <= 64 for r in got.values())
     nothing = retrieval.retrieve_many(asked, statements=statements.limit(0), extra={"other": falls})
     assert all(r["context"] == "" and r["errors"] for r in nothing.contexts.collect())
+
+
+def test_engine_goes_on_without_vectors(spark, world):
+    def broken(text):
+        raise ConnectionError("no vectors today")
+
+    docs = world["documents"].withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    engine = Engine(spark, docs, world["entities"], world["aliases"], world["relations"], embedder=broken, vector_dim=2)
+    with pytest.raises(ConnectionError):
+        engine.kg_retrieve("Client-A")
+    errors = []
+    assert {tuple(r["sources"]) for r in engine.kg_retrieve("Client-A", errors=errors).collect()} == {("graph",)} and errors == ["vector: no vectors today"]
+    asked = spark.createDataFrame([(1, "Client-A와 연결된 제품"), (2, "설치 guide 설명해줘")], "query_id long, query string")
+    got = {r["query_id"]: r for r in engine.retrieve_many(asked, statements=spark.createDataFrame([], "query_id long, sql string")).contexts.collect()}
+    assert "Product-C1" in got[1]["context"] and got[2]["errors"] == ["vector: no vectors today"]

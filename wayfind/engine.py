@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayfind.operators import audit, curate, fusion, graph, keyword, router, sql_lane, vector
+from wayfind.operators import adjacency, audit, curate, fusion, graph, keyword, retrieval, router, sql_lane, vector
+from wayfind.sources.sinks import keep
 
 #: What audit records are made of, a row for each run.
 RUN_SCHEMA = "query_id long, query string, route string, tools array<string>, sql string, sql_ok boolean, errors array<string>, fused array<struct<key:string,score:double,sources:array<string>,text:string>>, kept array<int>, dropped array<int>, tokens_used int, budget int"
@@ -56,6 +57,8 @@ class Engine:
     lexicon: DataFrame | None = None
     pairs: DataFrame | None = None
     strict_parity: bool = False  # run the graph lane only for the route "graph", whatever the tools say
+    most_scanned: int | None = 60  # edges that a scan for a filter lists; None: all
+    most_rows: int | None = 200  # rows of a lane that go on to fusion; None: all
     extra_lanes: dict[str, Callable[[str], DataFrame]] = field(default_factory=dict)
 
     def _ask(self, query: str) -> DataFrame:
@@ -133,7 +136,7 @@ class Engine:
                 top = graph.ranking_candidates(graph.degree_ranking(scan, plan["aggregate"]), rels[0])
                 parts.append(top.select(F.lit(1).alias("g"), F.struct(F.col("rank").alias("at"), F.lit(0).alias("depth"), F.col("entity_id").alias("id")).alias("o"), "canonical_key", "text"))
             else:
-                listed = graph.edge_candidates(scan.orderBy("id").limit(60))
+                listed = graph.edge_candidates(scan if self.most_scanned is None else scan.orderBy("id").limit(self.most_scanned))
                 parts.append(listed.select(F.lit(1).alias("g"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), "id").alias("o"), "canonical_key", "text"))
         parts.append(graph.ontology_candidates(hits).select(F.lit(2).alias("g"), F.struct(F.col("rank").alias("at"), F.lit(0).alias("depth"), "id").alias("o"), "canonical_key", "text"))
         items = reduce(DataFrame.unionByName, parts).withColumn("query_id", F.lit(0).cast("long"))
@@ -156,7 +159,10 @@ class Engine:
         def run(name: str) -> tuple[str, list | None, str | None]:
             try:
                 df = lanes[name]()
-                return name, [tuple(r) for r in df.select("query_id", "rank", "key", "source", "text").orderBy("rank").limit(200).collect()] if df is not None else [], None
+                if df is None:
+                    return name, [], None
+                rows = df.select("query_id", "rank", "key", "source", "text").orderBy("rank")
+                return name, [tuple(r) for r in (rows if self.most_rows is None else rows.limit(self.most_rows)).collect()], None
             except Exception as e:
                 return name, None, f"{name}: {(str(e).strip() or type(e).__name__).splitlines()[0][:300]}"
 
@@ -195,17 +201,35 @@ class Engine:
         rows = [(i, r.query, r.decision["route"], r.decision["tools"], r.sql, r.sql_ok, r.errors, [(f["key"], f["score"], f["sources"], f["text"]) for f in r.fused], r.kept, r.dropped, r.tokens_used, r.budget) for i, r in enumerate(runs)]
         return audit.audit_records(self.spark.createDataFrame(rows, RUN_SCHEMA))
 
-    def kg_retrieve(self, query: str, k: int = 5, expand: int = 3) -> DataFrame:
-        """query_id, key, score, sources, text, rank: vector hits and graph facts fused, hits bridged to the entities they name."""
-        hits = self.vector_search(query, k).join(self.documents.select("doc_id", "text"), "doc_id")
-        bridged = fusion.bridge(hits, self.links, self.entities) if self.links is not None else hits.withColumn("canonical_key", F.concat(F.lit("documents#"), F.col("doc_id").cast("string")))
-        first = fusion.ranked_list(bridged, 0, [F.col("rank")], F.col("canonical_key"), "vector", F.col("text"))
+    def retrieve_many(self, questions: DataFrame, budget: int = 256, statements: DataFrame | None = None) -> retrieval.RetrievedMany:
+        """retrieve for all questions (query_id, query) in one keyed plan; the embedder is called a text at a time in tasks. The graph
+        lane follows the router's tools, lists what the best three entities have edges to, and makes the adjacency once."""
+        one, steps = self.embedder, None if self.relations is None else keep(adjacency.adjacency(self.relations), "adjacency")
+        embed = (lambda texts: [one(t) for t in texts]) if one and self.documents is not None and "embedding" in self.documents.columns else None
+        return retrieval.retrieve_many(questions, self.documents, self.entities, self.aliases, steps, self.keyword_index, None, statements, self.lexicon, self.pairs, budget, embedder=embed, dim=self.vector_dim)
+
+    def kg_retrieve(self, query: str, k: int = 5, expand: int = 3, errors: list[str] | None = None) -> DataFrame:
+        """query_id, key, score, sources, text, rank: vector hits and graph facts fused, hits bridged to the entities they name.
+
+        errors: takes what a failing embedder says, and the graph's list stands alone; without it that is raised."""
+        try:
+            first = self._bridged(query, k)
+        except Exception as e:
+            if errors is None:
+                raise
+            errors.append(f"vector: {(str(e).strip() or type(e).__name__).splitlines()[0][:300]}")
+            first = None
         found = self.ontology_search(query, k)
         seeds = found.where(F.col("rank") <= expand).select("query_id", F.col("id").alias("seed"), F.col("rank").alias("at"))
         edges = graph.edge_candidates(graph.named(graph.graph_expand(seeds, self.relations, 1), self.entities).join(seeds.select("seed", "at"), "seed"))
         items = graph.ontology_candidates(found).select("query_id", F.lit(0).alias("g"), F.struct(F.col("rank").alias("at"), "id").alias("o"), "canonical_key", "text").unionByName(edges.select("query_id", F.lit(1).alias("g"), F.struct("at", "id").alias("o"), "canonical_key", "text"))
         second = fusion.ranked_list(items, 1, [F.col("g"), F.col("o")], F.col("canonical_key"), "graph", F.col("text"))
-        return fusion.rrf_named(first.unionByName(second))
+        return fusion.rrf_named(second if first is None else first.unionByName(second))
+
+    def _bridged(self, query: str, k: int) -> DataFrame:
+        hits = self.vector_search(query, k).join(self.documents.select("doc_id", "text"), "doc_id")
+        bridged = fusion.bridge(hits, self.links, self.entities) if self.links is not None else hits.withColumn("canonical_key", F.concat(F.lit("documents#"), F.col("doc_id").cast("string")))
+        return fusion.ranked_list(bridged, 0, [F.col("rank")], F.col("canonical_key"), "vector", F.col("text"))
 
 
 def audit_schema(spark: SparkSession) -> StructType:
