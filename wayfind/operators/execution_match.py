@@ -38,7 +38,7 @@ def _row(df: DataFrame, o: MatchOptions, columns: list[str] | None = None) -> Co
     if o.columns_sensitive:
         values = [F.concat(F.lit(f"{c}="), v) for c, v in zip(columns or df.columns, values, strict=True)]
     row = F.array(*values)
-    return row if o.tuple_sensitive else F.array_sort(row)
+    return row if o.tuple_sensitive else F.sort_array(row)
 
 
 def _same_bag(a: DataFrame, b: DataFrame) -> bool:
