@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wayfind.engine import Engine
 from wayfind.operators import adjacency, fusion, graph, retrieval
+from wayfind.sources import kg, sinks
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +116,37 @@ def test_engine_goes_on_without_vectors(spark, world):
     asked = spark.createDataFrame([(1, "Client-A와 연결된 제품"), (2, "설치 guide 설명해줘")], "query_id long, query string")
     got = {r["query_id"]: r for r in engine.retrieve_many(asked, statements=spark.createDataFrame([], "query_id long, sql string")).contexts.collect()}
     assert "Product-C1" in got[1]["context"] and got[2]["errors"] == ["vector: no vectors today"]
+
+
+def gathered(plan):
+    """The parts of a plan that are sent to all tasks."""
+    lines, out = plan.splitlines(), []
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(k + 1, len(lines)) if deep(lines[j]) <= deep(line)), len(lines))
+            out.append("\n".join(lines[k:end]))
+    return out
+
+
+def test_names_are_never_gathered(spark, small, monkeypatch):
+    """Names are many once they are cut into runs, whatever the size of their files: the terms go to them, or both are merged."""
+    asked = spark.createDataFrame([(1, "customer_7"), (2, "nation_1 BUILDING")], "query_id int, query string")
+    ents, als = kg.entities(spark, small), kg.aliases(spark, small)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, want = [], None
+
+    def kept(df, name, keep=sinks.keep):
+        plans.append(plan(df))
+        return keep(df, name)
+
+    monkeypatch.setattr(sinks, "keep", kept)
+    for runs, rows in ((5000, 100_000), (0, 100_000), (0, 0)):
+        monkeypatch.setattr(graph, "MOST_RUNS", runs, raising=False)
+        monkeypatch.setattr(graph, "bounded", lambda df, name, rows=rows: sinks.bounded(df, name, rows), raising=False)
+        found = graph.ontology_search(asked, ents, als)
+        plans.append(plan(found))
+        got = sorted(map(tuple, found.collect()))
+        want = want or got
+        assert got == want and got
+    assert not any("Union" in part for p in plans for part in gathered(p))
