@@ -88,7 +88,7 @@ class Engine:
 
     def graph_expand(self, entity_id: int, depth: int = 1, rel_types: list[str] | None = None, direction: str = "both") -> DataFrame:
         seeds = self.spark.createDataFrame([(0, entity_id)], "query_id long, seed long")
-        return graph.named(graph.graph_expand(seeds, self.relations, depth, rel_types, direction), self.entities)
+        return graph.named_few(graph.graph_expand(seeds, self.relations, depth, rel_types, direction), self.entities)
 
     # Lanes: each gives ranked rows (query_id, rank, key, source, text).
 
@@ -118,7 +118,7 @@ class Engine:
         found and the plan asks for no aggregate or filter, one item says so."""
         plan = plan or {}
         rels = plan.get("rel_types") or None
-        hits = self.ontology_search(query, k).cache()
+        hits = keep(self.ontology_search(query, k), "hits")
         none = hits.isEmpty()
         if none and not (plan.get("aggregate") or plan.get("filter")):
             terms = [r[0] for r in self._ask(query).select(F.explode(graph.T.seed_terms(F.col("query")))).collect()]
@@ -127,7 +127,7 @@ class Engine:
         parts = []
         if not none:
             seeds = graph.best_seeds(hits).select("query_id", F.col("id").alias("seed"), F.col("rank").alias("at"))
-            edges = graph.named(graph.graph_expand(seeds, self.relations, 1 if rels else depth, rels), self.entities)
+            edges = graph.named_few(graph.graph_expand(seeds, self.relations, 1 if rels else depth, rels), self.entities)
             parts.append(graph.edge_candidates(edges.join(seeds.select("seed", "at"), "seed"), F.col("seed")).select(F.lit(0).alias("g"), F.struct("at", "depth", "id").alias("o"), "canonical_key", "text"))
         if rels and (plan.get("aggregate") or plan.get("filter") or none):
             f = plan.get("filter") or {}
@@ -219,9 +219,9 @@ class Engine:
                 raise
             errors.append(f"vector: {(str(e).strip() or type(e).__name__).splitlines()[0][:300]}")
             first = None
-        found = self.ontology_search(query, k)
+        found = keep(self.ontology_search(query, k), "hits")
         seeds = found.where(F.col("rank") <= expand).select("query_id", F.col("id").alias("seed"), F.col("rank").alias("at"))
-        edges = graph.edge_candidates(graph.named(graph.graph_expand(seeds, self.relations, 1), self.entities).join(seeds.select("seed", "at"), "seed"))
+        edges = graph.edge_candidates(graph.named_few(graph.graph_expand(seeds, self.relations, 1), self.entities).join(seeds.select("seed", "at"), "seed"))
         items = graph.ontology_candidates(found).select("query_id", F.lit(0).alias("g"), F.struct(F.col("rank").alias("at"), "id").alias("o"), "canonical_key", "text").unionByName(edges.select("query_id", F.lit(1).alias("g"), F.struct("at", "id").alias("o"), "canonical_key", "text"))
         second = fusion.ranked_list(items, 1, [F.col("g"), F.col("o")], F.col("canonical_key"), "graph", F.col("text"))
         return fusion.rrf_named(second if first is None else first.unionByName(second))

@@ -47,7 +47,7 @@ class MultiStepResult:
 
 def end_points(seeds: DataFrame, relations: DataFrame, entities: DataFrame, rel_types: list[str] | None, depth: int = 1, end_types: list[str] | None = None) -> DataFrame:
     """query_id, id, type, name of the other ends of the edges around the seeds, each once."""
-    edges = graph.named(graph.graph_expand(seeds, relations, depth, rel_types), entities)
+    edges = graph.named_few(graph.graph_expand(seeds, relations, depth, rel_types), entities)
     is_source = F.col("src") == F.col("seed")
     other = lambda a, b: F.when(is_source, F.col(b)).otherwise(F.col(a))
     out = edges.select("query_id", other("src", "dst").alias("id"), other("src_type", "dst_type").alias("type"), other("src_name", "dst_name").alias("name"))
