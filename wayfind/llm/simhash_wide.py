@@ -6,7 +6,7 @@ Blocks so short are shared by chance as well, the more the larger the corpus is;
 together with the least of its shingles in an order of that block's own, which unrelated texts do not share. What meets in
 a file is verified by the Hamming distance of the whole fingerprints: files only decide what is compared. A pair at a
 similarity of 0.8 meets with a probability of 0.995, one at 0.85 with 0.9999. Files are bounded: one with more than
-`crowded` fingerprints is cut again by the other blocks. A file gives the edges of a spanning forest of its links, never all
+`crowded` fingerprints is cut again by the other blocks; what does not become one group by that is compared whole, by pairs of parts of the file. A file gives the edges of a spanning forest of its links, never all
 pairs, and copies are counted once.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wayfind.llm._common import materialise, same, split_rows, text_udf
 from wayfind.llm._text import WordCache, numbers, rolling
+from wayfind.llm.components import connected_components
 from wayfind.llm.simhash import classes
 
 BLOCKS, WIDTH = 48, 12
@@ -104,9 +105,22 @@ def link_wide(nodes: DataFrame, distance: int, crowded: int = 16_384) -> DataFra
     edges = _links(members.where(F.col("n") <= crowded).select("key", "id").join(fps, "id"), distance)
     if shared.where(F.col("n") > crowded).isEmpty():
         return edges
-    dense = members.where(F.col("n") > crowded).select("id", F.col("key").alias("file"))
-    finer = dense.join(nodes, "id").select("id", "file", F.explode("keys").alias("k")).where("k <> file")
-    return edges.union(_links(finer.select(F.xxhash64("file", "k").alias("key"), "id").join(fps, "id"), distance))
+    dense = materialise(members.where(F.col("n") > crowded).select("id", F.col("key").alias("file"), "n"), "wide-crowded")
+    finer = dense.join(nodes, "id").select("id", "file", F.explode("keys").alias("k")).where("k <> file").select(F.xxhash64("file", "k").alias("key"), "id")
+    again = finer.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, crowded)).select("key")
+    edges = materialise(edges.union(_links(finer.join(again, "key").join(fps, "id"), distance)), "wide-links")
+    # Pairs within a group need no link of their own; files of several groups are compared whole.
+    parts = materialise(connected_components(edges), "wide-groups")
+    dense = materialise(dense.join(parts.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "wide-crowded")
+    loose = dense.groupBy("file").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("file")
+    rest = materialise(dense.join(loose.hint("merge"), "file"), "wide-loose")
+    if rest.isEmpty():
+        return edges
+    count = F.ceil(F.col("n") / max(1, crowded // 2)).cast("int")
+    rest = rest.select("id", "file", count.alias("parts")).withColumn("p", F.pmod(F.xxhash64("id", "file"), "parts"))
+    rest = rest.select("id", "file", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    pairs = rest.select(F.xxhash64("file", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "id")
+    return edges.union(_links(pairs.join(fps, "id"), distance))
 
 
 def mark(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
