@@ -150,3 +150,29 @@ def test_names_are_never_gathered(spark, small, monkeypatch):
         want = want or got
         assert got == want and got
     assert not any("Union" in part for p in plans for part in gathered(p))
+
+
+def test_summaries_are_those_of_the_lists(asked, world):
+    """What kg_summary_many looks up a seed at a time is what the written lists give, by fusing them."""
+    plain = {k: world[k] for k in ("entities", "aliases", "steps", "links")}
+    lists = retrieval.kg_retrieve_many(asked, world["documents"], **plain).ranked()
+    sizes = {r["query_id"]: (r["v"], r["g"]) for r in lists.groupBy("query_id").agg(F.count(F.when(F.col("source") == "vector", 1)).alias("v"), F.count(F.when(F.col("source") == "graph", 1)).alias("g")).collect()}
+    fused: dict = {}
+    for r in sorted(fusion.rrf_named(lists).collect(), key=lambda r: r["rank"]):
+        fused.setdefault(r["query_id"], []).append((r["key"], len(r["sources"])))
+    want = {q: (*sizes[q], len(rows), sum(n > 1 for _, n in rows), [key for key, _ in rows[:2]]) for q, rows in fused.items()}
+    got = {r[0]: tuple(r[1:]) for r in retrieval.kg_summary_many(asked, world["documents"], **plain, best=2).collect()}
+    assert got == want and any(row[3] for row in got.values())
+
+
+def test_a_term_with_a_run_of_no_name_is_dropped(spark, world, monkeypatch):
+    met = {}
+
+    def bounded(df, name, most=100_000):
+        met[name] = [tuple(r) for r in df.collect()]
+        return df
+
+    monkeypatch.setattr(graph, "bounded", bounded)
+    terms = spark.createDataFrame([(1, "product-c1"), (1, "products"), (2, "duct-z")], "query_id int, term string")
+    assert [r["id"] for r in graph.match_terms(terms, world["entities"], world["aliases"]).collect()] == [1]
+    assert [r[1] for r in met["rarest-runs"]] == ["product-c1"]
