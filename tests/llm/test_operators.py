@@ -962,3 +962,18 @@ def test_scratch_needs_a_shared_folder():
 def test_word_cache():
     cache = _text.WordCache(len, most=2)
     assert [cache[w] for w in (b"a", b"bb", b"ccc", b"a")] == [1, 2, 3, 1] and len(cache) <= 2
+
+
+def test_words_of_a_batch_are_looked_up_once():
+    """batch_numbers gives what numbers gives text by text, and asks for each word once a batch."""
+    asked = []
+
+    def f(word):
+        asked.append(word)
+        return decontam.packer()(word)
+
+    texts = ["a b  a", None, "", " \tÉa 12km\x0bB. a\r\n", "x\x1cy é. ß", "a"]
+    got = _text.batch_numbers(texts, _text.WordCache(f, 1))
+    assert len(asked) == len(set(asked))
+    want = [_text.numbers(t.encode().split() if t else [], _text.WordCache(decontam.packer())) for t in texts]
+    assert [g.tolist() for g in got] == [w.tolist() for w in want] and _text.batch_numbers([], _text.WordCache(f)) == []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class WordCache(dict):
@@ -25,6 +27,18 @@ def numbers(words: list[bytes], cache: WordCache, kind: type = np.uint64) -> np.
     return np.fromiter(map(cache.__getitem__, words), kind, len(words))
 
 
+def batch_numbers(texts: list[str | None], cache: WordCache) -> list[np.ndarray]:
+    """numbers() of the words (split at ASCII white space) of each text; each word is looked up once for all texts. Null: none."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()).fill_null(""))
+    flat = words.flatten()
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False), bool)  # white space at the ends leaves empty ones
+    coded = flat.cast(pa.large_binary()).dictionary_encode()
+    table = np.fromiter((cache[w] if w else 0 for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    ids = table[coded.indices.to_numpy()][full] if len(flat) else np.empty(0, np.uint64)
+    ends = np.concatenate(([0], np.cumsum(full)))[words.offsets.to_numpy()]
+    return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window of that many ids (uint64, wraps around)."""
     n = len(ids) - width + 1
@@ -32,5 +46,6 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += ids[k : k + n]
     return out ^ (out >> np.uint64(29))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.llm._common import materialise, same, split_rows, text_udf
-from wayfind.llm._text import WordCache, numbers, rolling
+from wayfind.llm._text import WordCache, batch_numbers, numbers, rolling
 
 # Units that follow a number.
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kmh usd eur gbp dollars euros percent % $ € °c °f kb mb gb tb w kw v hz"
@@ -46,6 +47,7 @@ NUMBER, UNIT, NAME = 1, 2, 3
 ENDS, CAPITAL = 1, 2  # flags in the two low bits of a packed word
 UPPER, USUAL = 1 << 63, 1 << 62  # and in the two high bits: all capitals, a common word
 FLAGS = UPPER | USUAL
+EDGE = b".,;:!?"
 
 
 def packer() -> Callable[[bytes], int]:
@@ -55,7 +57,23 @@ def packer() -> Callable[[bytes], int]:
     number = re.compile(rb"[+-]?[$]?\d[\d.,:/]*[%]?$")
     measured = re.compile(rb"[+-]?\d[\d.,:/]*([a-zA-Z%]+)$")
 
+    digest, identity = xxhash.xxh64_intdigest, USUAL - 4
+
     def f(word: bytes) -> int:
+        # Most words are letters and perhaps one mark after them; they need none of the patterns.
+        last = word[-1] if word else 0
+        bare = word[:-1] if last in EDGE else word
+        low = bare.lower()
+        if low not in units:
+            ends = ENDS if last in b".!?:" else 0
+            if bare.isalpha():
+                capital = 0 if low == bare or len(bare) < 2 or bare[0] > 90 else UPPER if bare.isupper() else CAPITAL
+                return digest(low, 7) & identity | (8 | ends | capital | (USUAL if low in common else 0))
+            text = bare.decode("utf-8", "replace")
+            if text.isalpha():
+                capital = 0 if len(text) < 2 or not text[0].isupper() else UPPER if text.isupper() else CAPITAL
+                low = text.lower().encode()
+                return digest(low, 7) & identity | (8 | ends | capital | (USUAL if low in common else 0))
         ends = ENDS if word.rstrip(b"\"')]}*#$%&|").endswith((b".", b"!", b"?", b":")) else 0
         bare = word.strip(edge)
         if number.match(bare or word):
@@ -103,20 +121,23 @@ def short_names(packed: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(name, np.uint64(NAME), plain)[begins], np.append(begins, len(packed))
 
 
-EDGE = b".,;:!?"
 WIDEST = 8  # words of a window, at most: a pair of slots has its bit in an int
 
 
 class Readings:
-    """The windows of one text: three readings with their slots."""
+    """The windows of one text: three readings with their slots. The text is cut into words again where slots are asked for."""
 
-    def __init__(self, words: list[bytes], packed: np.ndarray):
-        self.words = words
+    def __init__(self, text: str, packed: np.ndarray):
+        self.text = text
         self.plain, named = templates(packed)
         short, begins = short_names(packed, self.plain)
-        places = np.arange(len(words) + 1)
+        places = np.arange(len(packed) + 1)
         self.all = [(0, self.plain, places), (0, named, places), (1, short, begins)]
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.encode().split()
+
     def keys(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each reading: its number, the starts of its windows, and their keys. A window that two readings share comes once."""
         for number, (kind, reading, _) in enumerate(self.all):
@@ -137,20 +158,20 @@ class Readings:
         return sum(1 << (a - start) * (2 * WIDEST - 1 - (a - start)) // 2 + b - a - 1 for i, a in enumerate(at) for j, b in enumerate(at[i + 1 :], i + 1) if value[i] == value[j])
 
 
-def item_windows(words: list[bytes], packed: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+def item_windows(text: str, packed: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
     """width, key, first word, word after the last, slot pairs of each window with three plain words (or all, if it is narrower)."""
-    text = Readings(words, packed)
-    if len(words) < 3 or (text.plain > NAME).sum() < 3:
+    item = Readings(text, packed)
+    if len(packed) < 3 or (item.plain > NAME).sum() < 3:
         return  # nothing to hold on to
-    for w in {min(width, len(reading)) for _, reading, _ in text.all}:
-        for number, starts, keys in text.keys(w):
-            _, reading, begins = text.all[number]
+    for w in {min(width, len(reading)) for _, reading, _ in item.all}:
+        for number, starts, keys in item.keys(w):
+            _, reading, begins = item.all[number]
             if min(width, len(reading)) != w or not len(starts):
                 continue
             literal = np.convolve(reading > NAME, np.ones(w, int), "valid")
             for start, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True):
                 if literal[start] >= min(3, w):
-                    yield w, key, int(begins[start]), int(begins[start + w]), text.slots(number, start, w)
+                    yield w, key, int(begins[start]), int(begins[start + w]), item.slots(number, start, w)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -162,7 +183,7 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
         for rows in batches:
             for cls, text in zip(rows["cls"].tolist(), rows["text"].tolist(), strict=True):
                 words = text.encode().split()
-                found = pd.DataFrame(item_windows(words, numbers(words, cache), width), columns=["width", "key", "first", "last", "pairs"])
+                found = pd.DataFrame(item_windows(text, numbers(words, cache), width), columns=["width", "key", "first", "last", "pairs"])
                 found.insert(0, "n_words", len(words))
                 found.insert(0, "cls", cls)
                 yield found
@@ -187,15 +208,14 @@ def window_hits(spark: SparkSession, windows: DataFrame, width: int, bits: int)
 
     def make():
         bits, widths = shared.value
-        known, cache = np.unpackbits(bits, bitorder="little").view(bool), WordCache(packer(), 300_000)
+        known, cache = np.unpackbits(bits, bitorder="little").view(bool), WordCache(packer(), 500_000)
 
         def f(texts: list) -> list:
             out = []
-            for t in texts:
-                words = t.encode().split() if t else []
+            for t, packed in zip(texts, batch_numbers(texts, cache), strict=True):
                 found = []
-                if len(words) >= 3:
-                    text = Readings(words, numbers(words, cache))
+                if len(packed) >= 3:
+                    text = Readings(t, packed)
                     for w in widths:
                         for number, starts, keys in text.keys(w):
                             for k in np.flatnonzero(known[(keys & np.uint64(len(known) - 1)).astype(np.int64)]).tolist():
