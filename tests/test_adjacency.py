@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfind.operators import adjacency, graph
+from wayfind.sources import sinks
 
 
 def plain_walk(edges, seeds, depth, rel_types, direction):
@@ -48,6 +49,24 @@ def test_walk(spark, edges, tmp_path, depth, rel_types, direction):
     assert sorted(map(tuple, joins.select("query_id", "seed", "src", "rel_type", "dst", "depth", "id").collect())) == want
 
 
+@pytest.mark.parametrize("most", [250_000, 0])
+@pytest.mark.parametrize(("depth", "rel_types", "direction"), [(1, None, "both"), (3, None, "both"), (2, ["R", "S"], "out"), (3, ["R"], "in")])
+def test_walk_of_nodes(spark, edges, monkeypatch, depth, rel_types, direction, most):
+    """Distances of nodes give the same edges and depths as the walk, whether nodes go to all tasks or are merged, and nothing
+    the last level reaches is written: only edges, nodes and their lists are."""
+    monkeypatch.setattr(graph, "MOST_NODES", most)
+    written = []
+    monkeypatch.setattr(graph, "keep", lambda df, name: written.append(df.columns) or sinks.keep(df, name))
+    rels = spark.createDataFrame([*edges, (950, 3, "R", None)], "id long, src long, rel_type string, dst long")
+    seeds = [(0, 1), (0, 2), (1, 7), (2, 9999)]
+    asked = spark.createDataFrame([*seeds, (3, None), (0, 1)], "query_id long, seed long")
+    found = graph.expand_by_nodes(asked, rels, depth, rel_types, direction)
+    assert sorted(map(tuple, found.select("query_id", "seed", "src", "rel_type", "dst", "depth", "id").collect())) == plain_walk(edges, seeds, depth, rel_types, direction)
+    assert not any({"seed", "src"} <= set(columns) for columns in written)
+    bare = graph.expand_by_nodes(asked, rels.drop("id"), depth, rel_types, direction)
+    assert bare.count() == found.count() and bare.where("id IS NOT NULL").isEmpty()
+
+
 def test_hubs_are_split_and_buckets_pruned(spark, edges, tmp_path):
     rels = spark.createDataFrame(edges, "id long, src long, rel_type string, dst long")
     rows = adjacency.adjacency(rels, 10)
