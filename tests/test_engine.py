@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -362,6 +364,29 @@ def test_curate_skips_and_never_breaks(spark):
     assert curate.curate(shared, spark.createDataFrame([(0, "target")], "query_id long, query string"), 3).first()["kept"] == [1]
 
 
+def test_naive_truncate_against_a_plain_cut(spark):
+    """The cut by sums of items is that of the joined text, at any budget; whole texts are neither joined nor shuffled."""
+    alphabet = ["w", "Z9", "가", " ", "\n", "_", "é", "!", "\u00a0", "\U0001f600"]
+    rng, white = random.Random(4), r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+    texts = {q: ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 5, 30]))) for _ in range(rng.choice([1, 4, 7]))] for q in range(12)}
+    texts |= {20: ["", ""], 21: ["a b", "", "c"], 22: [" _ ", "a"]}
+    kind = lambda i: "chunk" if i % 3 == 2 else "row"
+    rows = [(q, i, kind(i), t) for q, ts in texts.items() for i, t in enumerate(ts)]
+    items = spark.createDataFrame([*rows, (21, 1, "row", None)], "query_id int, idx int, kind string, text string")
+    tokens = lambda t: len(re.findall(rf"[가-힣]|[A-Za-z0-9]+|[^A-Za-z0-9_{white}가-힣]", t))
+    for budget in (0, 1, 3, 17, 500):
+        cut = curate.naive_truncate(items, budget)
+        got = {r[0]: tuple(r)[1:] for r in cut.collect()}
+        for q, ts in texts.items():
+            whole = "\n".join(ts)
+            at = max(n for n in range(len(whole) + 1) if tokens(whole[:n]) <= budget)
+            starts = [sum(len(t) + 1 for t in ts[:i]) for i in range(len(ts))]
+            kept = sum(at >= s + len(t) for s, t in zip(starts, ts, strict=True))
+            broken = sum(s < at < s + len(t) and kind(i) == "row" for i, (s, t) in enumerate(zip(starts, ts, strict=True)))
+            assert got[q] == (at, kept, len(ts) - kept - broken, broken, tokens(whole[:at])), (q, budget)
+    assert "collect_list" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
 # Routing
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
+from wayfind.sources.sinks import bounded, keep
+
+#: Rows of cut items that go to all tasks, at most: tens of megabytes.
+MOST_CUTS = 250_000
 
 
 def curate(items: DataFrame, queries: DataFrame, budget: int = 256) -> DataFrame:
@@ -42,32 +46,32 @@ def curation_audit(curated: DataFrame, budget: int) -> DataFrame:
 
 def naive_truncate(items: DataFrame, budget: int = 256) -> DataFrame:
     """query_id, cut, n_kept, n_dropped, broken_rows, tokens_used: all items joined by line feeds and cut where the estimate
-    reaches the budget. items: query_id, idx, kind, text. The cut is found by halving: estimates grow with the prefix."""
-    rows = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("idx", "kind", "text"))).alias("rows"))
-    rows = rows.withColumn("whole", F.array_join(F.transform("rows", lambda x: x["text"]), "\n"))
-    lo, hi = F.lit(0), F.length("whole")
-    rows = rows.withColumn("lo", lo).withColumn("hi", hi)
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.length(F.bin(F.length("whole").cast("long")))),  # enough halvings for any length
-        F.struct(F.lit(0).alias("lo"), F.length("whole").alias("hi")),
-        lambda s, _: F.when(
-            s["lo"] < s["hi"],
-            F.when(
-                T.est_tokens(F.substring("whole", F.lit(1), F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int"))) <= budget,
-                F.struct(F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int").alias("lo"), s["hi"].alias("hi")),
-            ).otherwise(F.struct(s["lo"].alias("lo"), (F.floor((s["lo"] + s["hi"] + 1) / 2) - 1).cast("int").alias("hi"))),
-        ).otherwise(s),
-    )
-    rows = rows.withColumn("cut", F.col("lo")).withColumn("cut", steps["lo"])
-    spans = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("kept"), F.lit(0).alias("broken"), F.lit(0).alias("n")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["text"]) + 1).alias("at"),
-            (s["kept"] + F.when(F.col("cut") >= s["at"] + F.length(x["text"]), 1).otherwise(0)).alias("kept"),
-            (s["broken"] + F.when((F.col("cut") > s["at"]) & (F.col("cut") < s["at"] + F.length(x["text"])) & (x["kind"] == "row"), 1).otherwise(0)).alias("broken"),
-            (s["n"] + 1).alias("n"),
-        ),
+    reaches the budget. items: query_id, idx, kind, text; null texts take no place.
+
+    A line feed ends a token, so the estimate of the whole is the sum of those of its items. Each item is counted once where
+    it is; running sums over the counts tell which item the cut falls into, and only that text is looked at again. Whole texts are never
+    joined or, while the cut items are at most MOST_CUTS, shuffled. Items are read twice. Those of one place are ordered by kind, length and a hash.
+    """
+    key, budget = ["query_id", "idx", "kind", "n", "hash"], max(0, budget)
+    upto = Window.partitionBy("query_id").orderBy(*key[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    own = items.where("text IS NOT NULL")
+    rows = own.select(*key[:3], F.length("text").alias("n"), F.xxhash64("text").alias("hash"), T.est_tokens(F.col("text")).cast("long").alias("cost"))
+    rows = rows.withColumn("used", F.sum("cost").over(upto)).withColumn("end", F.sum(F.col("n").cast("long") + 1).over(upto) - 1)
+    past = F.col("used") > budget
+    sums = rows.groupBy("query_id").agg(
+        F.count("*").alias("items"),
+        F.count_if(~past).alias("n_kept"),
+        F.max("end").alias("length"),
+        F.max("used").alias("tokens"),
+        F.min(F.when(past, F.struct("end", *key[1:], (F.lit(budget) - F.col("used") + F.col("cost")).alias("left")))).alias("last"),
     )
-    rows = rows.withColumn("s", spans)
-    return rows.select("query_id", "cut", F.col("s.kept").alias("n_kept"), (F.col("s.n") - F.col("s.kept") - F.col("s.broken")).alias("n_dropped"), F.col("s.broken").alias("broken_rows"), T.est_tokens(F.substring("whole", F.lit(1), F.col("cut"))).alias("tokens_used"))
+    found = keep(sums, "sums")
+    whole = found.where("last IS NULL").select("query_id", F.col("length").alias("cut"), "n_kept", F.lit(0).alias("n_dropped"), F.lit(0).alias("broken_rows"), F.col("tokens").alias("tokens_used"))
+    asked = bounded(found.where("last IS NOT NULL").withColumnsRenamed({"query_id": "q"}), "cuts", MOST_CUTS)
+    place = F.col("query_id").eqNullSafe(F.col("q")) & F.col("idx").eqNullSafe(F.col("last.idx")) & F.col("kind").eqNullSafe(F.col("last.kind"))
+    near = items.select("query_id", "idx", "kind", "text").join(asked, place).where((F.length("text") == F.col("last.n")) & (F.xxhash64("text") == F.col("last.hash")))
+    near = near.withColumn("inside", T.est_cut(F.col("text"), F.col("last.left").cast("int")))
+    near = near.withColumn("broken_rows", F.when((F.col("inside") > 0) & (F.col("kind") == "row"), 1).otherwise(0))
+    cut = near.select("query_id", (F.col("last.end") - F.col("last.n") + F.col("inside")).alias("cut"), "n_kept", (F.col("items") - F.col("n_kept") - F.col("broken_rows")).alias("n_dropped"), "broken_rows", F.lit(budget).alias("tokens_used"))
+    out = whole.unionByName(cut.distinct())  # an item may be there twice
+    return out.select("query_id", *[F.col(c).cast("int").alias(c) for c in out.columns[1:]])
