@@ -28,3 +28,18 @@ def test_slices_give_what_all_products_give(spark, monkeypatch, numbers):
     assert got == want
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 7
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_are_embedded_once(spark):
+    """No filter on the vectors takes a second evaluation with it, and the vectors are what they were, texts without terms left out."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "the of"), (4, "beta 고객은 gamma")], "doc_id int, text string")
+    asked = docs.where("doc_id <> 2").selectExpr("doc_id AS query_id", "text AS query")
+    sparse, best = vector.hash_vectors(docs, 64), vector.hash_topk(docs, asked, 2, 64)
+    for df in (sparse, best):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    weights = {}
+    for r in sparse.collect():
+        weights.setdefault(r["doc_id"], []).append(r["weight"])
+    assert {k: len(v) for k, v in weights.items()} == {1: 2, 4: 3}
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in weights.values())
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in best.orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 4, 2), (4, 4, 1), (4, 1, 2)]
