@@ -1,8 +1,10 @@
 """Vector search by blocks of queries and slices of scores, against all products at once."""
 
+import duckdb
 import numpy as np
 import pytest
 
+from wayfind import plans
 from wayfind.operators import vector
 
 
@@ -43,3 +45,14 @@ def test_texts_are_embedded_once(spark):
     assert {k: len(v) for k, v in weights.items()} == {1: 2, 4: 3}
     assert all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in weights.values())
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in best.orderBy("query_id", "rank").collect()] == [(1, 1, 1), (1, 4, 2), (4, 4, 1), (4, 1, 2)]
+
+
+@pytest.mark.parametrize("name", ["vec_cosine_topk_many", "vec_recall_mrr", "vec_type_precision"])
+def test_scores_equal_to_six_places_go_by_id(spark, tmp_path, name):
+    """The SQL ranks rounded scores; of ten that round to the same the smaller ids are found, though larger ids are a little nearer."""
+    rows = [(i, [1.0, (10 - i) * 1e-5], int(i > 4)) for i in range(10)] + [(i, [float(i % 7 - 3), 1.0], i % 2) for i in range(100, 130)]
+    spark.createDataFrame([(0, [1.0, 0.0], 1), *rows[1:]], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in plans.QUERIES[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.sql(plans.ORACLE_SQL[name]).fetchall())
