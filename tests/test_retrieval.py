@@ -176,3 +176,16 @@ def test_a_term_with_a_run_of_no_name_is_dropped(spark, world, monkeypatch):
     terms = spark.createDataFrame([(1, "product-c1"), (1, "products"), (2, "duct-z")], "query_id int, term string")
     assert [r["id"] for r in graph.match_terms(terms, world["entities"], world["aliases"]).collect()] == [1]
     assert [r[1] for r in met["rarest-runs"]] == ["product-c1"]
+
+
+def test_edges_at_seeds_are_those_of_the_walk(spark, small, monkeypatch):
+    """Without an adjacency of the whole graph, sent to all tasks or merged: hubs, both ends of an edge, and seeds that are not there."""
+    ids = [kg.OFFSETS["region"] + 1, kg.OFFSETS["nation"] + 3, kg.OFFSETS["supplier"] + 2, kg.OFFSETS["customer"] + 7, kg.OFFSETS["part"] + 5, kg.OFFSETS["part"] + 6, 5]
+    seeds = spark.createDataFrame([(i,) for i in [*ids, None]], "seed long")
+    cols = ["seed", "src", "rel_type", "dst", "depth"]
+    steps = adjacency.adjacency(kg.relations(spark, small))
+    want = sorted(map(tuple, adjacency.walk(steps, seeds.select(F.lit(0).alias("query_id"), "seed")).select(cols).collect()))
+    assert {kind for _, _, kind, _, _ in want} == {"IN_REGION", "IN_NATION", "SUPPLIES", "ORDERED"}
+    for most in (100_000, 0):
+        monkeypatch.setattr(kg, "bounded", lambda df, name, most=most: sinks.bounded(df, name, most))
+        assert sorted(map(tuple, kg.relations_at(spark, small, seeds).select(cols).collect())) == want

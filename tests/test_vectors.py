@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfind import plans
 from wayfind.operators import vector
@@ -56,3 +57,32 @@ def test_scores_equal_to_six_places_go_by_id(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == sorted(con.sql(plans.ORACLE_SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("most", [100, 64_000_000])
+def test_hashed_search_is_exact_whatever_the_lengths(spark, monkeypatch, most):
+    """Products are held three, two or one in a number, by the lengths of both sides; ranks and scores are those of plain code."""
+    monkeypatch.setattr(vector, "MOST_ASKED_COUNTS", most, raising=False)
+    for name, size in (("CHUNK", 40), ("PART", 8), ("SLICE", 4)):
+        monkeypatch.setattr(vector, name, size, raising=False)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(9000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    texts = [text(n) for n in (1, 2, 3, 5, 9, 40, 60, 200, 900, 9000, 30_000) for _ in range(9)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:30] + ["", None, "the of"])]
+    asks = [(i, t) for i, t in enumerate([text(n) for n in (1, 2, 30, 200, 3000, 9000)] + ["", texts[5]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(asks, "query_id long, query string")
+    of = lambda df, key, col: {r[0]: np.array(r[1]) for r in df.select(key, vector.hash_embedding(F.col(col), 16)).collect() if r[1] is not None}
+    d, q = of(docs, "doc_id", "text"), of(asked, "query_id", "query")
+    want = {(i, rank + 1): (doc, score) for i, v in q.items() for rank, (score, doc) in enumerate(sorted(((round(float(v @ w), 9), j) for j, w in d.items()), key=lambda x: (-x[0], x[1]))[:7])}
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in vector.hash_topk(docs, asked, 7, dim=16).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_a_pair_costs_less_than_its_numbers(spark):
+    """One product of numbers holds three scalar products."""
+    counts = np.ones((9, 16), np.int8)
+    part = vector._Part(counts, vector._lengths(counts), 0)
+    held = part.products(counts.astype(np.float32), 4.0)
+    assert part.factors[3].shape == (16, 3) and (held[:, :, :3] == 16 + 128).all()
