@@ -189,3 +189,20 @@ def test_edges_at_seeds_are_those_of_the_walk(spark, small, monkeypatch):
     for most in (100_000, 0):
         monkeypatch.setattr(kg, "bounded", lambda df, name, most=most: sinks.bounded(df, name, most))
         assert sorted(map(tuple, kg.relations_at(spark, small, seeds).select(cols).collect())) == want
+
+
+def test_matches_behind_the_best_are_left_out_before_grouping(spark, small, monkeypatch):
+    """A term in the names of all customers groups a few of them, not all, and the hits are those of one question at a time."""
+    asked = spark.createDataFrame([(1, "er customer st"), (2, "BUILDING cu"), (3, "Customer#000000007 er")], "query_id int, query string")
+    ents, als, grouped = kg.entities(spark, small), kg.aliases(spark, small), []
+    cols = ["query_id", "id", "type", "canonical_name", "via", "matched", "score", "rank"]
+    want = sorted(graph.ontology_search(asked, ents, als, 3).select(cols).collect())
+
+    def bounded(df, name):
+        out = sinks.bounded(df, name)
+        grouped.extend([out.count()] if name == "matches" else [])
+        return out
+
+    monkeypatch.setattr(graph, "bounded", bounded)
+    assert sorted(graph.ontology_search_many(asked, ents, als, 3).select(cols).collect()) == want
+    assert len(grouped) == 1 and grouped[0] <= 6 * 4 * 3
